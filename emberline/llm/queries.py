@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, near_dedup, sharding, url_filter
+from . import decontaminate, line_dedup, near_dedup, ngram_lm, sharding, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +27,13 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op9_kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.digest(_table(spark, sf_dir, "documents"))
+
+
 def op10_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_benchmark_decontamination, op6_url_filter, op7_minhash_near_dedup, op10_interleaved_shards)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_benchmark_decontamination, op6_url_filter, op7_minhash_near_dedup, op9_kneser_ney_scores, op10_interleaved_shards)}
 ORACLE_SQL = {"op2_line_dedup": line_dedup.SQL, "op4_benchmark_decontamination": decontaminate.SQL, "op6_url_filter": url_filter.SQL, "op7_minhash_near_dedup": near_dedup.sql(2), "op10_interleaved_shards": sharding.SQL}

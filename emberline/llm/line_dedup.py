@@ -65,6 +65,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
     )
 
 
+def rebuilt(docs: DataFrame, **options) -> DataFrame:
+    """docs with its own columns only: text without shared lines, n_chars (if there) its code points."""
+    out = dedup_lines(docs, **options)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
 def digest(deduped: DataFrame) -> DataFrame:
     return deduped.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 

@@ -5,17 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, near_dedup, ngram_lm, packing, sharding, url_filter, vector_search
+from . import decontaminate, html_extract, line_dedup, near_dedup, ngram_lm, packing, sharding, toxicity, url_filter, vector_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_gated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.digest(_table(spark, sf_dir, "pages"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
@@ -51,5 +59,5 @@ def op10_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_benchmark_decontamination, op5_best_fit_packing, op6_url_filter, op7_minhash_near_dedup, op8_exact_top_k, op9_kneser_ney_scores, op10_interleaved_shards)}
+QUERIES = {f.__name__: f for f in (op1_gated_toxicity, op2_line_dedup, op3_html_extraction, op4_benchmark_decontamination, op5_best_fit_packing, op6_url_filter, op7_minhash_near_dedup, op8_exact_top_k, op9_kneser_ney_scores, op10_interleaved_shards)}
 ORACLE_SQL = {"op2_line_dedup": line_dedup.SQL, "op4_benchmark_decontamination": decontaminate.SQL, "op6_url_filter": url_filter.SQL, "op7_minhash_near_dedup": near_dedup.sql(2), "op8_exact_top_k": vector_search.SQL, "op10_interleaved_shards": sharding.SQL}

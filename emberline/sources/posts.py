@@ -1,0 +1,72 @@
+"""The driver's tables read as posts, roster, pool and relation edges."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as crawled posts: the type is the hashtag, k makes tickers, urls and references."""
+    k = F.coalesce(F.regexp_extract("props", "([0-9]+)", 1).try_cast("long"), F.lit(0))
+    e = table(spark, sf_dir, "events").withColumn("k", k)
+    url = F.concat(F.lit("https://www.site"), F.col("k") % 20, F.lit(".example.com/p/"), F.col("k"))
+    kind = F.when(F.col("event_type") == "click", "reposted").when(F.col("event_type") == "purchase", "quoted").when(F.col("event_type") == "view", "replied_to")
+    target = (F.col("event_id") - F.col("k")).cast("string")
+    value = F.coalesce("value", F.lit(0.0))
+    empty = F.array().cast("array<string>")
+    return e.select(
+        F.col("event_id").cast("string").alias("tweet_id"),
+        F.col("user_id").cast("string").alias("author_id"),
+        F.concat(F.lit("@U"), "user_id").alias("author_username"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"),
+        F.concat(F.col("event_type"), F.lit("  by  "), F.when(F.col("k") % 3 == 0, "tech").otherwise("none"), F.lit(" "), F.col("k"), F.lit(" "), url).alias("text"),
+        F.struct(
+            F.floor(value).alias("like_count"), F.floor(value / 10).alias("repost_count"), (F.col("event_id") % 7).alias("reply_count"), (F.col("event_id") % 3).alias("quote_count")
+        ).alias("public_metrics"),
+        F.when(kind.isNotNull() & (F.col("k") > 0), F.array(F.struct(kind.alias("type"), target.alias("id")))).otherwise(F.array().cast("array<struct<type:string,id:string>>")).alias("referenced_tweets"),
+        F.struct(
+            F.array(F.initcap("event_type")).alias("hashtags"),
+            F.when(F.col("k") % 10 == 0, F.array(F.concat(F.lit("$T"), "k"))).otherwise(empty).alias("cashtags"),
+            F.array(F.concat(F.lit("@U"), F.col("k") % 7)).alias("mentions"),
+            F.array(F.struct(url.alias("url"), F.lit(None).cast("string").alias("expanded_url"))).alias("urls"),
+        ).alias("entities"),
+    )
+
+
+def roster(spark: SparkSession, sf_dir: str, segments: tuple[str, ...] = ("BUILDING", "AUTOMOBILE", "MACHINERY")) -> DataFrame:
+    """Customers of some market segments as (username, followers_count)."""
+    c = table(spark, sf_dir, "customer").where(F.col("c_mktsegment").isin(*segments))
+    return c.select(F.concat(F.lit("u"), "c_custkey").alias("username"), F.greatest(F.floor(F.coalesce("c_acctbal", F.lit(0.0))), F.lit(0)).alias("followers_count"))
+
+
+def candidate_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as candidates: orders are list appearances, a segment is the verified mark, comments are bios."""
+    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("list_appearances"))
+    c = table(spark, sf_dir, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
+    bio = F.concat("c_name", F.when(F.col("c_custkey") % 11 == 0, " FREE stuff").otherwise(""))
+    return c.select(
+        F.concat(F.lit("u"), "c_custkey").alias("username"), F.floor("c_acctbal").alias("followers_count"), bio.alias("bio"), "list_appearances", (F.col("c_mktsegment") == "BUILDING").alias("verified")
+    )
+
+
+def relation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as relations of suppliers (seeds) to parts (accounts): (kind, seed_username, target_username)."""
+    kind = F.when(F.col("l_returnflag") == "A", "followed").when(F.col("l_returnflag") == "N", "mentioned").otherwise("interacted")
+    return table(spark, sf_dir, "lineitem").select(kind.alias("kind"), F.concat(F.lit("@S"), "l_suppkey").alias("seed_username"), F.concat(F.lit("P"), "l_partkey").alias("target_username"))
+
+
+def document_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as posts: the source is the author, ids give times and references."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(
+        F.col("doc_id").cast("string").alias("tweet_id"),
+        F.col("source").alias("author"),
+        (F.lit(1_700_000_000) + F.col("doc_id") * 977).alias("created_ts"),
+        F.coalesce("text", F.lit("")).alias("text"),
+        F.col("lang"),
+    )

@@ -26,7 +26,8 @@ class DailyTopics:
     filtered: bool = True
 
     def __post_init__(self) -> None:
-        self.clean = N.clean(self.posts, self.roster, self.offset_hours)
+        # every stage below reads the clean posts, most of them more than once
+        self.clean = N.clean(self.posts, self.roster, self.offset_hours).persist()
         self.day, self.weeks = N.recent(self.clean, self.short), N.recent(self.clean, self.long)
         self.day_edges, self.weeks_edges = E.propagation_edges(self.day), E.propagation_edges(self.weeks)
         self.candidates = T.candidates(self.day, self.day_edges, self.filtered)

@@ -4,10 +4,11 @@
    them are folded into a parity bitmap (odd sketch).  Texts with equal sets share one representative.
 2. Members of a bucket are paired with the bucket's smallest member only.  The XOR population count of
    two sketches estimates the similarity; a text's most similar leader is confirmed on full sets.
-3. Confirmed links make components.  Buckets that still span components are searched exactly: every
-   member outside the bucket's largest component is paired with all members of other components, some
-   pivots at a time until none is left.  Pairs inside one component need no test, so a group of
-   copies costs a row per member and band, never a row per pair.
+3. Confirmed links make components.  Components that still meet in a bucket form a family, which is
+   searched exactly: members outside the family's largest component meet all members of other
+   components, in tiles of bounded size that hold their whole sets; sketches rule out most pairs and
+   order the rest.  A tile returns links, at most one per member.  Pairs inside one component need no
+   test, so a group of copies costs a row per member and band, never a row per pair.
 
 A pair at the threshold shares a band with probability 1 - (1 - 0.8^4)^27 > 1 - 10^-6.
 """
@@ -17,16 +18,18 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, Words, discard, mix, mix_int, ship, slices, written
+from .common import NOT_SPACE, Words, mix, mix_int, ship, slices, written
 from .graph import connected_components
 
 BANDS, ROWS = 27, 4
 SKETCH_WORDS = 4
-PIVOTS = 32
+#: Members on each side of a tile, about.
+TILE = 400
 #: Ids of candidate documents that are broadcast to filter the texts; beyond it the texts are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -154,6 +157,88 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: float
     return joined.mapInArrow(test, f"a {kind}, b {kind}").distinct()
 
 
+def _family_links(members: DataFrame, docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """members(doc_id, component, family) -> links (a, b) between components of a family."""
+    percent, far = round(threshold * 100), _far(threshold)
+    kind = dict(members.dtypes)["doc_id"]
+    few = members.count() <= BROADCAST_IDS
+    ids = members.select("doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+    def scan(batches):
+        for batch in batches:
+            for lo, hi, data, offsets in slices(batch.column(1)):
+                sets, first = shingle_sets(Words(data, offsets, NOT_SPACE), shingle)
+                full = np.flatnonzero(np.diff(first))
+                if len(full):
+                    sketch = _sketches(sets, np.append(first[full], first[-1]))[1]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).slice(lo, hi - lo).take(pa.array(full)),
+                            pa.array([sets[first[i] : first[i + 1]].tobytes() for i in full], pa.binary()),
+                            pa.array([x.tobytes() for x in sketch], pa.binary()),
+                        ],
+                        names=["doc_id", "members", "sketch"],
+                    )
+
+    sets = texts.mapInArrow(scan, f"doc_id {kind}, members binary, sketch binary").join(members, "doc_id")
+    sizes = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("family").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("top"))
+    sizes = sizes.select("family", F.col("top.component").alias("top"), F.col("size"), (F.col("size") - F.col("top.n")).alias("minors"))
+    small = F.col("size") <= TILE
+    packs = max(1, -(-int(sizes.where(small).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]) // TILE))
+    across = F.greatest(F.lit(1), F.ceil(F.col("size") / TILE)).cast("int")
+    down = F.greatest(F.lit(1), F.ceil(F.col("minors") / TILE)).cast("int")
+    sizes = sizes.select(
+        "family",
+        "top",
+        F.when(small, F.pmod(F.xxhash64("family"), F.lit(packs))).otherwise(F.xxhash64("family")).alias("pack"),
+        F.when(small, 1).otherwise(across).alias("across"),
+        F.when(small, 1).otherwise(down).alias("down"),
+    )
+    sets = written(sets.join(sizes, "family"), "sets")
+    last = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    columns = ["doc_id", "component", "family", "members", "sketch", "pack"]
+    left = sets.where("component <> top").select(*columns, F.pmod(F.xxhash64("doc_id"), "down").cast("int").alias("i"), last("across").alias("j"))
+    right = sets.select(*columns, last("down").alias("i"), F.pmod(F.xxhash64("doc_id", F.lit(1)), "across").cast("int").alias("j"))
+
+    def tile(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(a) and len(b):
+            sa, sb = (np.frombuffer(b"".join(x["sketch"]), dtype=np.uint64).reshape(len(x), SKETCH_WORDS) for x in (a, b))
+            na, nb = (x["members"].str.len().to_numpy() // 8 for x in (a, b))
+            fa, fb, ca, cb = a["family"].to_numpy(), b["family"].to_numpy(), a["component"].tolist(), b["component"].tolist()
+            parent: dict = {}
+
+            def root(x):
+                while parent.get(x, x) != x:
+                    x = parent[x]
+                return x
+
+            pairs = []
+            for i in range(len(a)):
+                bits = np.bitwise_count(sb ^ sa[i]).sum(axis=1)
+                ok = (bits <= far) & (fb == fa[i]) & (100 * np.minimum(nb, na[i]) >= percent * np.maximum(nb, na[i]))
+                j = np.flatnonzero(ok)
+                pairs.append(np.stack([bits[j].astype(np.int64), np.full(len(j), i), j], axis=1))
+            pairs = np.concatenate(pairs)
+            va, vb = ([np.frombuffer(m, dtype=np.uint64) for m in x["members"]] for x in (a, b))
+            ia, ib = a["doc_id"].tolist(), b["doc_id"].tolist()
+            for _, i, j in pairs[np.argsort(pairs[:, 0], kind="stable")].tolist():
+                x, y = root(ca[i]), root(cb[j])
+                if x != y:
+                    at = np.searchsorted(vb[j], va[i])
+                    at[at == len(vb[j])] = 0
+                    both = int((vb[j][at] == va[i]).sum())
+                    if 100 * both >= percent * (len(va[i]) + len(vb[j]) - both):
+                        parent[max(x, y)] = min(x, y)
+                        out.append((ia[i], ib[j]))
+        return pd.DataFrame(out, columns=["a", "b"]) if out else pd.DataFrame({"a": [], "b": []}).astype("int64" if kind in ("bigint", "int") else "object")
+
+    keys = ["pack", "i", "j"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(tile, f"a {kind}, b {kind}")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """docs(doc_id, text) -> per row doc_id, n_shingles, component_id (smallest doc_id linked), kept.
 
@@ -181,26 +266,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
     tested = written(best, "pairs")
     edges = written(_confirmed(tested, docs, shingle, threshold), "links")
 
-    rest = members.select("bucket", "doc_id")
-    while True:
-        comps = connected_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        named = rest.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        sizes = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-        mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket", F.col("top.component").alias("top"))
-        named = written(named.join(mixed, "bucket"), "mixed")
-        minor = named.where("component <> top")
-        order = F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id"))
-        ranked = minor.select("bucket", F.col("doc_id").alias("pivot"), F.col("component").alias("pc"), order.alias("rank"))
-        pivots = written(ranked.where(F.col("rank") <= PIVOTS), "pivots")
-        pairs = pivots.join(named, "bucket").where("component <> pc").groupBy(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-        fresh = _similar(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"), reps, threshold).select("a", "b")
-        fresh = written(fresh, "pairs")
-        if not fresh.isEmpty():
-            edges = written(edges.unionByName(_confirmed(fresh, docs, shingle, threshold)), "links")
-            tested = tested.unionByName(fresh)
-        if ranked.where(F.col("rank") > PIVOTS).isEmpty():
-            break
-        rest = written(named.select("bucket", "doc_id").join(pivots.select("bucket", F.col("pivot").alias("doc_id")), ["bucket", "doc_id"], "left_anti"), "rest")
+    comps = connected_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    named = members.select("bucket", "doc_id").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    sizes = written(named.groupBy("bucket", "component").agg(F.min("doc_id").alias("one")), "spans")
+    meet = sizes.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket", "low")
+    meet = written(sizes.join(meet, "bucket").where("component <> low").select(F.col("component").alias("u"), F.col("low").alias("v")).distinct(), "meetings")
+    if not meet.isEmpty():
+        families = connected_components(meet).select(F.col("node").alias("component"), F.col("component").alias("family"))
+        found = _family_links(written(named.select("doc_id", "component").distinct().join(families, "component"), "families"), docs, shingle, threshold)
+        edges = edges.unionByName(written(found, "links"))
     # ids that share a class join the texts' links; with one text per id this adds only stars
     several = sigs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     graph = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))

@@ -121,6 +121,7 @@ def communities(edges: DataFrame, within: DataFrame, gain: float = 0.001, sweeps
             near.setdefault(a, []).append((b, w))
             near.setdefault(b, []).append((a, w))
         own = {x: x for x in near}
+        place = {x: i for i, x in enumerate(sorted(near))}
         for _ in range(sweeps):
             moved = False
             for x in sorted(near):
@@ -128,7 +129,7 @@ def communities(edges: DataFrame, within: DataFrame, gain: float = 0.001, sweeps
                 for y, w in near[x]:
                     sums[own[y]] = sums.get(own[y], 0.0) + w
                 here = sums.get(own[x], 0.0)
-                best = max(sums, key=lambda c: (sums[c], -_order(c)))
+                best = max(sums, key=lambda c: (sums[c], -place[c]))
                 if best != own[x] and sums[best] - here > gain:
                     own[x], moved = best, True
             if not moved:
@@ -139,8 +140,3 @@ def communities(edges: DataFrame, within: DataFrame, gain: float = 0.001, sweeps
         return pd.DataFrame([(x, least[c]) for x, c in own.items()], columns=["id", "community"])
 
     return scored.groupBy("component").applyInPandas(sweep, f"id {kind}, community {kind}")
-
-
-def _order(c) -> float:
-    """Smaller names win ties; text is compared by its first bytes."""
-    return float(c) if not isinstance(c, str) else float(int.from_bytes(c.encode()[:6].ljust(6, b"\0"), "big"))

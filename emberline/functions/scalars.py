@@ -68,17 +68,19 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
+def word_list(words: tuple[str, ...]) -> Column:
+    """A constant array, as one expression that is folded while planning."""
+    return F.split(F.lit("\x01".join(words)), "\x01")
+
+
 def any_within(text: Column, words: tuple[str, ...]) -> Column:
     """Whether any word is a substring."""
-    out = F.lit(False)
-    for w in words:
-        out = out | F.contains(text, F.lit(w))
-    return out
+    return text.rlike("|".join(f"\\Q{w}\\E" for w in words))
 
 
 def found_within(text: Column, words: tuple[str, ...]) -> Column:
     """The words that are substrings, in the order given."""
-    return F.filter(F.array(*(F.lit(w) for w in words)), lambda w: F.contains(text, w))
+    return F.filter(word_list(words), lambda w: F.contains(text, w))
 
 
 def log1p_sum(*terms: tuple[float, Column]) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import assets
-from ..functions.scalars import any_within, found_within, tokens
+from ..functions.scalars import any_within, found_within, tokens, word_list
 from .topics import relevant
 
 
@@ -54,20 +54,20 @@ def companies(text: Column, names: tuple[str, ...]) -> Column:
 def products(text: Column, names: tuple[str, ...]) -> Column:
     """Names whose upper-cased form is within the upper-cased text."""
     up = F.upper(text)
-    return F.filter(F.array(*(F.lit(n) for n in names)), lambda n: F.contains(up, F.upper(n)))
+    return F.filter(word_list(tuple(names)), lambda n: F.contains(up, F.upper(n)))
 
 
 def gated_entities(text: Column) -> Column:
     """Dictionary entries within the text whatever the case, sorted."""
     up, low = F.upper(text), F.lower(text)
     names = sorted(set(assets.GATE_COMPANIES + assets.GATE_PRODUCTS + assets.GATE_CONCEPTS))
-    return F.filter(F.array(*(F.lit(n) for n in names)), lambda n: F.contains(up, F.upper(n)) | F.contains(low, F.lower(n)))
+    return F.filter(word_list(tuple(names)), lambda n: F.contains(up, F.upper(n)) | F.contains(low, F.lower(n)))
 
 
 def actions(text: Column, verbs: tuple[str, ...]) -> Column:
     """Verbs within the text, sorted."""
     low = F.lower(text)
-    return F.filter(F.array(*(F.lit(v) for v in sorted(set(verbs)))), lambda v: F.contains(low, F.lower(v)))
+    return F.filter(word_list(tuple(sorted(set(verbs)))), lambda v: F.contains(low, F.lower(v)))
 
 
 GATE_VERBS = tuple(v for group in assets.GATE_VERBS.values() for v in group)
@@ -80,7 +80,7 @@ def _only_urls(text: Column) -> Column:
 
 def _only(text: Column, words: tuple[str, ...]) -> Column:
     own = F.array_distinct(tokens(text))
-    return (F.size(own) > 0) & (F.size(F.array_except(own, F.array(*(F.lit(w) for w in words)))) == 0)
+    return (F.size(own) > 0) & (F.size(F.array_except(own, word_list(words))) == 0)
 
 
 def rule_reason(text: Column, domains: Column, n_entities: Column, n_verbs: Column) -> Column:
@@ -89,7 +89,7 @@ def rule_reason(text: Column, domains: Column, n_entities: Column, n_verbs: Colu
     return (
         F.when(_only_urls(text), "only_url")
         .when(bare.startswith("RT @") | (F.lower(bare).startswith("via") & (F.length(text) < 50)), "repost_form")
-        .when(F.arrays_overlap(domains, F.array(*(F.lit(p) for p in assets.RULE_PLATFORMS))), "platform")
+        .when(F.arrays_overlap(domains, word_list(assets.RULE_PLATFORMS)), "platform")
         .when((n_entities == 0) & (n_verbs == 0), "no_entity_no_action")
         .when(_only(text, assets.RULE_GENERIC), "generic")
     )
@@ -109,7 +109,7 @@ def gated_reason(text: Column) -> Column:
     """As rule_reason for the gated variant."""
     hosts = F.transform(F.regexp_extract_all(text, F.lit(r"https?://([^\s/]+)"), F.lit(1)), lambda h: F.lower(F.replace(h, F.lit("www."), F.lit(""))))
     return (
-        F.when(F.arrays_overlap(hosts, F.array(*(F.lit(p) for p in assets.GATE_PLATFORMS))), "platform").when(_only_urls(text), "only_url").when(_only(text, assets.GATE_STOPS), "generic")
+        F.when(F.arrays_overlap(hosts, word_list(assets.GATE_PLATFORMS)), "platform").when(_only_urls(text), "only_url").when(_only(text, assets.GATE_STOPS), "generic")
     )
 
 
@@ -137,6 +137,6 @@ def co_occurrence(entities: DataFrame) -> DataFrame:
 def event_kind(posts: DataFrame) -> DataFrame:
     """tweet_id, kind and hits: the kind with most of its keywords within the text, ties to the first; none: no row."""
     low = F.lower(F.col("text"))
-    scores = F.array(*(F.struct(F.size(F.filter(F.array(*(F.lit(w) for w in ws)), lambda w: F.contains(low, w))).alias("hits"), F.lit(-i).alias("o"), F.lit(k).alias("kind")) for i, (k, ws) in enumerate(assets.EVENT_KINDS.items())))
+    scores = F.array(*(F.struct(F.size(F.filter(word_list(ws), lambda w: F.contains(low, w))).alias("hits"), F.lit(-i).alias("o"), F.lit(k).alias("kind")) for i, (k, ws) in enumerate(assets.EVENT_KINDS.items())))
     best = posts.select("tweet_id", F.array_max(scores).alias("x"))
     return best.select("tweet_id", "x.kind", "x.hits").where("hits > 0")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.assets import TOPIC_KEYWORDS
-from ..functions.scalars import any_within
+from ..functions.scalars import any_within, word_list
 from .edges import reference_counts
 
 KEYS = ["topic_type", "topic_key"]
@@ -16,7 +16,7 @@ def relevant(text: Column, tags: Column | None = None, cashtags: Column | None =
     """A keyword within the text, a tag within a keyword or a keyword within a tag, or any cashtag."""
     out = any_within(F.lower(F.coalesce(text, F.lit(""))), TOPIC_KEYWORDS)
     if tags is not None:
-        words = F.array(*(F.lit(k) for k in TOPIC_KEYWORDS))
+        words = word_list(TOPIC_KEYWORDS)
         out = out | F.coalesce(F.exists(tags, lambda t: F.exists(words, lambda k: F.contains(F.lower(t), k) | F.contains(k, F.lower(t)))), F.lit(False))
     if cashtags is not None:
         out = out | F.coalesce(F.size(cashtags) > 0, F.lit(False))

@@ -7,17 +7,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stages import shared_folder
+
 
 def components(nodes: DataFrame, pairs: DataFrame, rounds: int = 50) -> DataFrame:
     """nodes(id), pairs(a, b) -> (id, component): the smallest id that can be reached.
 
     Labels spread to neighbours and jump along labels; the lineage is cut by checkpoint() each round.
     """
-    spark = nodes.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="emberline-"))
+    shared_folder(nodes.sparkSession)  # checkpoints need one
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = nodes.select("id", F.col("id").alias("component")).distinct().checkpoint()
     for _ in range(rounds):
@@ -49,9 +47,8 @@ def leaders(items: DataFrame, compat: DataFrame, by_weight: bool = False, rounds
     earliest such leader, or (by_weight) the one of greatest weight.  Each round settles every item
     whose earlier compatible items are settled, so rounds follow the longest chain, not the number of items.
     """
+    shared_folder(items.sparkSession)
     state = items.select("id", "ord", F.lit(None).cast("boolean").alias("lead"))
-    if "component" in compat.columns:
-        compat = compat.drop("component")
     compat = compat.checkpoint()
     for _ in range(rounds):
         seen = compat.join(state.select(F.col("id").alias("leader"), F.col("lead").alias("l")), "leader")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,11 +13,12 @@ from ..operators import edges as E
 from ..operators import normalize as N
 from ..operators import series as S
 from ..operators import topics as T
+from ..sources.stages import staged
 
 
 @dataclass
 class DailyTopics:
-    """Lazy stages of one run; windows are seconds before the latest post."""
+    """Stages of one run, each made when it is first asked for; windows are seconds before the latest post."""
 
     posts: DataFrame
     roster: DataFrame
@@ -25,18 +27,54 @@ class DailyTopics:
     long: int = 14 * 24 * 3600
     filtered: bool = True
 
-    def __post_init__(self) -> None:
-        # every stage below reads the clean posts, most of them more than once
-        self.clean = N.clean(self.posts, self.roster, self.offset_hours).persist()
-        self.day, self.weeks = N.recent(self.clean, self.short), N.recent(self.clean, self.long)
-        self.day_edges, self.weeks_edges = E.propagation_edges(self.day), E.propagation_edges(self.weeks)
-        self.candidates = T.candidates(self.day, self.day_edges, self.filtered)
-        self.topics = T.aggregate(self.candidates, self.day, self.day_edges)
-        self.scored = T.scored(self.topics, T.topic_followers(self.candidates, self.day, self.roster))
-        self.top = T.top_tiered(self.scored)
-        self.daily = S.topic_daily(self.weeks, self.weeks_edges)
-        self.trends = S.topic_trends(self.daily, self.topics)
-        self.growth = S.growth_by_steps(self.daily, self.topics)
+    @cached_property
+    def clean(self) -> DataFrame:
+        """Written once: every stage below reads it, most of them more than once."""
+        return staged(N.clean(self.posts, self.roster, self.offset_hours), "clean")
+
+    @cached_property
+    def day(self) -> DataFrame:
+        return N.recent(self.clean, self.short)
+
+    @cached_property
+    def weeks(self) -> DataFrame:
+        return N.recent(self.clean, self.long)
+
+    @cached_property
+    def day_edges(self) -> DataFrame:
+        return E.propagation_edges(self.day)
+
+    @cached_property
+    def weeks_edges(self) -> DataFrame:
+        return E.propagation_edges(self.weeks)
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        return T.candidates(self.day, self.day_edges, self.filtered)
+
+    @cached_property
+    def topics(self) -> DataFrame:
+        return staged(T.aggregate(self.candidates, self.day, self.day_edges), "topics")
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        return T.scored(self.topics, T.topic_followers(self.candidates, self.day, self.roster))
+
+    @cached_property
+    def top(self) -> DataFrame:
+        return T.top_tiered(self.scored)
+
+    @cached_property
+    def daily(self) -> DataFrame:
+        return staged(S.topic_daily(self.weeks, self.weeks_edges), "daily")
+
+    @cached_property
+    def trends(self) -> DataFrame:
+        return S.topic_trends(self.daily, self.topics)
+
+    @cached_property
+    def growth(self) -> DataFrame:
+        return S.growth_by_steps(self.daily, self.topics)
 
     def report(self) -> DataFrame:
         """The Top-5 with trend and prediction (none: "Unknown" and "stabilize"), one row a topic."""

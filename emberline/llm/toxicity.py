@@ -16,12 +16,16 @@ most SAMPLE_BYTES of text.  It is the only thing that is bounded; every text is
 
 from __future__ import annotations
 
+import pickle
+import zlib
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, discard, mix, ship, slices, written
+from .common import ALNUM, Words, mix, ship, slices, written
 
 SAMPLE, SAMPLE_BYTES = (1500, 3000), 32 << 20
 WINDOW, STRIDE = 32, 24
@@ -69,10 +73,9 @@ class Features:
         owner.append(short)
         owner_ = np.concatenate(owner)
         order = np.argsort(owner_, kind="stable")
-        self.gram = np.concatenate(grams)[order].astype(np.int64)
-        self.gram_word = owner_[order]
-        self.gram_at = np.searchsorted(self.gram_word, np.arange(len(at)))
-        self.gram_n = np.bincount(self.gram_word, minlength=len(at))
+        self.gram = np.concatenate(grams)[order].astype(np.int32)
+        self.gram_n = np.bincount(owner_, minlength=len(at))
+        self.gram_at = np.cumsum(self.gram_n) - self.gram_n
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """(windows, WINDOW) of distinct words' numbers, -1 beyond a text's end; the text of each window."""
@@ -83,7 +86,7 @@ class Features:
         start = np.maximum(0, np.minimum(nth * STRIDE, n[doc] - WINDOW))
         at = start[:, None] + np.arange(WINDOW)
         inside = at < n[doc][:, None]
-        ids = np.full(at.shape, -1, dtype=np.int64)
+        ids = np.full(at.shape, -1, dtype=np.int32)
         ids[inside] = self.token[(self.first[doc][:, None] + at)[inside]]
         return ids, doc
 
@@ -349,8 +352,8 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
     return net
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: Column) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of the bounded training sample among the labelled rows that the condition selects."""
+def sample(docs: DataFrame, labels: DataFrame, rows: Column) -> DataFrame:
+    """(o, text, toxic): the bounded training sample among the labelled rows that the condition selects."""
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(rows)
     chosen = None
     for label, n in ((1, SAMPLE[0]), (0, SAMPLE[1])):
@@ -367,14 +370,21 @@ def sample(docs: DataFrame, labels: DataFrame, rows: Column) -> tuple[list[str],
             kept.append(r["doc_id"])
             held += r["size"]
     some = found if len(kept) == len(sizes) else found.where(F.col("doc_id").isin(kept))
-    got = sorted((hash_order, r["text"] or "", int(r["toxic"])) for r in some.select(F.xxhash64("doc_id", "text").alias("o"), "text", "toxic").collect() for hash_order in [r["o"]])
-    discard(chosen, found)
-    return [g[1] for g in got], np.array([g[2] for g in got])
+    return some.select(F.xxhash64("doc_id", "text").alias("o"), F.coalesce("text", F.lit("")).alias("text"), "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: Column) -> Network:
+    """Fit on the sample, in one task (the sample is bounded), and fetch the network, which is of fixed size."""
     ship(docs.sparkSession)
-    return fit(*sample(docs, labels, rows))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["o", "toxic"], kind="stable")
+        net = fit(pdf["text"].tolist(), pdf["toxic"].to_numpy())
+        return pd.DataFrame({"net": [zlib.compress(pickle.dumps(net), 1)]})
+
+    together = sample(docs, labels, rows).withColumn("all", F.lit(True)).groupBy("all")
+    fitted = together.applyInPandas(run, "net binary").first()
+    return pickle.loads(zlib.decompress(fitted["net"])) if fitted else fit([], np.zeros(0))
 
 
 def _scores(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

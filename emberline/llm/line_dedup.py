@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WHITE = "\\u0020\\u0009\\u000a\\u000b\\u000c\\u000d"
 
@@ -45,8 +47,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
         shared = held.agg(F.min("doc_id").alias("__keep"), F.max("doc_id").alias("__last")).where("__keep < __last")
     else:
         shared = held.agg(F.min("doc_id").alias("__keep"), F.countDistinct("doc_id").alias("__n")).where(F.col("__n") >= min_docs)
+    # a table of its own: Spark splits a very common line's rows only where a join reads plain shuffles
+    shared = written(shared.select("__h1", "__h2", "__keep"), "shared-lines")
     drops = (
-        lines.join(shared.select("__h1", "__h2", "__keep"), ["__h1", "__h2"])
+        lines.join(shared, ["__h1", "__h2"])
         .where(~F.col("doc_id").eqNullSafe(F.col("__keep")))
         .groupBy(F.col("doc_id").alias("__id"), "__row")
         .agg(F.collect_set("__pos").alias("__drop"))

@@ -10,6 +10,7 @@ packing has as few bins as its pieces' total allows.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -35,7 +36,8 @@ class Encoder:
     The vocabulary file is read by `tokenizers`; the merging is done by `tiktoken` on the same ranks,
     which is several times faster and gives the same ids (tested).  A text is cut before single
     spaces, where the pattern always cuts, and encoded chunks are remembered.  Texts with two spaces
-    in a row, whose runs belong together, are encoded whole.
+    in a row, whose runs belong together, are encoded whole.  ids() spells added tokens out like other
+    text; document() gives them their own ids, as `tokenizers` does unless told otherwise.
     """
 
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -47,10 +49,21 @@ class Encoder:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-        vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=False)
+        tokenizer = Tokenizer.from_file(path)
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
         ranks = {bytes(byte_of[c] for c in t): i for t, i in vocabulary.items() if not t.startswith("<|")}
         self.encode = tiktoken.Encoding("corpus", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.chunks: dict[str, bytes] = {}
+        added = tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: np.array([i], dtype="<u4").tobytes() for i, t in added.items()}
+        self.cuts = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if added else None
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added.values()):
+            raise ValueError("added tokens that depend on the text around them")
+
+    def document(self, text: str) -> bytes:
+        if self.cuts is None or not self.cuts.search(text):
+            return self.ids(text)
+        return b"".join(self.added[x] if i % 2 else self.ids(x) for i, x in enumerate(self.cuts.split(text)))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.encode(text), dtype="<u4").tobytes()
@@ -81,7 +94,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     closing = np.array([end], dtype="<u4").tobytes()
 
     def cut(batches):
-        encode = encoder(tokenizer).ids
+        encode = encoder(tokenizer).document
         for batch in batches:
             ids = batch.column(0)
             rows, piece, start, length, crc = [], [], [], [], []

@@ -191,6 +191,21 @@ def test_encoder_matches_tokenizer():
         assert e.ids(s) == np.array(t.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes(), repr(s)
 
 
+def test_documents_keep_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    e = packing.encoder(tokenizer_path())
+    assert np.frombuffer(e.document("a<|endoftext|>b"), dtype="<u4").tolist() == [64, 50256, 65]
+    rng = random.Random(4)
+    alphabet = [" ", " ", "\n", "a", "1", "'", "s", "é", "漢", "<|", "|>", "<|endoftext|>", "<|endoftext|>"]
+    for _ in range(3000):
+        s = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14)))
+        assert e.document(s) == np.array(t.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes(), repr(s)
+    got = packing.pack_documents(table(spark, ["a<|endoftext|>b"]), tokenizer_path(), 256).first()
+    assert (got.length, got.ids_crc32) == (4, zlib.crc32(np.array([64, 50256, 65, 0], dtype="<u4").tobytes()))
+
+
 def test_packing(spark, monkeypatch):
     from tokenizers import Tokenizer
 

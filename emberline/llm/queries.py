@@ -52,7 +52,7 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.digest(_table(spark, sf_dir, "documents"))
+    return ngram_lm.digest(_table(spark, sf_dir, "documents"), order=3)
 
 
 def op10_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

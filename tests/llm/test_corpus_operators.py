@@ -312,6 +312,43 @@ def test_kneser_ney_against_dictionaries(spark):
     assert ngram_lm.digest(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_kneser_ney_of_higher_order_against_dictionaries(spark, order):
+    texts = corpus(50, 7) + ["the of and the of to", "the of and the of " * 1000] * 3
+    docs = table(spark, texts)
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    got = {r.doc_id: r for r in ngram_lm.digest(docs, order=order).collect()}
+    tok = [[*words(t), None] for t in texts]
+    train = [x for x, h in zip(tok, held) if not h]
+    V = len({w for d in train for w in d})
+    ending = lambda d, j, k: tuple([0, *d][max(0, j + 2 - k) : j + 2])
+    count = {order: Counter(ending(d, j, order) for d in train for j in range(len(d)))}
+    shorter = {g: c for g, c in count[order].items() if len(g) < order}
+    count[order] = Counter({g: c for g, c in count[order].items() if len(g) == order})
+    for k in range(order - 1, 0, -1):
+        count[k] = Counter(g[1:] for g in count[k + 1])
+        count[k].update({g: c for g, c in shorter.items() if len(g) == k})
+    D = {k: ngram_lm._discounts([sum(c == n for c in count[k].values()) for n in (1, 2, 3, 4)]) for k in count}
+    kinds, total = defaultdict(lambda: [0, 0, 0]), Counter()
+    for k in count:
+        for g, c in count[k].items():
+            kinds[g[:-1]][min(c, 3) - 1] += 1
+            total[g[:-1]] += c
+
+    def p(g):
+        k, context = len(g), g[:-1]
+        rest = p(g[1:]) if k > 1 else 1 / (V + 1)
+        if not total[context]:
+            return rest
+        c = count[k].get(g, 0)
+        return ((max(c - D[k][min(c, 3) - 1], 0) if c else 0) + sum(a * b for a, b in zip(D[k], kinds[context])) * rest) / total[context]
+
+    for i, x in enumerate(tok):
+        want = sum(math.log10(p(ending(x, j, order))) for j in range(len(x)))
+        assert math.isclose(got[i].score, want, rel_tol=1e-9, abs_tol=1e-9)
+    assert ngram_lm.digest(docs.limit(0), order=order).count() == 0
+
+
 # ---------------------------------------------------------------- sharding and urls
 
 

@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 from ..sources.stages import shared_folder
 
 
-def components(nodes: DataFrame, pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """nodes(id), pairs(a, b) -> (id, component): the smallest id that can be reached.
 
-    Labels spread to neighbours and jump along labels; the lineage is cut by checkpoint() each round.
+    Labels spread to neighbours and jump along labels until none changes; every round lowers
+    some label, so it ends.  The lineage is cut by checkpoint() each round.
     """
     shared_folder(nodes.sparkSession)  # checkpoints need one
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = nodes.select("id", F.col("id").alias("component")).distinct().checkpoint()
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("c"))
         step = labels.join(near, "id", "left").select("id", "component", F.least("component", F.coalesce("c", "component")).alias("n"))
         jump = labels.select(F.col("id").alias("n"), F.col("component").alias("further"))
@@ -26,8 +27,7 @@ def components(nodes: DataFrame, pairs: DataFrame, rounds: int = 50) -> DataFram
         changed = after.where("new <> component").limit(1).count()
         labels = after.select("id", F.col("new").alias("component"))
         if not changed:
-            break
-    return labels
+            return labels
 
 
 def density_clusters(nodes: DataFrame, pairs: DataFrame, least: int = 2) -> DataFrame:
@@ -40,24 +40,28 @@ def density_clusters(nodes: DataFrame, pairs: DataFrame, least: int = 2) -> Data
     return nodes.select("id").distinct().join(found, "id", "left").join(edge, "id", "left").select("id", F.coalesce("component", "border", "id").alias("component"))
 
 
-def leaders(items: DataFrame, compat: DataFrame, by_weight: bool = False, rounds: int = 100) -> DataFrame:
+def leaders(items: DataFrame, compat: DataFrame, by_weight: bool = False) -> DataFrame:
     """items(id, ord), compat(leader, follower, weight) with leader before follower -> (id, leader).
 
     In order, an item becomes a leader unless an earlier leader is compatible; it then joins the
     earliest such leader, or (by_weight) the one of greatest weight.  Each round settles every item
     whose earlier compatible items are settled, so rounds follow the longest chain, not the number of items.
+    They go on until all are settled; a round that settles nothing (a leader after its follower) is an error.
     """
     shared_folder(items.sparkSession)
     state = items.select("id", "ord", F.lit(None).cast("boolean").alias("lead"))
     compat = compat.checkpoint()
-    for _ in range(rounds):
+    undecided = None
+    while undecided != 0:
         seen = compat.join(state.select(F.col("id").alias("leader"), F.col("lead").alias("l")), "leader")
         view = seen.groupBy(F.col("follower").alias("id")).agg(F.max(F.coalesce("l", F.lit(False))).alias("some"), F.max(F.col("l").isNull()).alias("open"))
         joined = state.join(view, "id", "left")
         settled = F.when(F.coalesce("some", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True)
         state = joined.select("id", "ord", F.coalesce("lead", settled).alias("lead")).checkpoint()
-        if state.where("lead is null").isEmpty():
-            break
+        left = state.where("lead is null").count()
+        if left and left == undecided:
+            raise RuntimeError(f"leaders did not settle: {left} items wait for each other")
+        undecided = left
     lead = state.where("lead").select(F.col("id").alias("leader"), F.col("ord").alias("lo"))
     rank = F.row_number().over(Window.partitionBy("follower").orderBy(*([F.desc("weight")] if by_weight else []), "lo"))
     joins = compat.join(lead, "leader").withColumn("r", rank).where("r = 1").select(F.col("follower").alias("id"), "leader")

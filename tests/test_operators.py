@@ -141,6 +141,15 @@ def test_rule_reasons(spark):
     assert got == ["only_url", "repost_form", "repost_form", "generic", None, "no_entity_no_action", "only_url"]
 
 
+def test_leaders_of_a_long_chain(spark):
+    items = spark.range(110).coalesce(1).select("id", F.col("id").alias("ord"))
+    chain = items.where("id > 0").select((F.col("id") - 1).alias("leader"), F.col("id").alias("follower"), F.lit(1.0).alias("weight"))
+    assert dict(C.leaders(items, chain).collect()) == {i: i - i % 2 for i in range(110)}
+    circle = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0)], "leader long, follower long, weight double")
+    with pytest.raises(RuntimeError):
+        C.leaders(items, circle)
+
+
 def test_components_and_leaders_against_loops(spark):
     rng = random.Random(5)
     for trial in range(2):

@@ -6,8 +6,9 @@ or id names them as adverts, notices, sidebars or comments).
 
 Pass 1 classes a block by its length, its link density and its stop-word density.  Pass 2 settles
 the ambiguous ones, short or near-good, by the nearest decided neighbours on either side: both sides
-must agree, and a tie of near-good blocks goes to content.  Within an article element the
-markup itself vouches for a block, so there only link lists fall out.
+must agree, and a tie of near-good blocks goes to content.  Within an article element the markup
+is a prior only: pass 1 grades a block one step better, and pass 2 drops an ambiguous one only between
+bad blocks of the article.  A box that holds the page's main part isn't dropped for its name.
 """
 
 from __future__ import annotations
@@ -41,9 +42,9 @@ DROPPED = frozenset("nav footer aside form header menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 _BOX = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notification|alert|popup|modal|newsletter|subscribe|signup|login|"
+    r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notification|alert|popup|modal|newsletter|subscribe|signup|login|"
     r"sidebar|side|widget|related|recommend\w*|share|sharing|social|comments?|replies|respond|disqus|breadcrumbs?|pagination|pager|menu|nav\w*|"
-    r"header|masthead|footer|foot|copyright|legal|skip|hidden|toolbar|tags?|print)(?:$|[\s_-])",
+    r"header|masthead|footer|foot|copyright|legal|skip|hidden|toolbar|tags?|print)",
     re.I,
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -51,16 +52,54 @@ _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 _SPACE = re.compile(r"\s+")
 
 
-def _boxed(name: str, raw: str) -> bool:
-    """Whether an element's attributes say that it isn't content."""
-    if not raw or raw.isspace():
-        return False
-    own = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(raw)}
-    if "hidden" in own or own.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", own.get("style", "")):
-        return True
+def _attributes(raw: str) -> dict[str, str]:
+    return {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(raw)} if raw and not raw.isspace() else {}
+
+
+def _hidden(own: dict[str, str]) -> bool:
+    return "hidden" in own or own.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", own.get("style", "")))
+
+
+def _boxed(name: str, own: dict[str, str]) -> bool:
+    """Whether an element's role, class or id says that it isn't content.
+
+    A class counts as a whole, or if every hyphenated part of it is such a word: `no-sidebar` isn't a sidebar.
+    """
     if own.get("role") in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form"):
         return True
-    return name not in ("html", "body", "article", "main") and bool(_BOX.search(f"{own.get('class', '')} {own.get('id', '')}"))
+    if name in ("html", "body", "article", "main"):
+        return False
+    return any(all(_BOX.fullmatch(x) for x in re.split("[_-]+", c)) for c in f"{own.get('class', '')} {own.get('id', '')}".split())
+
+
+def _holders(page: str) -> frozenset[int]:
+    """Where the elements begin that hold the page's first main element or, without one, its first article."""
+    stack: list[tuple[str, int]] = []
+    held: frozenset[int] = frozenset()
+    at, articles = 0, 0
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        if m[2] is None:
+            continue
+        name = m[2].lower()
+        if m[1]:
+            if any(x == name for x, _ in stack):
+                while stack.pop()[0] != name:
+                    pass
+        elif name in RAW:
+            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            at = end.end() if end else len(page)
+        elif name in ("article", "main"):
+            if name == "main" or not articles:
+                held = frozenset(x for _, x in stack)
+            if name == "main":
+                break
+            articles += 1
+            stack.append((name, m.start()))
+        elif name in BLOCK or name in ("span", "a"):
+            if name not in VOID:
+                stack.append((name, m.start()))
+    return held
 
 
 def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
@@ -71,6 +110,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
     stack: list[tuple[str, bool]] = []
     dropped = anchors = articles = 0
     linked = 0
+    holders: frozenset[int] | None = None
     at, n = 0, len(page)
 
     def close() -> None:
@@ -131,7 +171,12 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
         if name in VOID or m[3].rstrip().endswith("/") and name not in BLOCK:
             continue
         inside = any(x in ("article", "main") for x, _ in stack)
-        gone = name in NEVER or (name in DROPPED and not (name == "header" and inside)) or _boxed(name, m[3])
+        own = _attributes(m[3])
+        gone = name in NEVER or _hidden(own)
+        if not gone and not (name == "header" and inside) and (name in DROPPED or _boxed(name, own)):
+            if holders is None and not dropped:
+                holders = _holders(page)
+            gone = bool(dropped) or m.start() not in holders
         stack.append((name, gone))
         dropped += gone
         anchors += name == "a"
@@ -147,35 +192,34 @@ def classify(found: list[tuple[str, int, bool, bool]]) -> list[bool]:
     for text, linked, heading, vouched in found:
         length = len(text)
         density = linked / length
+        words = text.lower().split()
+        stops = sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / len(words)
         if density > LINKS_MOST:
-            first.append("bad")
-        elif vouched:
-            first.append("good")
+            # a linked heading or sentence of an article is left to its neighbours
+            first.append("near" if vouched and (heading or (length >= SHORT and stops >= STOPS_LOW)) else "bad")
         elif "©" in text or text.startswith("&copy"):
-            first.append("bad")
+            first.append("near" if vouched else "bad")
         elif length < SHORT:
-            first.append("bad" if linked else "short")
+            first.append("short" if vouched or not linked else "bad")
+        elif stops >= STOPS_HIGH:
+            first.append("good" if vouched or length > LONG else "near")
+        elif stops >= STOPS_LOW:
+            first.append("good" if vouched else "near")
         else:
-            words = text.lower().split()
-            stops = sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / len(words)
-            if stops >= STOPS_HIGH:
-                first.append("good" if length > LONG else "near")
-            elif stops >= STOPS_LOW:
-                first.append("near")
-            else:
-                first.append("bad")
+            first.append("near" if vouched else "bad")
     n = len(first)
-    decided = [c in ("good", "bad") for c in first]
-    before: list[str] = []
-    last = "bad"
-    for c, d in zip(first, decided):
-        before.append(last)
-        last = c if d else last
-    after: list[str] = [""] * n
-    last = "bad"
-    for i in range(n - 1, -1, -1):
-        after[i] = last
-        last = first[i] if decided[i] else last
+
+    def nearest(places) -> list[str]:
+        """The nearest decided block's class by block; to a block of an article, all outside it is good."""
+        out = [""] * n
+        last, own = "bad", False
+        for i in places:
+            out[i] = "good" if found[i][3] and not own else last
+            if first[i] in ("good", "bad"):
+                last, own = first[i], found[i][3]
+        return out
+
+    before, after = nearest(range(n)), nearest(range(n - 1, -1, -1))
     out = []
     for i, c in enumerate(first):
         if c == "good" or c == "bad":
@@ -185,7 +229,7 @@ def classify(found: list[tuple[str, int, bool, bool]]) -> list[bool]:
         elif before[i] == after[i]:
             out.append(before[i] == "good")
         else:
-            out.append(c == "near")
+            out.append(found[i][3] or c == "near")
     return out
 
 

@@ -410,6 +410,21 @@ def test_html(spark):
     assert html_extract.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_html_article_is_a_prior_only():
+    text = "It is the story of a man and of the sea that he was in, and it is told for all of the people."
+    article = f"<article><h1><a href=x>The linked head</a></h1><p>{text}</p></article>"
+    want = f"The linked head\n{text}"
+    for page in (article, f"<div class='layout has-sidebar'>{article}</div>", f"<div class='no-sidebar'>{article}</div>", f"<div class='widget'><div id=side>{article}</div></div>", f"<form>{article}</form>"):
+        assert html_extract.extract(page) == want, page
+    assert html_extract.extract(f"{article}<section class=comments><article><p>{text}</p></article></section>") == want
+    assert html_extract.extract(f"<article><header class='header'><h1>Head</h1></header><p>{text}</p></article>") == f"Head\n{text}"
+    links = "<div><a href=x>One</a> <a href=y>Two</a></div>"
+    assert html_extract.extract(f"<article><p>{text}</p>{links}<p>Share this story</p>{links}<p>{text}</p></article>") == f"{text}\n{text}"
+    assert html_extract.extract(f"<div class='cookie-notice'><p>{text}</p></div>{article}") == want
+    plain = f"<div class='no-sidebar'><h1>Head</h1><p>{text} {text} {text}</p></div>"
+    assert html_extract.extract(plain).startswith("Head\n")
+
+
 # ---------------------------------------------------------------- toxicity
 
 

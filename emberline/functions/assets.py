@@ -79,3 +79,58 @@ EVENT_KINDS = {
     "trend": ("trend", "growing", "increasing", "popular", "rising"),
     "breakthrough": ("breakthrough", "milestone", "achievement", "success", "record"),
 }
+
+# Keyword rules of the improved community variant; mixed-case terms are compared with upper-cased words.
+IMPROVED_STOPS = tuple(
+    """RT The This That These Those When Where What Who How Why From With About After Before During Through Under Over
+    Some Many Most More Much Very Really Just Only Also Still Even""".split()
+)
+IMPROVED_PRODUCTS = tuple(
+    p.strip()
+    for p in """GPT, GPT-4, GPT-5, ChatGPT, Claude, Gemini, LLaMA, Mistral, Transformer, BERT, T5, PaLM, LaMDA, DALL-E, Midjourney, Stable Diffusion,
+    TensorFlow, PyTorch, JAX, CUDA, TPU, GPU, CPU, H100, A100, Blackwell,
+    OpenAI, Anthropic, Google, Microsoft, Apple, Meta, Amazon, Tesla, NVIDIA, AMD, Intel,
+    API, SDK, SaaS, PaaS, IaaS, ML, AI, AGI, NLP, CV, RL""".split(",")
+)
+IMPROVED_TERMS = tuple("AI ML LLM GPT API SDK GPU CPU".split())
+IMPROVED_TECH = tuple(
+    """GPT LLM AI ML AGI NLP CV RL Transformer BERT T5 TensorFlow PyTorch JAX CUDA TPU GPU CPU API SDK
+    ChatGPT Claude Gemini LLaMA Mistral DALL-E Midjourney""".split()
+)
+
+# Keyword rules of the final community variant.
+FINAL_WHITELIST = tuple(
+    p.strip()
+    for p in """GPT, GPT-3, GPT-4, GPT-5, ChatGPT, Claude, Gemini, LLaMA, Mistral, PaLM, LaMDA, DALL-E, Midjourney, Stable Diffusion, Transformer, BERT, T5,
+    RoBERTa, BART, TensorFlow, PyTorch, JAX, Keras, Scikit-learn, HuggingFace, LangChain, LlamaIndex, CUDA, TPU, GPU, CPU, H100, A100, Blackwell, Hopper,
+    Grace, Grace Hopper, API, SDK, SaaS, PaaS, IaaS, AWS, GCP, Azure, OpenAI, Anthropic, ML, AI, AGI, NLP, CV, RL, LLM, RAG, Fine-tuning, Prompt Engineering,
+    Replit, Codex, Copilot, GitHub, GitLab, Docker, Kubernetes, Terraform""".split(",")
+)
+FINAL_PLACES = tuple(
+    """France Germany Italy Spain England Switzerland Austria Portugal Thailand Indonesia India China Japan Brazil Argentina Colombia
+    Montenegro Latvia Greece Turkey Panama Mauritius Bali Phuket Istanbul Florence World United Kingdom Arabia Saudi Vietnam""".split()
+)
+FINAL_NAMES = tuple(
+    """James John Robert Michael William David Richard Joseph Thomas Charles Charlie Carlos Abigail Taryn Sami Felice Newitz Annalee Beall Munger
+    Zheng Bingzhang Frankel Kevin Raising""".split()
+)
+FINAL_WORDS = tuple(
+    """Scientists Empire Phenomenal University Flex Research Association Excavations Subscriptions Cryptologic Palace Killer Webb Baby Though Moments Biologists
+    Hyper Changes Feedback Postal There Controlling Ottoman Biosciences Roman Space Tiger Everything Known Colossal Scientist German International Ghana
+    Genoa Doctor Earth Teen Colombia Netherlands Service Using Learn Build Easily Lynx Iberian White Rapid Topkapi Switzerland England France
+    Indonesia Bali Mauritius Italy Island Austria Montenegro United India Arabia Kingdom Florence Greece Vietnam Portugal Saudi Phuket Turkey
+    Panama Latvia Brazil""".split()
+)
+FINAL_STOPS = IMPROVED_STOPS + tuple("They There Their Them Here".split())
+FINAL_TERMS = tuple("AI ML LLM GPT API SDK GPU CPU TPU NLP CV RL".split())
+FINAL_INDICATORS = tuple(
+    """GPT LLM AI ML AGI NLP CV RL TRANSFORMER BERT T5 TENSORFLOW PYTORCH JAX CUDA TPU GPU CPU API SDK
+    CHATGPT CLAUDE GEMINI LLAMA MISTRAL DALL MIDJOURNEY""".split()
+)
+
+# Names that a topic's texts are searched for, and capitalised words that aren't names.
+TOPIC_NAMES = tuple("OpenAI Anthropic Google Microsoft Apple Meta Amazon Tesla NVIDIA AMD Intel Twitter X Elon Musk".split())
+TOPIC_NOT_NAMES = tuple("The This That What How Why".split())
+
+# Weights of entity kinds when the centre of a community is sought.
+ENTITY_WEIGHTS = {"companies": 2.0, "products": 1.5, "technologies": 1.3, "tickers": 1.2, "hashtags": 1.0, "domains": 0.8, "mentions": 0.5}

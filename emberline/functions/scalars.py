@@ -47,10 +47,6 @@ def shown_engagement(likes: Column, reposts: Column) -> Column:
     return likes + 2 * reposts
 
 
-def mean_or_zero(total: Column, n: Column) -> Column:
-    return F.coalesce(F.try_divide(total, n), F.lit(0.0))
-
-
 def preview(text: Column, k: int) -> Column:
     return F.when(F.length(text) > k, F.concat(F.substring(text, 1, k), F.lit("..."))).otherwise(text)
 
@@ -78,13 +74,21 @@ def any_within(text: Column, words: tuple[str, ...]) -> Column:
     return text.rlike("|".join(f"\\Q{w}\\E" for w in words))
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once a row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def among(words: tuple[str, ...], test) -> Column:
+    """The words for which test(word) holds, in the order given."""
+    return F.array_compact(F.array(*(F.when(test(w), F.lit(w)) for w in words)))
+
+
 def found_within(text: Column, words: tuple[str, ...]) -> Column:
     """The words that are substrings, in the order given."""
-    return F.filter(word_list(words), lambda w: F.contains(text, w))
+    return let(text, lambda t: among(words, lambda w: F.contains(t, F.lit(w))))
 
 
-def log1p_sum(*terms: tuple[float, Column]) -> Column:
-    out = F.lit(0.0)
-    for weight, value in terms:
-        out = out + weight * F.log1p(value)
-    return out
+def found_whatever_case(text: Column, words: tuple[str, ...]) -> Column:
+    """The words whose upper-cased form is within the upper-cased text, in the order given."""
+    return let(F.upper(text), lambda up: among(words, lambda w: F.contains(up, F.lit(w.upper()))))

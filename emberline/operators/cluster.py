@@ -68,52 +68,99 @@ def leaders(items: DataFrame, compat: DataFrame, by_weight: bool = False) -> Dat
     return state.select("id", "lead").join(joins, "id", "left").select("id", F.when(F.col("lead"), F.col("id")).otherwise(F.col("leader")).alias("leader"))
 
 
-def average_linkage(vectors: DataFrame, within: DataFrame, distance: float = 0.3) -> DataFrame:
+#: Distinct vectors, or edges, of a component that one task may hold; larger components are worked on by joins.
+LINKAGE_ROWS, SWEEP_EDGES = 2_000, 200_000
+
+
+def average_linkage(vectors: DataFrame, within: DataFrame, distance: float = 0.3, most: int = LINKAGE_ROWS) -> DataFrame:
     """vectors(id, v), within(id, component) -> (id, cluster): agglomerative average linkage by cosine distance.
 
     A merge needs a pair nearer than the distance, so every cluster lies inside one component of that
-    graph, and components are clustered independently of each other.
+    graph.  Equal vectors merge first, so each distinct one stands for its copies.  Components of up to `most`
+    distinct vectors are clustered in one task each; larger ones by rounds of joins (see _merge_rounds).
     """
     kind = dict(vectors.dtypes)["id"]
+    direction = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    known = vectors.join(within, "id").select("id", "component", "v", F.sqrt(direction).alias("norm"))
+    unit = F.when(F.col("norm") > 0, F.transform("v", lambda x: F.round(x / F.col("norm"), 12))).otherwise(F.array(F.lit(0.0)))
+    # a zero vector is equal to nothing: it stays alone
+    named = known.select("id", "component", unit.alias("u"), F.when(F.col("norm") > 0, F.lit("")).otherwise(F.col("id").cast("string")).alias("own")).checkpoint()
+    stand = named.groupBy("component", "own", "u").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size")).checkpoint()
+    sizes = stand.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    small, large = sizes.where(F.col("n") <= most).select("component"), sizes.where(F.col("n") > most).select("component")
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id").reset_index(drop=True)
-        v = np.array(rows["v"].tolist(), dtype=np.float64)
-        norm = np.linalg.norm(v, axis=1, keepdims=True)
-        v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
-        total = v @ v.T
+        rows = rows.sort_values("first").reset_index(drop=True)
+        ids, count = rows["first"], rows["size"].to_numpy(dtype=np.float64)
+        width = max(map(len, rows["u"]))
+        v = np.array([np.resize(u, width) if len(u) == width else np.zeros(width) for u in rows["u"]], dtype=np.float64)
         groups = {i: [i] for i in range(len(rows))}
+        mean = v.copy()
+        near = mean @ mean.T
+        np.fill_diagonal(near, -np.inf)
         while len(groups) > 1:
-            keys = sorted(groups)
-            sizes = np.array([len(groups[k]) for k in keys])
-            mean = total[np.ix_(keys, keys)] / np.outer(sizes, sizes)
-            np.fill_diagonal(mean, -np.inf)
-            i, j = divmod(int(np.argmax(mean)), len(keys))
-            if 1 - mean[i, j] >= distance:
+            i, j = divmod(int(np.argmax(near)), len(rows))
+            if not 1 - near[i, j] < distance:
                 break
-            a, b = keys[min(i, j)], keys[max(i, j)]
-            total[a] += total[b]
-            total[:, a] += total[:, b]
+            a, b = min(i, j), max(i, j)
+            mean[a] = (mean[a] * count[a] + mean[b] * count[b]) / (count[a] + count[b])
+            count[a] += count[b]
             groups[a] += groups.pop(b)
-        ids = rows["id"]
-        return pd.DataFrame([(ids[m], ids[min(g)]) for g in groups.values() for m in g], columns=["id", "cluster"])
+            near[b, :] = near[:, b] = -np.inf
+            alive = np.fromiter(groups, dtype=np.int64)
+            near[a, alive] = near[alive, a] = mean[alive] @ mean[a]
+            near[a, a] = -np.inf
+        return pd.DataFrame([(ids[m], ids[min(g)]) for g in groups.values() for m in g], columns=["first", "cluster"])
+
+    done = stand.join(small, "component", "left_semi").groupBy("component").applyInPandas(link, f"first {kind}, cluster {kind}")
+    rest = stand.join(large, "component", "left_semi")
+    if not large.isEmpty():
+        done = done.unionByName(_merge_rounds(rest.select("first", "u", "size"), distance))
+    return named.join(stand.select("component", "own", "u", "first"), ["component", "own", "u"]).join(done, "first").select("id", "cluster")
 
-    return vectors.join(within, "id").select("id", "v", "component").groupBy("component").applyInPandas(link, f"id {kind}, cluster {kind}")
 
+def _merge_rounds(stand: DataFrame, distance: float) -> DataFrame:
+    """Average linkage of stand(first, u, size) by rounds: clusters that are each other's nearest merge, all at once.
 
-def communities(edges: DataFrame, within: DataFrame, gain: float = 0.001, sweeps: int = 10) -> DataFrame:
+    The mean cosine between two clusters is the inner product of their mean unit vectors, and average linkage is
+    reducible, so merging reciprocal neighbours gives the clusters of merging the nearest pair first (up to ties).
+    """
+    from .vectors import nearest_pairs
+
+    place = stand.select("first", F.col("first").alias("cluster")).checkpoint()
+    state = stand.select(F.col("first").alias("cluster"), F.col("u").alias("mean"), "size").checkpoint()
+    while True:
+        best = nearest_pairs(state.select(F.col("cluster").alias("tweet_id"), F.col("mean").alias("v")), 1 - distance).checkpoint()
+        both = best.join(best.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_semi").where("a < b").select("a", "b").checkpoint()
+        if both.isEmpty():
+            return place
+        into = both.select(F.col("b").alias("cluster"), F.col("a").alias("to"))
+        moved = state.join(into, "cluster", "left").withColumn("to", F.coalesce("to", "cluster"))
+        pairs = moved.groupBy("to").agg(F.collect_list(F.struct("mean", "size")).alias("m"))  # one or two
+        total = F.aggregate("m", F.lit(0).cast("long"), lambda s, x: s + x["size"])
+        mean = F.when(F.size("m") == 1, F.col("m")[0]["mean"]).otherwise(
+            F.zip_with(F.get("m", F.lit(0))["mean"], F.get("m", F.lit(1))["mean"], lambda x, y: (x * F.get("m", F.lit(0))["size"] + y * F.get("m", F.lit(1))["size"]) / total)
+        )
+        state = pairs.select(F.col("to").alias("cluster"), mean.alias("mean"), total.alias("size")).checkpoint()
+        place = place.join(into, "cluster", "left").select("first", F.coalesce("to", "cluster").alias("cluster")).checkpoint()
+
+
+def communities(edges: DataFrame, within: DataFrame, gain: float = 0.001, sweeps: int = 10, most: int = SWEEP_EDGES) -> DataFrame:
     """edges(a, b, weight), within(id, component) -> (id, community): greedy local moves in id order.
 
     A move from one community to a neighbour's changes the score by the difference of the sums of
     s = w - k_a k_b / 2m over the node's edges into both, divided by m; s is one number per edge, so
-    components can be swept on their own once degrees k and the total m are known.
+    components can be swept on their own once degrees k and the total m are known.  Components of up to `most`
+    edges are swept in one task each, larger ones by joins (see _sweep_rounds), in the same order.
     """
     both = edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
     degree = both.groupBy("a").agg(F.sum("weight").alias("k"))
     total = edges.agg(F.sum("weight").alias("m"))  # one row
     s = F.col("weight") - F.col("ka") * F.col("kb") / (2 * F.col("m"))
     scored = edges.join(degree.select("a", F.col("k").alias("ka")), "a").join(degree.select(F.col("a").alias("b"), F.col("k").alias("kb")), "b").join(F.broadcast(total))
-    scored = scored.select("a", "b", (s / F.col("m")).alias("s")).join(within.select(F.col("id").alias("a"), "component"), "a")
+    scored = scored.select("a", "b", (s / F.col("m")).alias("s")).join(within.select(F.col("id").alias("a"), "component"), "a").checkpoint()
+    sizes = scored.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    small, large = sizes.where(F.col("n") <= most).select("component"), sizes.where(F.col("n") > most).select("component")
     kind = dict(edges.dtypes)["a"]
 
     def sweep(rows: pd.DataFrame) -> pd.DataFrame:
@@ -140,4 +187,33 @@ def communities(edges: DataFrame, within: DataFrame, gain: float = 0.001, sweeps
             least[c] = min(least.get(c, x), x)
         return pd.DataFrame([(x, least[c]) for x, c in own.items()], columns=["id", "community"])
 
-    return scored.groupBy("component").applyInPandas(sweep, f"id {kind}, community {kind}")
+    done = scored.join(small, "component", "left_semi").groupBy("component").applyInPandas(sweep, f"id {kind}, community {kind}")
+    if large.isEmpty():
+        return done
+    return done.unionByName(_sweep_rounds(scored.join(large, "component", "left_semi").select("a", "b", "s"), gain, sweeps))
+
+
+def _sweep_rounds(scored: DataFrame, gain: float, sweeps: int) -> DataFrame:
+    """The same sweeps over scored(a, b, s) as joins: a round moves every node that no smaller neighbour still precedes."""
+    near = scored.unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")).checkpoint()
+    own = near.select(F.col("a").alias("id"), F.col("a").alias("own")).distinct().checkpoint()
+    for _ in range(sweeps):
+        moved = False
+        pending = own.select("id").checkpoint()
+        while not pending.isEmpty():
+            waits = near.where("b < a").join(pending.select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("id")).distinct()
+            ready = pending.join(waits, "id", "left_anti").checkpoint()
+            sums = near.join(ready.select(F.col("id").alias("a")), "a", "left_semi").join(own.select(F.col("id").alias("b"), F.col("own").alias("c")), "b")
+            sums = sums.groupBy("a", "c").agg(F.sum("s").alias("s"))
+            best = sums.join(own.select(F.col("id").alias("a"), "own"), "a").groupBy("a").agg(
+                F.min(F.struct((-F.col("s")).alias("o"), "c")).alias("m"), F.coalesce(F.max(F.when(F.col("c") == F.col("own"), F.col("s"))), F.lit(0.0)).alias("here"), F.first("own").alias("was")
+            )
+            moves = best.where((F.col("m.c") != F.col("was")) & (-F.col("m.o") - F.col("here") > gain)).select(F.col("a").alias("id"), F.col("m.c").alias("to")).checkpoint()
+            if not moves.isEmpty():
+                moved = True
+                own = own.join(moves, "id", "left").select("id", F.coalesce("to", "own").alias("own")).checkpoint()
+            pending = pending.join(ready, "id", "left_anti").checkpoint()
+        if not moved:
+            break
+    least = own.groupBy("own").agg(F.min("id").alias("community"))
+    return own.join(least, "own").select("id", "community")

@@ -42,22 +42,45 @@ def near_pairs(events: DataFrame) -> DataFrame:
     return e.withColumnRenamed("id", "a").join(b, "slot").where((F.col("a") < F.col("b")) & (F.abs(F.col("time") - F.col("tb")) <= NEAR)).select("a", "b")
 
 
-def weighted_pairs(events: DataFrame) -> DataFrame:
-    """(a, b, weight) with a < b: the first merge condition that holds.
+def _slots(events: DataFrame) -> Column:
+    return F.floor(F.col("time") / NEAR)
 
-    Candidates come from equi-joins on what a condition needs: the anchor, a shared entity, or the
-    action with neighbouring time buckets.
+
+def _around(events: DataFrame) -> Column:
+    s = _slots(events)
+    return F.explode(F.array(s - 1, s, s + 1))
+
+
+def _meetings(events: DataFrame, leaders: DataFrame | None, keys: tuple[str, ...]) -> DataFrame:
+    """Pairs (a, b) with a before b that share a key: equi-joins on the anchor, an entity, the action, or time slots.
+
+    Without leaders all pairs of events; with a block of leaders (bounded, broadcast) pairs of a leader and a later event.
+    """
+    left = events if leaders is None else F.broadcast(leaders)
+    out = None
+    for key in keys:
+        if key == "anchor":
+            x, y = left.select(F.col("id").alias("a"), F.col("anchor_id").alias("k")), events.select(F.col("id").alias("b"), F.col("anchor_id").alias("k"))
+            x = x.where("k <> ''")
+        elif key == "entity":
+            x, y = left.select(F.col("id").alias("a"), F.explode("entity").alias("k")), events.select(F.col("id").alias("b"), F.explode("entity").alias("k"))
+        elif key == "action":
+            x, y = left.select(F.col("id").alias("a"), F.col("action").alias("k")), events.select(F.col("id").alias("b"), F.col("action").alias("k"))
+        else:
+            x, y = left.select(F.col("id").alias("a"), _slots(left).alias("k")), events.select(F.col("id").alias("b"), _around(events).alias("k"))
+        pairs = (x if leaders is None else F.broadcast(x)).join(y, "k").where("a < b").select("a", "b")
+        out = pairs if out is None else out.unionByName(pairs)
+    return out.distinct()
+
+
+def weighted_pairs(events: DataFrame, leaders: DataFrame | None = None) -> DataFrame:
+    """(a, b, weight) with a < b: the first merge condition that holds.  events(id, time, entity, author, action, anchor_id).
+
+    Candidates come from equi-joins on what a condition needs: the anchor, a shared entity or the action.
+    With leaders (a block of events, bounded by the caller) only pairs whose first event is one of them.
     """
     e = events.select("id", "time", "entity", "author", "action", "anchor_id")
-    a, b = e.select(F.col("id").alias("a"), "anchor_id"), e.select(F.col("id").alias("b"), "anchor_id")
-    by_anchor = a.where("anchor_id <> ''").join(b, "anchor_id").where("a < b").select("a", "b")
-    own = e.select("id", F.explode("entity").alias("x"))
-    by_entity = own.select(F.col("id").alias("a"), "x").join(own.select(F.col("id").alias("b"), "x"), "x").where("a < b").select("a", "b")
-    slot = F.floor(F.col("time") / NEAR)
-    acts = e.where("action is not null").select("id", "action", slot.alias("slot"))
-    around = acts.select(F.col("id").alias("b"), "action", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"))
-    by_action = acts.withColumnRenamed("id", "a").join(around, ["action", "slot"]).where("a < b").select("a", "b")
-    s = _sides(by_anchor.unionByName(by_entity).unionByName(by_action).distinct(), e)
+    s = _sides(_meetings(e, leaders, ("anchor", "entity", "action")), e)
     near = F.abs(F.col("time_a") - F.col("time_b")) <= NEAR
     shared, same = F.arrays_overlap("entity_a", "entity_b"), F.coalesce(F.col("action_a") == F.col("action_b"), F.lit(False))
     weight = (
@@ -69,29 +92,100 @@ def weighted_pairs(events: DataFrame) -> DataFrame:
     return s.select("a", "b", weight.alias("weight")).where("weight is not null")
 
 
+def condition_pairs(events: DataFrame, edges: DataFrame, leaders: DataFrame | None = None, least: int = 2) -> DataFrame:
+    """(a, b, satisfied) with a < b and at least two of: shared entity, same action, near in time, two authors, joined by an edge.
+
+    Two authors alone are one condition, so every such pair meets in an entity, an action, a time slot or an edge.
+    """
+    e = events.select("id", "time", "entity", "author", "action")
+    joined = edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).where("a <> b").distinct()
+    if leaders is not None:
+        joined = joined.join(F.broadcast(leaders.select(F.col("id").alias("a"))), "a", "left_semi")
+    pairs = _meetings(e, leaders, ("entity", "action", "time")).unionByName(joined.select("a", "b")).distinct()
+    return condition_count(pairs, e, edges, with_action=True).where(F.col("satisfied") >= least)
+
+
+def block_leaders(events: DataFrame, pairs, block: int = 1000, by_weight: bool = False) -> DataFrame:
+    """Leader clustering of events(id, ...) in order of id, without the table of all pairs: (id, leader, weight).
+
+    pairs(leaders, events) gives (a, b, weight) for compatible events b later than a leader a.  A round settles the
+    first events that are still open (at most `block`, so that they may be broadcast) among themselves, then joins
+    the new leaders to all later events.  A hot entity or time slot costs its events times the leaders in it, not
+    its events squared.  Followers join the earliest leader, or (by_weight) the heaviest; a leader has weight 0.
+    """
+    from ..sources.stages import staged
+    from .cluster import leaders as settle
+
+    opened = staged(events.select("id"), "open")
+    found, led = None, None
+    while True:
+        head = events.join(F.broadcast(opened.orderBy("id").limit(block)), "id", "left_semi")
+        head = staged(head, "block")
+        if head.isEmpty():
+            break
+        inner = staged(pairs(head, head), "meetings")
+        fixed = settle(head.select("id", F.col("id").alias("ord")), inner.select(F.col("a").alias("leader"), F.col("b").alias("follower"), "weight"))
+        new = staged(head.join(fixed.where("id = leader").select("id"), "id", "left_semi"), "leaders")
+        hits = staged(pairs(new, events), "hits")
+        led = new.select("id") if led is None else led.unionByName(new.select("id"))
+        found = hits if found is None else found.unionByName(hits)
+        opened = staged(opened.join(new.select("id"), "id", "left_anti").join(hits.select(F.col("b").alias("id")), "id", "left_anti"), "open")
+    if led is None:
+        return events.select("id", F.col("id").alias("leader"), F.lit(0.0).alias("weight"))
+    # struct minimum: the heaviest, then the earliest leader
+    best = F.min(F.struct((-F.col("weight") if by_weight else F.lit(0.0)).alias("o"), F.col("a").alias("leader"), "weight")).alias("best")
+    joins = found.groupBy(F.col("b").alias("id")).agg(best).select("id", "best.leader", "best.weight")
+    own = led.select("id", F.col("id").alias("leader"), F.lit(0.0).alias("weight"))
+    return own.unionByName(joins.join(led, "id", "left_anti"))
+
+
+def kept_clusters(found: DataFrame, least: int = 2, prefix: str = "") -> DataFrame:
+    """(id, leader, weight) -> (cluster_id, id, cluster_weight) of clusters of at least so many; the weight is the greatest."""
+    size = found.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("cluster_weight")).where(F.col("n") >= least)
+    return found.join(size, "leader").select(F.concat(F.lit(prefix), F.col("leader").cast("string")).alias("cluster_id"), "id", "cluster_weight")
+
+
 def anchor_clusters(events: DataFrame, edges: DataFrame) -> DataFrame:
-    """Posts that refer to an anchor (a post with references) join it; an anchor that joined another one leads nothing.
+    """Posts that refer to an anchor join it: (cluster_id, id), clusters of one anchor alone too.
 
-    (cluster_id, id), clusters of two or more; in order of id each anchor takes what earlier ones left.
+    In order of id each anchor that no earlier one took leads, and takes every post that refers to it, whatever its
+    place in the order, unless an earlier anchor took it or it leads already.  events(id, is_anchor), edges(source, target).
     """
     from .cluster import leaders
 
     e = events.select("id", "is_anchor")
-    refs = edges.join(e.where("is_anchor").select(F.col("id").alias("target")), "target").join(e.select(F.col("id").alias("source")), "source")
-    compat = refs.where("source <> target").select(F.col("target").alias("leader"), F.col("source").alias("follower"), F.lit(1.0).alias("weight")).distinct()
-    compat = compat.where("leader < follower")
-    found = leaders(e.select("id", F.col("id").alias("ord")), compat)
-    sized = found.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leader")
-    return found.join(sized, "leader").select(F.col("leader").alias("cluster_id"), "id")
+    anchors = e.where("is_anchor").select("id")
+    refs = edges.where("source <> target").join(anchors.select(F.col("id").alias("target")), "target", "left_semi").join(e.select(F.col("id").alias("source")), "source", "left_semi").select("source", "target").distinct()
+    among = refs.join(anchors.select(F.col("id").alias("source")), "source", "left_semi").where("target < source")
+    led = leaders(anchors.select("id", F.col("id").alias("ord")), among.select(F.col("target").alias("leader"), F.col("source").alias("follower"), F.lit(1.0).alias("weight")))
+    lead = led.where("id = leader").select("id")
+    taken = refs.join(lead.select(F.col("id").alias("target")), "target", "left_semi").join(lead.select(F.col("id").alias("source")), "source", "left_anti")
+    followers = taken.groupBy(F.col("source").alias("id")).agg(F.min("target").alias("cluster_id"))
+    return lead.select(F.col("id").alias("cluster_id"), "id").unionByName(followers.select("cluster_id", "id"))
+
 
+def cluster_scores(
+    members: DataFrame,
+    events: DataFrame,
+    edges: DataFrame,
+    roster: DataFrame,
+    weights: DataFrame | None = None,
+    least_authors: int = 2,
+    coherence: DataFrame | None = None,
+    least_coherence: float = 0.0,
+    as_of: int | None = None,
+) -> DataFrame:
+    """members(cluster_id, id) -> per cluster with enough authors: counts, engagement, propagation and event_score.
 
-def cluster_scores(members: DataFrame, events: DataFrame, edges: DataFrame, roster: DataFrame, weights: DataFrame | None = None, least_authors: int = 2) -> DataFrame:
-    """members(cluster_id, id) -> per cluster with enough authors: counts, engagement, propagation and event_score."""
+    weights(cluster_id, cluster_weight) adds half the weight; coherence(cluster_id, coherence) adds itself and drops
+    clusters below least_coherence; as_of (seconds) adds a half for clusters whose first post is 24 to 72 hours old.
+    """
     from .edges import edges_within
 
     e = members.join(events, "id").join(roster.select(F.col("username").alias("author"), "followers_count"), "author", "left")
+    range_ = [F.min("time").alias("first_ts"), F.max("time").alias("last_ts")] if "time" in events.columns else []
     rows = e.groupBy("cluster_id").agg(
-        F.count(F.lit(1)).alias("tweet_cnt"), F.countDistinct("author").alias("author_cnt"), F.sum("engagement").alias("engagement"), F.sum(F.coalesce("followers_count", F.lit(0))).alias("followers")
+        F.count(F.lit(1)).alias("tweet_cnt"), F.countDistinct("author").alias("author_cnt"), F.sum("engagement").alias("engagement"), F.sum(F.coalesce("followers_count", F.lit(0))).alias("followers"), *range_
     )
     inner = edges.select(F.col("source").alias("source_tweet_id"), F.col("target").alias("target_tweet_id"))
     rows = rows.join(edges_within(inner, members.select("cluster_id", F.col("id").alias("tweet_id"))), "cluster_id", "left").withColumn("propagation", F.coalesce("propagation", F.lit(0)))
@@ -99,6 +193,67 @@ def cluster_scores(members: DataFrame, events: DataFrame, edges: DataFrame, rost
         F.log1p("engagement") + 3.0 * F.col("author_cnt") + 1.5 * F.log1p("propagation") + 0.5 * F.log1p("tweet_cnt") + 0.3 * F.log1p(F.col("followers") / F.greatest(F.col("author_cnt"), F.lit(1)))
     )
     if weights is not None:
-        rows = rows.join(weights, "cluster_id", "left")
-        score = score + 0.5 * F.coalesce("cluster_weight", F.lit(0.0))
+        rows = rows.join(weights, "cluster_id", "left").withColumn("cluster_weight", F.coalesce("cluster_weight", F.lit(0.0)))
+        score = score + 0.5 * F.col("cluster_weight")
+    if coherence is not None:
+        rows = rows.join(coherence, "cluster_id", "left").withColumn("coherence", F.coalesce("coherence", F.lit(0.0))).where(F.col("coherence") >= least_coherence)
+        score = score + F.col("coherence")
+    if as_of is not None:
+        rows = rows.withColumn("novelty", is_new(F.col("first_ts"), as_of))
+        score = score + 0.5 * F.col("novelty")
     return rows.withColumn("event_score", score).where(F.col("author_cnt") >= least_authors)
+
+
+def is_new(first_ts: Column, as_of: int) -> Column:
+    """1 for what began 24 to 72 hours before as_of, else 0."""
+    return F.when((as_of - first_ts).between(24 * 3600, 72 * 3600), 1.0).otherwise(0.0)
+
+
+def pair_coherence(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Mean similarity of the retained pairs(a, b, cos) within a cluster; a cluster without such a pair has no row."""
+    a, b = members.select("cluster_id", F.col("id").alias("a")), members.select("cluster_id", F.col("id").alias("b"))
+    return pairs.join(a, "a").join(b, ["cluster_id", "b"]).groupBy("cluster_id").agg(F.avg("cos").alias("coherence"))
+
+
+def seeded_scores(members: DataFrame, events: DataFrame, propagation: DataFrame, coherence: DataFrame, filtered: bool = True) -> DataFrame:
+    """Scores of events from seeds, with novelty log1p(posts) * log1p(authors) and twice the coherence.
+
+    One author costs 0.7 of the score (0.3 below an engagement of 100), a coherence below 0.3 in three posts or more the half;
+    filtered drops one author below an engagement of 50 and three posts or more below a coherence of 0.2.
+    """
+    rows = members.join(events, "id").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("tweet_cnt"), F.countDistinct(F.nullif("author", F.lit(""))).alias("author_cnt"), F.sum("engagement").alias("engagement"))
+    rows = rows.join(propagation, "cluster_id", "left").join(coherence, "cluster_id", "left").fillna({"propagation": 0, "coherence": 0.0})
+    a, t, e, c = F.col("author_cnt"), F.col("tweet_cnt"), F.col("engagement"), F.col("coherence")
+    novelty = F.log1p(t) * F.log1p(a)
+    score = F.log1p(e) + 3.0 * a + 1.5 * F.log1p("propagation") + 0.5 * novelty + 2.0 * c
+    score = score * F.when(a >= 2, 1.0).when(e < 100, 0.3).otherwise(0.7) * F.when((c < 0.3) & (t >= 3), 0.5).otherwise(1.0)
+    rows = rows.withColumn("novelty", novelty).withColumn("event_score", score)
+    return rows.where(~((a < 2) & (e < 50)) & ~((c < 0.2) & (t >= 3))) if filtered else rows
+
+
+def top_clusters(scored: DataFrame, score: str = "event_score", n: int = 5) -> DataFrame:
+    """The n best with rank, ties by id."""
+    from pyspark.sql import Window
+
+    best = scored.orderBy(F.desc(score), "cluster_id").limit(n)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), "cluster_id")))  # n rows
+
+
+def merge_events(members: DataFrame, entities: DataFrame, phrases: DataFrame, most_phrases: int = 10) -> DataFrame:
+    """Clusters that share a ticker, a company or two key phrases join the earliest such leader: (cluster_id, id).
+
+    members(cluster_id, id); entities(cluster_id, kind, name); phrases(cluster_id, phrase), of which the first
+    `most_phrases` in order count.  Clusters are settled in order of their ids, by their own sets, not merged ones.
+    """
+    from pyspark.sql import Window
+
+    from .cluster import leaders
+
+    place = F.row_number().over(Window.partitionBy("cluster_id").orderBy("phrase"))
+    key = phrases.distinct().withColumn("p", place).where(F.col("p") <= most_phrases).select("cluster_id", F.concat(F.lit("phrase:"), "phrase").alias("k"), F.lit(1).alias("w"))
+    names = entities.where(F.col("kind").isin("tickers", "companies")).select("cluster_id", F.concat_ws(":", "kind", "name").alias("k"), F.lit(2).alias("w"))
+    keys = key.unionByName(names)
+    pairs = keys.select(F.col("cluster_id").alias("leader"), "k", "w").join(keys.select(F.col("cluster_id").alias("follower"), "k"), "k").where("leader < follower")
+    compat = pairs.groupBy("leader", "follower").agg(F.sum("w").alias("w")).where("w >= 2").select("leader", "follower", F.lit(1.0).alias("weight"))
+    found = leaders(members.select(F.col("cluster_id").alias("id"), F.col("cluster_id").alias("ord")).distinct(), compat)
+    return members.join(found.select(F.col("id").alias("cluster_id"), "leader"), "cluster_id").select(F.col("leader").alias("cluster_id"), "id").distinct()

@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import norm_username, parsed_time, strip, url_domain
 
-#: Accounts that may be broadcast; a larger roster is joined by shuffle.
-BROADCAST_ACCOUNTS = 1_000_000
+#: Accounts that may be broadcast (some 50 bytes a name); a larger roster is joined by shuffle.
+BROADCAST_ACCOUNTS = 100_000
 
 
-def by_roster(posts: DataFrame, roster: DataFrame, broadcast: bool = False) -> DataFrame:
+def by_roster(posts: DataFrame, roster: DataFrame) -> DataFrame:
     """Posts whose normalised author is in the roster; an empty name there lets empty authors through.
 
-    Set broadcast only for a roster of at most BROADCAST_ACCOUNTS names.
+    Names are sent to every task only if there are at most BROADCAST_ACCOUNTS (counted up to that bound).
     """
     names = roster.select(norm_username(F.col("username")).alias("__name")).distinct()
-    names = F.broadcast(names) if broadcast else names
+    if roster.select("username").limit(BROADCAST_ACCOUNTS + 1).count() <= BROADCAST_ACCOUNTS:
+        names = F.broadcast(names)
     return posts.join(names, norm_username(F.col("author_username")) == F.col("__name"), "left_semi")
 
 
@@ -69,6 +70,9 @@ def clean(posts: DataFrame, roster: DataFrame | None = None, offset_hours: int =
 
 
 def recent(posts: DataFrame, seconds: int) -> DataFrame:
-    """Posts later than so many seconds before the latest one."""
-    last = posts.agg(F.max("created_ts").alias("__last"))  # one row
-    return posts.join(F.broadcast(last), F.col("created_ts") > F.col("__last") - seconds).drop("__last")
+    """Posts later than so many seconds before the latest one.
+
+    The latest time is read first (one value), so that the scan gets a constant to filter by.
+    """
+    last = posts.agg(F.max("created_ts")).first()[0]
+    return posts.where(F.col("created_ts") > (0 if last is None else last - seconds))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import assets
-from ..functions.scalars import any_within, found_within, tokens, word_list
+from ..functions.scalars import among, any_within, found_whatever_case, found_within, let, tokens, word_list
 from .topics import relevant
 
 
@@ -53,34 +53,32 @@ def companies(text: Column, names: tuple[str, ...]) -> Column:
 
 def products(text: Column, names: tuple[str, ...]) -> Column:
     """Names whose upper-cased form is within the upper-cased text."""
-    up = F.upper(text)
-    return F.filter(word_list(tuple(names)), lambda n: F.contains(up, F.upper(n)))
+    return found_whatever_case(text, names)
 
 
 def gated_entities(text: Column) -> Column:
     """Dictionary entries within the text whatever the case, sorted."""
-    up, low = F.upper(text), F.lower(text)
-    names = sorted(set(assets.GATE_COMPANIES + assets.GATE_PRODUCTS + assets.GATE_CONCEPTS))
-    return F.filter(word_list(tuple(names)), lambda n: F.contains(up, F.upper(n)) | F.contains(low, F.lower(n)))
+    names = tuple(sorted(set(assets.GATE_COMPANIES + assets.GATE_PRODUCTS + assets.GATE_CONCEPTS)))
+    both = F.struct(F.upper(text).alias("up"), F.lower(text).alias("low"))
+    return let(both, lambda t: among(names, lambda n: F.contains(t["up"], F.lit(n.upper())) | F.contains(t["low"], F.lit(n.lower()))))
 
 
 def actions(text: Column, verbs: tuple[str, ...]) -> Column:
     """Verbs within the text, sorted."""
-    low = F.lower(text)
-    return F.filter(word_list(tuple(sorted(set(verbs)))), lambda v: F.contains(low, F.lower(v)))
+    return let(F.lower(text), lambda low: among(tuple(sorted(set(verbs))), lambda v: F.contains(low, F.lit(v.lower()))))
 
 
 GATE_VERBS = tuple(v for group in assets.GATE_VERBS.values() for v in group)
 
 
 def _only_urls(text: Column) -> Column:
+    """Nothing but urls and white space; most texts are settled by how they begin."""
     bare = F.replace(F.regexp_replace(text, r"https?://\S+", ""), F.lit("<URL>"), F.lit(""))
-    return F.regexp_replace(bare, r"\s+", "") == ""
+    return text.rlike(r"^\s*(?:https?://|<URL>|$)") & (F.regexp_replace(bare, r"\s+", "") == "")
 
 
 def _only(text: Column, words: tuple[str, ...]) -> Column:
-    own = F.array_distinct(tokens(text))
-    return (F.size(own) > 0) & (F.size(F.array_except(own, word_list(words))) == 0)
+    return let(tokens(text), lambda own: (F.size(own) > 0) & (F.size(F.array_except(own, word_list(words))) == 0))
 
 
 def rule_reason(text: Column, domains: Column, n_entities: Column, n_verbs: Column) -> Column:
@@ -88,7 +86,7 @@ def rule_reason(text: Column, domains: Column, n_entities: Column, n_verbs: Colu
     bare = F.trim(text)
     return (
         F.when(_only_urls(text), "only_url")
-        .when(bare.startswith("RT @") | (F.lower(bare).startswith("via") & (F.length(text) < 50)), "repost_form")
+        .when(bare.startswith("RT @") | ((F.lower(F.left(bare, F.lit(3))) == "via") & (F.length(text) < 50)), "repost_form")
         .when(F.arrays_overlap(domains, word_list(assets.RULE_PLATFORMS)), "platform")
         .when((n_entities == 0) & (n_verbs == 0), "no_entity_no_action")
         .when(_only(text, assets.RULE_GENERIC), "generic")
@@ -127,6 +125,14 @@ def event_seeds(posts: DataFrame) -> DataFrame:
     return a.unionByName(phrases).distinct()
 
 
+def seed_keys(tagged: DataFrame) -> DataFrame:
+    """tagged(id, entities, phrases) -> (seed_key, id): tickers, companies (lower case) and phrases that hold a topic keyword."""
+    part = lambda kind, c: tagged.select(F.explode(c).alias("x"), "id").select(F.concat(F.lit(f"{kind}:"), "x").alias("seed_key"), "id")
+    relevant_phrases = F.filter("phrases", lambda p: any_within(p, assets.TOPIC_KEYWORDS))
+    lowered = F.transform("entities.companies", F.lower)
+    return part("ticker", F.col("entities.tickers")).unionByName(part("company", lowered)).unionByName(part("phrase", relevant_phrases)).distinct()
+
+
 def co_occurrence(entities: DataFrame) -> DataFrame:
     """entities(tweet_id, entity) -> unordered pairs within a post and in how many posts they meet."""
     own = entities.groupBy("tweet_id").agg(F.array_sort(F.collect_set("entity")).alias("e"))
@@ -136,7 +142,13 @@ def co_occurrence(entities: DataFrame) -> DataFrame:
 
 def event_kind(posts: DataFrame) -> DataFrame:
     """tweet_id, kind and hits: the kind with most of its keywords within the text, ties to the first; none: no row."""
-    low = F.lower(F.col("text"))
-    scores = F.array(*(F.struct(F.size(F.filter(word_list(ws), lambda w: F.contains(low, w))).alias("hits"), F.lit(-i).alias("o"), F.lit(k).alias("kind")) for i, (k, ws) in enumerate(assets.EVENT_KINDS.items())))
-    best = posts.select("tweet_id", F.array_max(scores).alias("x"))
+    def scores(low: Column) -> Column:
+        return F.array(*(F.struct(kind_hits(low, ws).alias("hits"), F.lit(-i).alias("o"), F.lit(k).alias("kind")) for i, (k, ws) in enumerate(assets.EVENT_KINDS.items())))
+
+    best = posts.select("tweet_id", F.array_max(let(F.lower(F.col("text")), scores)).alias("x"))
     return best.select("tweet_id", "x.kind", "x.hits").where("hits > 0")
+
+
+def kind_hits(low: Column, words: tuple[str, ...]) -> Column:
+    """How many of the words are within lower-cased text."""
+    return sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0))

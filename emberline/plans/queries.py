@@ -97,6 +97,25 @@ growth AS (SELECT *, CASE WHEN a = 0 AND t = 0 THEN 'fade' WHEN g1 > 2 AND h1 >
 """
 
 
+def anchors_sql(kept: str = "kept", edges: str = "ed", anchor: str = "refs >= 1") -> str:
+    """CTEs up to anchored(cluster_id, id): anchors in order of id, one a step."""
+    return f""", an AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS i FROM {kept} WHERE {anchor}),
+  ar AS MATERIALIZED (SELECT DISTINCT source, target FROM {edges} WHERE source <> target AND source IN (SELECT id FROM {kept}) AND target IN (SELECT id FROM an)),
+  ae AS MATERIALIZED (SELECT i, an.id, coalesce(list(target) FILTER (target < an.id), []) AS earlier FROM an LEFT JOIN ar ON source = an.id GROUP BY i, an.id),
+  af(i, lead) AS (SELECT 0::BIGINT, list(id) FILTER (false) FROM an UNION ALL SELECT f.i + 1, CASE WHEN list_has_any(coalesce(f.lead, []), t.earlier) THEN f.lead ELSE list_append(coalesce(f.lead, []), t.id) END FROM af f JOIN ae t ON t.i = f.i + 1),
+  al AS MATERIALIZED (SELECT unnest(lead) AS id FROM af WHERE i = (SELECT count(*) FROM an)),
+  anchored AS MATERIALIZED (SELECT id AS cluster_id, id FROM al UNION ALL SELECT min(target), source FROM ar WHERE target IN (SELECT id FROM al) AND source NOT IN (SELECT id FROM al) GROUP BY source)"""
+
+
+def leaders_sql(items: str, pairs: str, by_weight: bool = False) -> str:
+    """CTEs up to grown(id, leader, weight) from items(id) and pairs(a, b, weight), one item a step."""
+    best = "w.weight DESC, w.a" if by_weight else "w.a"
+    return f""", it AS MATERIALIZED (SELECT i, id, coalesce(list(w.a) FILTER (w.a IS NOT NULL), []) AS earlier FROM (SELECT id, row_number() OVER (ORDER BY id) AS i FROM {items}) s LEFT JOIN {pairs} w ON w.b = s.id GROUP BY i, id),
+  lf(i, lead) AS (SELECT 0::BIGINT, list(id) FILTER (false) FROM it UNION ALL SELECT f.i + 1, CASE WHEN list_has_any(coalesce(f.lead, []), t.earlier) THEN f.lead ELSE list_append(coalesce(f.lead, []), t.id) END FROM lf f JOIN it t ON t.i = f.i + 1),
+  ld AS MATERIALIZED (SELECT unnest(lead) AS id FROM lf WHERE i = (SELECT count(*) FROM it)),
+  grown AS MATERIALIZED (SELECT id, id AS leader, 0.0::DOUBLE AS weight FROM ld UNION ALL SELECT id, leader, weight FROM (SELECT w.b AS id, w.a AS leader, w.weight, row_number() OVER (PARTITION BY w.b ORDER BY {best}) AS n FROM {pairs} w WHERE w.a IN (SELECT id FROM ld) AND w.b NOT IN (SELECT id FROM ld)) WHERE n = 1)"""
+
+
 def query(sql: str | None = None, base: bool = True):
     """Register a query under its function's name, with the SQL that gives its rows."""
 
@@ -122,10 +141,10 @@ def hot_topics_top5(spark, d):
     return run(spark, d).top.select("rank", "topic_type", "topic_key", "tier", "tweet_cnt", "unique_author_cnt", "ref_cnt", F.round("hot_score", 6).alias("hot_score"))
 
 
-@query("SELECT 'u' || user_id AS a, 'u' || user_id || ' b' AS b FROM events", base=False)
+@query("SELECT 'u' || user_id || ' @b' AS a, 'u' || user_id || ' b' AS b, '@@u' || user_id || ' @b' AS c FROM events", base=False)
 def norm_usernames(spark, d):
     name = F.concat(F.lit(" @@U"), "user_id", F.lit(" @B "))
-    return src.table(spark, d, "events").select(X.norm_username(F.ltrim(name)).substr(F.lit(1), F.length(F.concat(F.lit("u"), "user_id"))).alias("a"), X.norm_username_all(name).alias("b"))
+    return src.table(spark, d, "events").select(X.norm_username(F.ltrim(name)).alias("a"), X.norm_username_all(name).alias("b"), X.norm_username(name).alias("c"))
 
 
 @query(

@@ -110,6 +110,6 @@ def entity_context(spark, d):
 
 
 @docs_query(f", c AS (SELECT tweet_id, list_filter({words_sql(assets.GRAPH_COMPANIES)}, lambda w: contains(lower(text), w)) AS w FROM docs) SELECT tweet_id, len(w)::INTEGER AS n, array_to_string(w, ',') AS companies FROM c WHERE len(w) > 0")
-def entities_b(spark, d):
+def document_companies(spark, d):
     found = W.companies(F.col("text"), assets.GRAPH_COMPANIES)
     return _docs(spark, d).select("tweet_id", F.size(found).alias("n"), F.array_join(F.transform(found, F.lower), ",").alias("companies")).where("n > 0")

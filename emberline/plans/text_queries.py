@@ -11,7 +11,8 @@ from ..operators import events as V
 from ..operators import text as W
 from ..operators import vectors as D
 from ..sources import posts as src
-from .queries import query, run, words_sql
+from ..sources.stages import staged
+from .queries import anchors_sql, leaders_sql, query, run, words_sql
 
 _TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 _DOCS = rf"""WITH RECURSIVE docs AS (SELECT doc_id::VARCHAR AS tweet_id, source AS author, 1700000000 + doc_id * 977 AS created_ts, coalesce(text, '') AS text FROM documents),
@@ -261,15 +262,14 @@ def coherence(spark, d):
     return D.coherence(members, v).select("cluster_id", F.round("coherence", 6).alias("coherence"))
 
 
-@docs_query()
+@docs_query(_GATED + _EV + ", hv AS MATERIALIZED (SELECT * FROM wp WHERE weight >= 4)" + leaders_sql("ev", "hv", by_weight=True) + " SELECT id, leader FROM grown")
 def incremental_new(spark, d):
-    """Weighted leader clustering of gated events; oracle-free, held against a sequential fold in tests."""
-    e = _events(spark, d)
-    pairs = V.weighted_pairs(e).where("weight >= 4")
-    return C.leaders(e.select("id", F.col("id").alias("ord")), pairs.select(F.col("a").alias("leader"), F.col("b").alias("follower"), "weight"), by_weight=True)
+    """Weighted leader clustering of gated events."""
+    e = staged(_events(spark, d), "events")
+    return V.block_leaders(e, lambda leaders, events: V.weighted_pairs(events, leaders).where("weight >= 4"), by_weight=True).select("id", "leader")
 
 
-@docs_query()
+@docs_query(_SIM + ", hv AS MATERIALIZED (SELECT a, b, 1.0::DOUBLE AS weight FROM sim WHERE cos > 0.95), pts AS (SELECT tweet_id AS id FROM vec)" + leaders_sql("pts", "hv") + " SELECT id, leader FROM grown")
 def greedy_distance(spark, d):
     v = _vectors(spark, d)
     pairs = D.similar_pairs(v, 0.95)
@@ -293,7 +293,11 @@ def communities(spark, d):
     return C.communities(e, C.components(nodes, e))
 
 
-@query()
+@query(
+    ", tg AS (SELECT DISTINCT target::BIGINT AS id FROM wedges), ak AS (SELECT tweet_id::BIGINT AS id, tweet_id::BIGINT IN (SELECT id FROM tg) AS is_anchor FROM weeks), ae0 AS (SELECT source::BIGINT AS source, target::BIGINT AS target FROM wedges)"
+    + anchors_sql("ak", "ae0", "is_anchor")
+    + " SELECT cluster_id, id FROM anchored"
+)
 def anchor_clusters(spark, d):
     r = run(spark, d)
     edges = r.weeks_edges.select(F.col("source_tweet_id").alias("source"), F.col("target_tweet_id").alias("target"))
@@ -309,7 +313,7 @@ def anchor_clusters(spark, d):
    round(ln(1 + sum(eng)) + 3.0 * count(DISTINCT author) + 1.5 * ln(1 + coalesce(max(n), 0)) + 0.5 * ln(1 + count(*)) + 0.3 * ln(1 + sum(coalesce(followers, 0)) / greatest(count(DISTINCT author), 1)), 6) AS event_score
   FROM pe LEFT JOIN pr ON cluster_id = tag GROUP BY tag HAVING count(DISTINCT author) >= 2"""
 )
-def event_score(spark, d):
+def tag_cluster_score(spark, d):
     r = run(spark, d)
     m = lambda c: F.col(f"public_metrics.{c}_count")
     events = r.weeks.select(F.col("tweet_id").alias("id"), "author", X.weighted_engagement(m("like"), m("repost"), m("reply"), m("quote")).alias("engagement"))

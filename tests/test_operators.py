@@ -241,3 +241,75 @@ def test_sources(spark, tmp_path):
     assert rows(J.read_roster(spark, str(roster))) == [("a", 7), ("b", 0)]
     J.write_report(spark.createDataFrame([(1, "é")], "a int, b string"), str(tmp_path / "o.json"))
     assert "é" in (tmp_path / "o.json").read_text()
+
+
+def test_block_leaders_against_loop(spark):
+    from emberline.operators import events as V
+
+    rng = random.Random(3)
+    given = [(f"{i:03d}", rng.randrange(0, 400) * 3600, [rng.choice("pqrstu")] if rng.random() < 0.6 else [], rng.choice("xyz"), rng.choice([None, "a", "b", "c"]), rng.choice(["", "", "k1", "k2"])) for i in range(60)]
+    e = spark.createDataFrame(given, "id string, time long, entity array<string>, author string, action string, anchor_id string")
+
+    def weight(x, y):
+        near, shared, same = abs(x[1] - y[1]) <= V.NEAR, bool(set(x[2]) & set(y[2])), x[4] is not None and x[4] == y[4]
+        return 10 if x[5] and x[5] == y[5] else 8 if shared and same else 6 if shared and near else 4 if x[3] != y[3] and near and same else 0
+
+    lead, want = [], {}
+    for x in given:
+        fits = [(-weight(y, x), y[0]) for y in lead if weight(y, x)]
+        want[x[0]] = min(fits)[1] if fits else x[0]
+        if not fits:
+            lead.append(x)
+    for block in (7, 1000):
+        got = {r.id: r.leader for r in V.block_leaders(e, lambda leaders, events: V.weighted_pairs(events, leaders), block, by_weight=True).collect()}
+        assert got == want
+
+
+def test_anchors_take_earlier_followers(spark):
+    from emberline.operators import events as V
+
+    e = spark.createDataFrame([(1, False), (2, False), (5, True), (7, True), (9, True), (10, True)], "id int, is_anchor boolean")
+    edges = spark.createDataFrame([(1, 9), (2, 9), (2, 10), (7, 5), (1, 7), (3, 9)], "source int, target int")
+    assert rows(V.anchor_clusters(e, edges)) == [(5, 5), (5, 7), (9, 1), (9, 2), (9, 9), (10, 10)]
+
+
+def test_large_components_by_joins(spark):
+    rng = random.Random(8)
+    edges = sorted({(a, b) for a in range(14) for b in range(a + 1, 14) if rng.random() < 0.2})
+    e = spark.createDataFrame([(a, b, float(rng.choice([1, 2, 3]))) for a, b in edges], "a int, b int, weight double")
+    within = C.components(spark.createDataFrame([(i,) for i in range(14)], "id int"), e)
+    assert rows(C.communities(e, within, most=0)) == rows(C.communities(e, within))
+    import math
+
+    v = [(i, [math.cos(x), math.sin(x)]) for i, x in enumerate([0.0, 0.1, 0.1, 0.61, 0.7, 3.0, 2.9])]
+    vectors = spark.createDataFrame(v + [(9, [0.0, 0.0])], "id int, v array<double>")
+    one_part = vectors.select("id", F.lit(0).alias("component"))
+    for most in (0, 100):
+        assert dict(C.average_linkage(vectors, one_part, 0.1, most).collect()) == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5, 6: 5, 9: 9}
+
+
+def test_seeded_scores_and_merging(spark):
+    from emberline.operators import events as V
+
+    members = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4)], "cluster_id string, id int")
+    entities = spark.createDataFrame([("a", "tickers", "$T", 1), ("b", "tickers", "$T", 1), ("b", "companies", "X", 1), ("c", "companies", "X", 1), ("d", "hashtags", "h", 1)], "cluster_id string, kind string, name string, posts int")
+    phrases = spark.createDataFrame([("a", "p q"), ("d", "p q")], "cluster_id string, phrase string")
+    # b follows a by its ticker; c shares a company with b only, and b leads nothing
+    assert rows(V.merge_events(members, entities, phrases)) == [("a", 1), ("a", 2), ("c", 3), ("d", 4)]
+    lone = spark.createDataFrame([(1, "x", 40.0), (2, "x", 60.0), (3, "y", 120.0), (4, "z", 3.0)], "id int, author string, engagement double")
+    none = spark.createDataFrame([], "cluster_id string, propagation long")
+    c = spark.createDataFrame([("b", 0.5)], "cluster_id string, coherence double")
+    import math
+
+    got = {r.cluster_id: r.event_score for r in V.seeded_scores(members, lone, none, c).collect()}
+    assert set(got) == {"b", "c"}
+    one = 3 + 0.5 * math.log(2) ** 2
+    assert got["b"] == pytest.approx(0.3 * (math.log1p(60) + one + 1)) and got["c"] == pytest.approx(0.7 * (math.log1p(120) + one))
+
+
+def test_novelty_of_what_began_a_day_ago(spark):
+    from emberline.operators import events as V
+
+    hours = [0, 23, 24, 72, 73]
+    df = spark.createDataFrame([(1_000_000 - h * 3600,) for h in hours], "t long")
+    assert [r.x for r in df.select(V.is_new(F.col("t"), 1_000_000).alias("x")).collect()] == [0, 0, 1, 1, 0]

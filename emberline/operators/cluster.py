@@ -82,20 +82,17 @@ def average_linkage(vectors: DataFrame, within: DataFrame, distance: float = 0.3
     kind = dict(vectors.dtypes)["id"]
     direction = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     known = vectors.join(within, "id").select("id", "component", "v", F.sqrt(direction).alias("norm"))
-    unit = F.when(F.col("norm") > 0, F.transform("v", lambda x: F.round(x / F.col("norm"), 12))).otherwise(F.array(F.lit(0.0)))
-    # a zero vector is equal to nothing: it stays alone
-    named = known.select("id", "component", unit.alias("u"), F.when(F.col("norm") > 0, F.lit("")).otherwise(F.col("id").cast("string")).alias("own")).checkpoint()
-    stand = named.groupBy("component", "own", "u").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size")).checkpoint()
+    # a zero vector is near to nothing, not even its copies: it stays alone
+    named = known.where("norm > 0").select("id", "component", F.transform("v", lambda x: F.round(x / F.col("norm"), 12)).alias("u")).checkpoint()
+    stand = named.groupBy("component", "u").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size")).checkpoint()
     sizes = stand.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     small, large = sizes.where(F.col("n") <= most).select("component"), sizes.where(F.col("n") > most).select("component")
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("first").reset_index(drop=True)
         ids, count = rows["first"], rows["size"].to_numpy(dtype=np.float64)
-        width = max(map(len, rows["u"]))
-        v = np.array([np.resize(u, width) if len(u) == width else np.zeros(width) for u in rows["u"]], dtype=np.float64)
+        mean = np.array(rows["u"].tolist(), dtype=np.float64)
         groups = {i: [i] for i in range(len(rows))}
-        mean = v.copy()
         near = mean @ mean.T
         np.fill_diagonal(near, -np.inf)
         while len(groups) > 1:
@@ -116,7 +113,8 @@ def average_linkage(vectors: DataFrame, within: DataFrame, distance: float = 0.3
     rest = stand.join(large, "component", "left_semi")
     if not large.isEmpty():
         done = done.unionByName(_merge_rounds(rest.select("first", "u", "size"), distance))
-    return named.join(stand.select("component", "own", "u", "first"), ["component", "own", "u"]).join(done, "first").select("id", "cluster")
+    found = named.join(stand.select("component", "u", "first"), ["component", "u"]).join(done, "first").select("id", "cluster")
+    return found.unionByName(known.where("norm = 0").select("id", F.col("id").alias("cluster")))
 
 
 def _merge_rounds(stand: DataFrame, distance: float) -> DataFrame:

@@ -63,10 +63,10 @@ def latest(posts: DataFrame, by_length: bool = True) -> DataFrame:
     return posts.where("tweet_id <> ''").withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
-def clean(posts: DataFrame, roster: DataFrame | None = None, offset_hours: int = 8) -> DataFrame:
-    """All cleaning steps: a roster filter, one projection and one shuffle by id."""
+def clean(posts: DataFrame, roster: DataFrame | None = None, offset_hours: int = 8, by_length: bool = True) -> DataFrame:
+    """All cleaning steps: a roster filter, one projection and one shuffle by id; by_length as in latest()."""
     kept = posts if roster is None else by_roster(posts, roster)
-    return latest(with_clean_entities(with_clean_text(with_times(kept, offset_hours)))).withColumn("author", norm_username(F.col("author_username")))
+    return latest(with_clean_entities(with_clean_text(with_times(kept, offset_hours))), by_length).withColumn("author", norm_username(F.col("author_username")))
 
 
 def recent(posts: DataFrame, seconds: int) -> DataFrame:

@@ -19,9 +19,12 @@ def seed_scores(pool: DataFrame, least_followers: int = 200) -> DataFrame:
     return pool.where(~noisy).withColumn("seedscore", score)
 
 
-def select_seeds(pool: DataFrame, n: int = 100) -> DataFrame:
-    """The n best accounts, ties by name."""
-    return seed_scores(pool).orderBy(F.desc("seedscore"), "username").limit(n)
+def select_seeds(pool: DataFrame, n: int = 100, exact: bool = True) -> DataFrame:
+    """The n best accounts, ties by name; fewer than n are an error unless exact is off."""
+    best = seed_scores(pool).orderBy(F.desc("seedscore"), "username").limit(n)
+    if exact and best.count() != n:
+        raise ValueError(f"the pool has fewer than {n} accounts that qualify")
+    return best
 
 
 def expansion_candidates(edges: DataFrame, seeds: DataFrame, least: int = 2) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import tokens
+from ..functions.assets import EVENT_KINDS, TOPIC_NAMES, TOPIC_NOT_NAMES
+from ..functions.scalars import let, preview, strip
+from .text import kind_hits
 from .topics import KEYS
 
 SYMBOLS = ("hashtag", "domain", "cashtag")
@@ -51,24 +53,154 @@ def semantic_top(rolled: DataFrame, n: int = 5) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy("tier", F.desc("hot_score"), "semantic_id")))  # n rows
 
 
-def why_trending(authors: Column, tweets: Column, propagation: Column, engagement: Column) -> Column:
-    """The reasons that hold, joined; none: null."""
-    return F.nullif(
-        F.concat_ws(
-            "；",
-            F.when(authors >= 2, F.concat(authors.cast("string"), F.lit(" authors"))),
-            F.when(tweets >= 2, F.concat(tweets.cast("string"), F.lit(" posts"))),
-            F.when(propagation > 0, F.concat(propagation.cast("string"), F.lit(" reposts within"))),
-            F.when(engagement >= 100, F.lit("high engagement")),
-        ),
-        F.lit(""),
+def joined_parts_with(by: str, none: str, *parts: Column) -> Column:
+    """The parts that hold, joined; if none holds, a fixed text."""
+    own = F.concat_ws(by, *parts)
+    return F.when(own == "", none).otherwise(own)
+
+
+def joined_parts(none: str, *parts: Column) -> Column:
+    return joined_parts_with("；", none, *parts)
+
+
+def why_counted(authors: Column, tweets: Column, propagation: Column, engagement: Column, weight: Column | None = None) -> Column:
+    """Why an event trends, by all its counts above zero; a weight of 10 or more marks an anchor's event."""
+    text = lambda before, n, after: F.concat(F.lit(before), n.cast("string"), F.lit(after))
+    parts = [
+        F.when(authors > 0, text("", authors, " 位 KOL")),
+        F.when(propagation > 0, text("传播链 ", propagation, " 次")),
+        F.when(engagement > 0, text("总互动量 ", engagement.cast("long"), "")),
+        F.when(tweets > 0, text("共 ", tweets, " 条推文")),
+    ]
+    if weight is not None:
+        parts.append(F.when(weight >= 10, F.lit("传播锚点事件")))
+    return joined_parts("讨论热度较高", *parts)
+
+
+def why_spread(authors: Column, tweets: Column, propagation: Column, engagement: Column, whole: bool = True) -> Column:
+    """Why an event or community trends, by the counts that are high; engagement as a whole number or as it is."""
+    text = lambda before, n, after: F.concat(F.lit(before), n.cast("string"), F.lit(after))
+    return joined_parts(
+        "引发广泛关注",
+        F.when(authors >= 3, text("", authors, " 位 KOL 参与讨论")),
+        F.when(propagation > 0, text("跨作者传播 ", propagation, " 次")),
+        F.when(engagement > 100, text("总互动量 ", engagement.cast("long") if whole else engagement, "")),
+        F.when(tweets >= 5, text("共 ", tweets, " 条推文")),
     )
 
 
-def context(text: Column, word: str, around: int = 2, most: int = 50) -> Column:
-    """The words next to the first whole occurrence of a word, as tokens cut to so many characters; null without one."""
-    own = tokens(text)
-    at = F.array_position(own, word)
-    low = F.greatest(at - around, F.lit(1)).cast("int")
-    piece = F.array_join(F.slice(own, low, (at - low).cast("int") + around + 1), " ")
-    return F.when(at > 0, F.substring(piece, 1, most))
+def context(text: Column, name: Column, around: int = 2, most: int = 50) -> Column:
+    """The words around the first whole occurrence of a name (whatever the case) in the first sentence that gives more than the name.
+
+    Sentences need over 20 characters and, without urls and punctuation, three words.  Cut; null without one.
+    """
+    low = F.lower(name)
+
+    def phrase(sentence: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(sentence, r"https?://\S+", ""), r"[^\p{L}\p{N}_\s]", " ")
+        words = F.filter(F.split(bare, r"\s+"), lambda w: w != "")
+        at = F.array_position(F.transform(words, F.lower), low).cast("int")
+        start = F.greatest(at - around, F.lit(1))
+        own = F.array_join(F.slice(words, start, at + around + 1 - start), " ")
+        fits = F.contains(F.lower(sentence), low) & (F.length(sentence) > 20) & (F.size(words) >= 3) & (at > 0)
+        return F.when(fits, F.when(F.length(own) > F.length(name), F.substring(own, 1, most)))
+
+    return F.get(F.array_compact(F.transform(F.split(text, r"[.!?]\s+"), phrase)), F.lit(0))
+
+
+# ---------------------------------------------------------------- clusters of topics
+
+def standardised(vectors: DataFrame) -> DataFrame:
+    """vectors(id, v) with each column less its mean and over its population deviation (0 counts as 1)."""
+    cells = vectors.select(F.posexplode("v").alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    # one row: as many values as a vector has
+    one = cells.agg(F.array_sort(F.collect_list(F.struct("dim", "m", F.when(F.col("s") > 0, F.col("s")).otherwise(1.0).alias("s")))).alias("c"))
+    return vectors.join(F.broadcast(one)).select("id", F.zip_with("v", "c", lambda x, c: (x - c["m"]) / c["s"]).alias("v"))
+
+
+def topic_vectors(texts: DataFrame, size: int = 128) -> DataFrame:
+    """texts(id, text) -> (id, v): rank embeddings; a text without words is all zeros."""
+    from .vectors import dense, rank_embedding
+
+    v = dense(rank_embedding(texts.select(F.col("id").alias("tweet_id"), "text"), size), size)
+    zero = F.array_repeat(F.lit(0.0), size)
+    return texts.select("id").join(v.withColumnRenamed("tweet_id", "id"), "id", "left").select("id", F.coalesce("v", zero).alias("v"))
+
+
+def semantic_clusters(texts: DataFrame, method: str = "greedy", threshold: float = 0.75, eps: float = 0.5, least: int = 2) -> DataFrame:
+    """texts(id, text) -> (id, cluster): greedy leaders by cosine above a threshold, or density clusters of standardised vectors.
+
+    A topic that nothing is near to is a cluster of its own.  Clusters are named by their first member.  Greedy
+    clustering with a least size over two would let a leader that found too few join later ones; it isn't offered.
+    """
+    from ..sources.stages import staged
+    from .cluster import density_clusters, leaders
+    from .vectors import similar_pairs
+
+    v = topic_vectors(texts)
+    if method == "dbscan":
+        v = staged(standardised(v), "vectors")
+        pairs = similar_pairs(v.withColumnRenamed("id", "tweet_id"), 1 - eps, at_least=True)
+        return density_clusters(v.select("id"), staged(pairs, "pairs"), least).select("id", F.col("component").alias("cluster"))
+    if least != 2:
+        raise ValueError("greedy clusters have a least size of two")
+    v = staged(v, "vectors")
+    pairs = similar_pairs(v.withColumnRenamed("id", "tweet_id"), threshold)
+    found = leaders(v.select("id", F.col("id").alias("ord")), pairs.select(F.col("a").alias("leader"), F.col("b").alias("follower"), F.lit(1.0).alias("weight")))
+    return found.select("id", F.col("leader").alias("cluster"))
+
+
+def semantic_topics(found: DataFrame, texts: DataFrame, cut: int = 500) -> DataFrame:
+    """found(id, cluster), texts(id, text) -> (semantic_id, cluster_size, first_member, representative_text): the longest text, ties to the first."""
+    rows = found.join(texts.select("id", "text"), "id")
+    longest = F.min(F.struct((-F.length("text")).alias("o"), "id", "text")).alias("m")
+    out = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("cluster_size"), F.min("id").alias("first_member"), longest)
+    return out.select(F.concat(F.lit("st_"), "cluster").alias("semantic_id"), "cluster_size", "first_member", F.substring("m.text", 1, cut).alias("representative_text"))
+
+
+# ---------------------------------------------------------------- what a topic is about
+
+#: What titles say after the names, by kind of event.
+KIND_TITLES = {
+    "invention": " 发布新产品/技术", "announcement": " 发布重要公告", "controversy": " 相关争议/法律问题", "funding": " 融资/收购动态", "breakthrough": " 取得重大突破",
+}
+NO_SENTENCE = "讨论热点话题"
+
+
+def key_sentence(text: Column, most: int = 150) -> Column:
+    """The text without urls, cut to so many characters; of a longer one up to its last . ? or ! there, if that is beyond 50."""
+    bare = strip(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"https?://\S+", ""), r"\s+", " "))
+    head = F.substring(bare, 1, most)
+    whole = F.regexp_extract(head, r"^(.*[.?!])", 1)
+    cut = F.when((F.length(bare) > most) & (F.length(whole) > 51), whole).otherwise(head)
+    return F.when(bare == "", NO_SENTENCE).otherwise(cut)
+
+
+def topic_extract(posts: DataFrame, most: int = 10) -> DataFrame:
+    """posts(topic_id, place, text), place from 1 by falling heat -> what each topic's first posts are about.
+
+    (topic_id, event_type, key_entities, topic_title, topic_summary, core_text).  The kind with most hits over the texts,
+    ties to the kind that scored first; names are known ones and capitalised words, in order.
+    """
+    p = posts.where(F.col("place") <= most).select("topic_id", "place", F.coalesce("text", F.lit("")).alias("text"))
+
+    def hits(low: Column) -> Column:
+        return F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(i).alias("o"), kind_hits(low, ws).alias("n")) for i, (k, ws) in enumerate(EVENT_KINDS.items())))
+
+    scored = p.select("topic_id", "place", F.explode(let(F.lower("text"), hits)).alias("x")).where("x.n > 0")
+    kinds = scored.groupBy("topic_id", "x.kind").agg(F.sum("x.n").alias("n"), F.min(F.struct("place", "x.o")).alias("first"))
+    kind = kinds.groupBy("topic_id").agg(F.min(F.struct((-F.col("n")).alias("o"), "first", "kind")).alias("m")).select("topic_id", F.col("m.kind").alias("event_type"))
+    known = F.array_compact(F.array(*(F.when(F.contains(F.lower("text"), F.lit(n.lower())), F.lit(n)) for n in TOPIC_NAMES)))
+    capital = F.filter(F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{N}_])[A-Z][a-z]+(?![\p{L}\p{N}_])"), F.lit(0)), lambda w: (F.length(w) > 2) & ~w.isin(*TOPIC_NOT_NAMES))
+    names = p.select("topic_id", F.explode(F.array_union(known, capital)).alias("name")).distinct()
+    place = F.row_number().over(Window.partitionBy("topic_id").orderBy("name"))
+    names = names.withColumn("p", place).where("p <= 5").groupBy("topic_id").agg(F.array_sort(F.collect_list("name")).alias("key_entities"))
+    core = p.groupBy("topic_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("text", "place").alias("core")).withColumn("core", key_sentence(F.col("core")))
+    out = core.join(kind, "topic_id", "left").join(names, "topic_id", "left").fillna("discussion", ["event_type"]).withColumn("key_entities", F.coalesce("key_entities", F.array().cast("array<string>")))
+    after = F.lit(None).cast("string")
+    for k, t in KIND_TITLES.items():
+        after = F.when(F.col("event_type") == k, t).otherwise(after)
+    some = F.size("key_entities") > 0
+    title = F.when(some & after.isNotNull(), F.concat(F.array_join(F.slice("key_entities", 1, 3), ", "), after)).when(some, preview(F.col("core"), 60)).otherwise(preview(F.col("core"), 80))
+    summary = F.when(F.col("n") > 1, F.concat(F.lit("多位 KOL 讨论："), F.substring("core", 1, 100))).otherwise(F.substring("core", 1, 150))
+    return out.select("topic_id", "event_type", "key_entities", title.alias("topic_title"), summary.alias("topic_summary"), F.substring("core", 1, 200).alias("core_text"))

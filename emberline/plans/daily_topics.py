@@ -93,3 +93,20 @@ class DailyTopics:
         rows = rows.select("rank", *T.KEYS, "tweet_id", "author", F.coalesce("public_metrics.like_count", F.lit(0)).alias("like_count"), preview(F.col("text"), 200).alias("text"))
         order = F.row_number().over(Window.partitionBy("rank").orderBy(F.desc("like_count"), "tweet_id"))
         return rows.withColumn("place", order).where(F.col("place") <= n)
+
+    def cards(self) -> DataFrame:
+        """The Top-5 with title, description, link, their most liked posts and how many candidate rows they have."""
+        from ..operators import reports as R
+
+        tid = F.concat_ws(":", *T.KEYS)
+        members = self.candidates.select(tid.alias("key"), "tweet_id").join(self.top.select(tid.alias("key")), "key", "left_semi")
+        like = F.coalesce("public_metrics.like_count", F.lit(0)).alias("like_count")
+        found = R.evidence(members, self.day.select("tweet_id", F.col("author_username").alias("author"), "text", like, "created_at"), "like_count")
+        return R.topic_cards(self.top, self.day).withColumn("key", tid).join(found, "key", "left").drop("key")
+
+    def full_report(self, predictions: bool = False) -> DataFrame:
+        """Cards with trends (and predictions), scores rounded for readers."""
+        from ..operators import reports as R
+
+        out = R.with_trends(self.cards(), self.trends, self.growth if predictions else None)
+        return out.withColumn("hot_score", F.bround("hot_score", 2))

@@ -5,15 +5,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import assets
 from ..functions import scalars as X
+from ..functions.scalars import any_within, preview, ticker
 from ..operators import cluster as C
 from ..operators import edges as E
 from ..operators import entities as N
 from ..operators import events as V
+from ..operators import reports as R
+from ..operators import semantic as S
 from ..operators import text as W
 from ..operators import vectors as D
 from ..operators.topics import relevant
@@ -111,6 +114,31 @@ class RuleRun(EventRun):
         return staged(V.top_clusters(self.scored), "top")
 
 
+    def report(self) -> DataFrame:
+        """One row a Top-5 event: title, why it trends, entities, the first five posts with why they are in, and how it was decided."""
+        rows = R.with_names(self.top, self.entities, ("companies", "products", "tickers", "hashtags"))
+        named = (F.size("companies") > 0) | (F.size("products") > 0)
+        first = _first_posts(self.members, self.kept, self.top, F.struct("id", "author", F.substring("text", 1, 200).alias("text"), F.size("verbs").alias("verbs")))
+        rows = rows.join(first, "cluster_id")
+        start = F.trim(F.substring(F.get("posts", F.lit(0))["text"], 1, 50))
+        title = F.coalesce(F.get("products", F.lit(0)), F.get("companies", F.lit(0)), F.when(F.length(start) > 10, start), R.say("热点事件 ", F.col("rank")))
+        why = lambda x: S.joined_parts_with(" + ", "in cluster", F.when(named, F.lit("shared entity")), F.when(x["verbs"] > 0, F.lit("similar action")))
+        posts = F.transform("posts", lambda x: F.struct(x["id"].alias("tweet_id"), x["author"].alias("author"), x["text"].alias("text"), why(x).alias("why_included")))
+        return rows.select(
+            "rank", "cluster_id", title.alias("title"), S.why_counted(F.col("author_cnt"), F.col("tweet_cnt"), F.col("propagation"), F.col("engagement")).alias("why_trending"),
+            "companies", "products", F.col("products").alias("technologies"), "tickers", "hashtags", posts.alias("supporting_tweets"), R.rule_trace(F.col("author_cnt"), F.col("coherence")).alias("passed_rules"),
+            "author_cnt", "tweet_cnt", "propagation", "engagement",
+        )
+
+
+def _first_posts(members: DataFrame, events: DataFrame, top: DataFrame, item: Column, n: int = 5) -> DataFrame:
+    """(cluster_id, posts): the first n posts by id of the clusters in top."""
+    rows = members.select("cluster_id", "id").join(top.select("cluster_id"), "cluster_id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("cluster_id").orderBy("id"))
+    rows = rows.withColumn("p", place).where(F.col("p") <= n).join(events, "id")
+    return rows.groupBy("cluster_id").agg(F.array_sort(F.collect_list(item)).alias("posts"))
+
+
 @dataclass
 class CentricRun(EventRun):
     """Event-centric: entity, action and time; anchor clusters first, then posts that meet two of five conditions."""
@@ -158,6 +186,26 @@ class CentricRun(EventRun):
         return staged(V.top_clusters(self.scored), "top")
 
 
+    def report(self) -> DataFrame:
+        """One row a Top-5 event: title by its first entity and its leader's action, why it trends, posts and how it came about."""
+        members = self.members.join(self.top.select("cluster_id"), "cluster_id", "left_semi")
+        names = members.join(self.kept.select("id", F.explode("entity").alias("name")), "id").select("cluster_id", F.lit("entity").alias("kind"), "name").distinct()
+        rows = R.with_names(self.top, names, ("entity",))
+        kind = members.select("cluster_id", "cluster_type", F.col("cluster_weight").alias("w")).distinct()
+        lead = members.where(F.col("cluster_id").endswith(F.concat(F.lit("_"), "id"))).join(self.kept.select("id", "action"), "id").select("cluster_id", "action")
+        first = _first_posts(members, self.kept, self.top, F.struct("id", "author", F.substring("text", 1, 200).alias("text"), "entity", "action"))
+        rows = rows.join(kind, "cluster_id").join(lead, "cluster_id", "left").join(first, "cluster_id")
+        head = F.get("entity", F.lit(0))
+        title = F.when(head.isNotNull(), F.concat_ws(" ", head, "action")).otherwise(R.say("热点事件 ", F.col("rank")))
+        weight = F.col("w") if self.weights else None
+        why = S.why_counted(F.col("author_cnt"), F.col("tweet_cnt"), F.col("propagation"), F.col("engagement"), weight)
+        trace = F.when(F.col("cluster_type") == "anchor", R.ANCHOR_TRACE).otherwise(R.MERGE_TRACE if self.weights else R.TOPIC_TRACE)
+        return rows.select(
+            "rank", "cluster_id", title.alias("title"), why.alias("why_trending"), F.col("entity").alias("key_entities"), "action", F.col("posts").alias("supporting_tweets"), trace.alias("trace"),
+            "author_cnt", "tweet_cnt", "propagation", "engagement", *([F.col("w").alias("cluster_weight")] if self.weights else []),
+        )
+
+
 @dataclass
 class GatedRun(CentricRun):
     """Dictionaries gate candidates; topics grow by weighted merge conditions, and weights count in the score."""
@@ -225,3 +273,21 @@ class SeededRun(EventRun):
     @cached_property
     def top(self) -> DataFrame:
         return staged(V.top_clusters(self.scored), "top")
+
+    def report(self, phrases: int = 15) -> DataFrame:
+        """One row a Top-5 event: title by companies, tickers and a relevant phrase, its most liked post, evidence and metrics."""
+        rows = R.with_names(R.with_names(self.top, self.entities, ("companies", "tickers", "hashtags")), self.entities, ("domains",), 3)
+        own = self.members.join(self.top.select("cluster_id"), "cluster_id", "left_semi")
+        keys = own.join(self.tagged.select("id", F.explode("phrases").alias("name")), "id").select("cluster_id", F.lit("key_phrases").alias("kind"), "name").distinct()
+        rows = R.with_names(rows, keys, ("key_phrases",), phrases)
+        text = own.join(self.tagged, "id").groupBy("cluster_id").agg(F.min(F.struct((-F.col("likes")).alias("o"), "id", "text")).alias("m")).select("cluster_id", F.col("m.text").alias("liked"))
+        shown = self.posts.select(F.col("id").alias("tweet_id"), F.col("author_username").alias("author"), F.col("raw").alias("text"), F.col("likes").alias("like_count"), "created_at", (F.col("likes") + 2 * F.col("reposts")).alias("shown"))
+        rows = rows.join(text, "cluster_id").join(R.evidence(own.select("cluster_id", F.col("id").alias("tweet_id")), shown, "shown", "cluster_id"), "cluster_id")
+        phrase = F.slice(F.filter(F.slice("key_phrases", 1, 3), lambda p: any_within(p, assets.TOPIC_KEYWORDS)), 1, 1)
+        parts = F.concat(F.slice("companies", 1, 2), F.transform(F.slice("tickers", 1, 2), ticker), phrase)
+        title = F.when(F.size(parts) > 0, R.say(F.array_join(F.slice(parts, 1, 3), " / "), F.when(F.size(parts) > 3, F.lit(" 等话题")))).otherwise(R.say("热点事件 ", F.col("rank")))
+        return rows.select(
+            "rank", "cluster_id", title.alias("title"), preview(F.col("liked"), 100).alias("one_liner"),
+            S.why_spread(F.col("author_cnt"), F.col("tweet_cnt"), F.col("propagation"), F.col("engagement"), whole=False).alias("why_trending"),
+            "companies", "tickers", "hashtags", "domains", "evidence", "author_cnt", "tweet_cnt", "engagement", "propagation", F.bround("coherence", 3).alias("coherence"), F.bround("event_score", 2).alias("event_score"),
+        )

@@ -341,12 +341,12 @@ _SEEDS = """, oc AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), po
   rel2 AS (SELECT DISTINCT CASE l_returnflag WHEN 'A' THEN 'followed' WHEN 'N' THEN 'mentioned' ELSE 'interacted' END AS kind, 's' || l_suppkey AS seed, 'p' || l_partkey AS username
    FROM lineitem WHERE l_suppkey % 9 = 0),
   exp AS (SELECT username, count(*) FILTER (kind = 'followed') AS f, count(*) FILTER (kind = 'mentioned') AS m, count(*) FILTER (kind = 'interacted') AS i,
-   string_agg(seed, ',' ORDER BY seed) FILTER (kind = 'followed') AS ef FROM rel2 GROUP BY 1 HAVING f >= 2 OR m >= 2 OR i >= 2)"""
+   string_agg(seed, ',' ORDER BY seed) FILTER (kind = 'followed') AS ef, string_agg(seed, ',' ORDER BY seed) FILTER (kind = 'mentioned') AS em, string_agg(seed, ',' ORDER BY seed) FILTER (kind = 'interacted') AS ei FROM rel2 GROUP BY 1 HAVING f >= 2 OR m >= 2 OR i >= 2)"""
 
 
 @query(_SEEDS + " SELECT username, followers_count, round(seedscore, 6) AS seedscore FROM seeds")
 def seed_select(spark, d):
-    return P.select_seeds(src.candidate_pool(spark, d)).select("username", "followers_count", F.round("seedscore", 6).alias("seedscore"))
+    return P.select_seeds(src.candidate_pool(spark, d), exact=False).select("username", "followers_count", F.round("seedscore", 6).alias("seedscore"))
 
 
 def _expansion(spark, d):
@@ -354,9 +354,12 @@ def _expansion(spark, d):
     return P.expansion_candidates(src.relation_edges(spark, d), seeds)
 
 
-@query(_SEEDS + " SELECT username, f AS cnt_followed_by_seeds, m AS cnt_mentioned_by_seeds, i AS cnt_interacted_by_seeds, coalesce(ef, '') AS evidence FROM exp")
+@query(
+    _SEEDS
+    + """ SELECT username, f AS cnt_followed_by_seeds, m AS cnt_mentioned_by_seeds, i AS cnt_interacted_by_seeds, coalesce(ef, '') AS evidence, coalesce(em, '') AS mentioned, coalesce(ei, '') AS interacted FROM exp"""
+)
 def expansion_candidates(spark, d):
-    return _expansion(spark, d).select("username", "cnt_followed_by_seeds", "cnt_mentioned_by_seeds", "cnt_interacted_by_seeds", F.array_join("seed_usernames_followed", ",").alias("evidence"))
+    return _expansion(spark, d).select("username", "cnt_followed_by_seeds", "cnt_mentioned_by_seeds", "cnt_interacted_by_seeds", F.array_join("seed_usernames_followed", ",").alias("evidence"), F.array_join("seed_usernames_mentioned", ",").alias("mentioned"), F.array_join("seed_usernames_interacted", ",").alias("interacted"))
 
 
 @query(
@@ -367,5 +370,5 @@ def expansion_candidates(spark, d):
 )
 def kol_pool(spark, d):
     profiles = src.table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("username"), F.floor("p_retailprice").alias("followers_count"))
-    out = P.account_pool(P.select_seeds(src.candidate_pool(spark, d)), _expansion(spark, d), profiles)
+    out = P.account_pool(P.select_seeds(src.candidate_pool(spark, d), exact=False), _expansion(spark, d), profiles)
     return out.select("username", "followers_count", F.round("seedscore", 6).alias("seedscore"), "expandscore", "origin")

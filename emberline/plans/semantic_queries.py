@@ -86,29 +86,6 @@ def community_center(spark, d):
     return G.centres(edges, m).withColumn("centrality", F.round("centrality", 6))
 
 
-@query(
-    """, s AS (SELECT tag AS cluster_id, count(DISTINCT author) AS a, count(*) AS t, sum(target IS NOT NULL)::BIGINT AS p, sum(likes + 2 * reposts) AS e FROM day GROUP BY 1)
-  SELECT cluster_id, nullif(concat_ws('；', CASE WHEN a >= 2 THEN a || ' authors' END, CASE WHEN t >= 2 THEN t || ' posts' END, CASE WHEN p > 0 THEN p || ' reposts within' END, CASE WHEN e >= 100 THEN 'high engagement' END), '') AS why FROM s"""
-)
-def why_trending(spark, d):
-    day = run(spark, d).day
-    s = day.groupBy(F.get("entities.hashtags", F.lit(0)).alias("cluster_id")).agg(
-        F.countDistinct("author").alias("a"),
-        F.count(F.lit(1)).alias("t"),
-        F.sum((~E.is_original(F.col("referenced_tweets"))).cast("long")).alias("p"),
-        F.sum(F.col("public_metrics.like_count") + 2 * F.col("public_metrics.repost_count")).alias("e"),
-    )
-    return s.select("cluster_id", M.why_trending(F.col("a"), F.col("t"), F.col("p"), F.col("e")).alias("why"))
-
-
-@docs_query(
-    """, f AS (SELECT tweet_id, min(pos) AS spot FROM tok WHERE word = 'the' GROUP BY 1)
-  SELECT tweet_id, left(string_agg(word, ' ' ORDER BY pos), 50) AS context FROM tok JOIN f USING (tweet_id) WHERE pos BETWEEN spot - 2 AND spot + 2 GROUP BY 1"""
-)
-def entity_context(spark, d):
-    return _docs(spark, d).select("tweet_id", M.context(F.col("text"), "the").alias("context")).where("context is not null")
-
-
 @docs_query(f", c AS (SELECT tweet_id, list_filter({words_sql(assets.GRAPH_COMPANIES)}, lambda w: contains(lower(text), w)) AS w FROM docs) SELECT tweet_id, len(w)::INTEGER AS n, array_to_string(w, ',') AS companies FROM c WHERE len(w) > 0")
 def document_companies(spark, d):
     found = W.companies(F.col("text"), assets.GRAPH_COMPANIES)

@@ -160,7 +160,7 @@ _KINDS = " UNION ALL ".join(
 
 
 @docs_query(f", s AS ({_KINDS}) SELECT tweet_id, kind, hits::INTEGER AS hits FROM (SELECT *, row_number() OVER (PARTITION BY tweet_id ORDER BY hits DESC, o) AS n FROM s) WHERE n = 1 AND hits > 0")
-def topic_extract(spark, d):
+def event_kinds(spark, d):
     return W.event_kind(_docs(spark, d))
 
 
@@ -191,6 +191,30 @@ def similarity_edges(spark, d):
     return D.similar_pairs(_vectors(spark, d), 0.93).select("a", "b", F.round("cos", 6).alias("cos"))
 
 
+_VECTORS = """WITH RECURSIVE unit AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+sim AS MATERIALIZED (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS cos FROM unit a JOIN unit b ON a.id < b.id)"""
+
+
+def _given_vectors(spark, d):
+    return src.table(spark, d, "embeddings").select(F.col("vec_id").alias("tweet_id"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+@query(_VECTORS + " SELECT a, b, round(cos, 6) AS cos FROM sim WHERE cos > 0.35", base=False)
+def vec_similar(spark, d):
+    return D.similar_pairs(_given_vectors(spark, d), 0.35).select("a", "b", F.round("cos", 6).alias("cos"))
+
+
+@query(
+    _VECTORS
+    + """, near AS MATERIALIZED (SELECT a, b FROM sim WHERE cos >= 0.4 UNION ALL SELECT b, a FROM sim WHERE cos >= 0.4), reach AS (SELECT id AS x, id AS y FROM unit UNION SELECT r.x, n.b FROM reach r JOIN near n ON n.a = r.y)
+  SELECT x AS id, min(y) AS component FROM reach GROUP BY 1""",
+    base=False,
+)
+def vec_components(spark, d):
+    v = _given_vectors(spark, d)
+    return C.components(v.select(F.col("tweet_id").alias("id")), D.similar_pairs(v, 0.4, at_least=True))
+
+
 @docs_query(
     _SIM
     + """, linked AS (SELECT a, b, (abs(x.created_ts - y.created_ts) <= 172800)::INTEGER + (list_has_any(p.p, q.p))::INTEGER + (x.author <> y.author)::INTEGER AS satisfied, cos

@@ -56,14 +56,28 @@ def read_posts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
-    """A candidate pool: a JSON array, an object whose values are records, or JSONL."""
-    text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
-    array = F.from_json("v", T.ArrayType(CANDIDATE))
-    values = F.map_values(F.from_json("v", T.MapType(_S, CANDIDATE)))
-    lines = F.filter(F.transform(F.split("v", "\n"), lambda x: F.from_json(x, CANDIDATE)), lambda x: x["username"].isNotNull())
-    first = F.substring("v", 1, 1)
-    whole = F.when(first == "[", array).when((first == "{") & (F.size(F.filter(values, lambda x: x["username"].isNotNull())) > 0), values).otherwise(lines)
-    return text.select(F.explode(whole).alias("x")).select("x.*")
+    """A candidate pool: a JSON array, an object whose values are records, or JSONL (read line by line, in parts)."""
+    lines = spark.read.text(path)
+    first = lines.where(F.trim("value") != "").limit(1).select(F.trim("value").alias("v"), F.from_json("value", CANDIDATE)["username"].isNotNull().alias("record")).first()
+    if first is None:
+        return spark.createDataFrame([], CANDIDATE)
+    if first.v.startswith("["):
+        return spark.read.schema(CANDIDATE).option("multiLine", True).json(path)
+    if first.v.startswith("{") and not first.record:
+        # one object for the whole file: a small, hand-kept document
+        values = spark.read.text(path, wholetext=True).select(F.explode_outer(F.map_values(F.from_json("value", T.MapType(_S, CANDIDATE)))).alias("x")).select("x.*").where("username is not null")
+        if not values.isEmpty():
+            return values
+    return lines.select(F.from_json("value", CANDIDATE).alias("x")).where("x.username is not null").select("x.*")
+
+
+def read_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """Profiles kept as one object {username: {...}}: username (normalised) and followers_count; a missing file is empty."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], "username string, followers_count long")
+    kind = T.MapType(_S, T.StructType([T.StructField("followers_count", _L)]))
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)).alias("name", "p"))
+    return rows.groupBy(norm_username(F.col("name")).alias("username")).agg(F.max_by("p.followers_count", "name").alias("followers_count"))
 
 
 def read_roster(spark: SparkSession, path: str) -> DataFrame:

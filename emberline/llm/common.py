@@ -1,8 +1,9 @@
 """Helpers shared by the corpus operators: session plumbing and vectorised text scanning.
 
-Text scanning works on the raw UTF-8 buffer of an Arrow string column.  A word's 64-bit hash is a
-polynomial hash read off one prefix sum, so a batch is tokenised and hashed without a Python loop
-over words.  Batches are cut into slices of bounded bytes; a slice always holds whole rows.
+Text scanning works on the raw UTF-8 buffer of an Arrow string column.  A word's 64-bit hash is made
+of its blocks of eight bytes, mixed nonlinearly one after the other; all words take their next block
+together, so a batch is tokenised and hashed without a Python loop over words.  Batches are cut into
+slices of bounded bytes; a slice always holds whole rows.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 2 << 20
@@ -48,6 +50,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="emberline-shared-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -83,6 +87,18 @@ def discard(*frames: DataFrame) -> None:
                 shutil.rmtree(folder, ignore_errors=True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be none of df's columns (case aside)."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        out.append(name)
+        have.add(name.lower())
+    return out
+
+
 def bucket_count(total_bytes: int, per_bucket: int = 24 << 20, least: int = 12) -> int:
     return max(least, -(-int(total_bytes) // per_bucket))
 
@@ -90,8 +106,9 @@ def bucket_count(total_bytes: int, per_bucket: int = 24 << 20, least: int = 12)
 # ---------------------------------------------------------------- text scanning
 
 _M1, _M2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-_R = 0xD6E8FEB86659FD93
-_tables: dict[str, np.ndarray] = {}
+#: Blocks of eight bytes that all words take together; what a word has beyond them is hashed on its own.
+_TOGETHER = 64
+_MASK = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [2**64 - 1], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -106,19 +123,23 @@ def mix_int(x: int) -> int:
     return int(mix(np.array([x & (2**64 - 1)], dtype=np.uint64))[0])
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _tables.get("pow")
-    if have is None or len(have) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        for name, r in (("pow", _R), ("inv", pow(_R, -1, 2**64))):
-            out = np.empty(size, dtype=np.uint64)
-            out[0] = 1
-            k, rk = 1, r
-            while k < size:
-                out[k : 2 * k] = out[:k] * np.uint64(rk)
-                k, rk = 2 * k, rk * rk % 2**64
-            _tables[name] = out
-    return _tables["pow"], _tables["inv"]
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of data[start:end] of each word; they depend on the word's bytes only."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    blocks = np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from every place
+    left = end - start
+    out = mix(left.astype(np.uint64))
+    rows, at = np.arange(len(start)), start
+    for _ in range(_TOGETHER):
+        if not len(rows):
+            return out
+        out[rows] = mix(out[rows] ^ (blocks[at] & _MASK[np.minimum(left, 8)]))
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    for i, a, n in zip(rows, at, left):
+        out[i] = mix(out[i : i + 1] ^ np.uint64(xxhash.xxh64_intdigest(padded[a : a + n].tobytes())))[0]
+    return out
 
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -147,11 +168,7 @@ class Words:
         start = np.flatnonzero(inside & ~before[:n])
         after[offsets] = False
         end = np.flatnonzero(inside & ~after[1:]) + 1
-        pow_, inv = _powers(n + 1)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * pow_[:n], out=sums[1:])
-        h = (sums[end] - sums[start]) * inv[start]
-        self.hash = mix(h ^ ((end - start).astype(np.uint64) << np.uint64(56)))
+        self.hash = _word_hashes(data, start, end)
         self.start, self.end = start, end
         self.first = np.searchsorted(start, offsets)
 

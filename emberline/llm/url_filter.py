@@ -2,8 +2,10 @@
 
 Labelled page outcomes (bad or not) are counted per host.  At each level of suffix, registered
 domain and host a beta prior is centred on the parent's posterior mean; its strength comes from the
-ANOVA estimate of the intraclass correlation at that level.  A host is blocked only if the lower
-bound of its posterior bad rate exceeds a limit, so a few bad pages don't condemn a host.
+ANOVA estimate of the intraclass correlation at that level, bounded to 1 to 100 pages.  Every host of the
+pages is judged, one without outcomes by its domain's prior.  A host is blocked if the lower bound of its
+posterior bad rate is over the rate of all outcomes: it is credibly worse than the crawl as a whole, so
+a few bad pages don't condemn a host, and the limit follows the base rate.
 """
 
 from __future__ import annotations
@@ -11,9 +13,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, written
+
 #: (verdict, host, path); the longest rule that fits decides.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-BAD_RATE, Z = 0.3, 1.645
+#: How many deviations (on the log-odds scale) the bound lies below the middle, and how many times the base rate it must exceed.
+Z, TIMES = 1.0, 1.0
+#: Bounds of a prior's strength, in pages.
+WEAKEST, STRONGEST = 1.0, 100.0
+#: Second-level labels that belong to the suffix of a two-letter domain, as in co.uk.
+SECOND = ("co", "com", "org", "net", "ac", "gov", "edu", "or", "ne", "go")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -25,9 +34,12 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+_NUMBER = r"^[^?#]*/([0-9]{1,18})(?:[.][A-Za-z0-9]+)?/?(?:[?#]|$)"
+
+
 def document_number(url: Column) -> Column:
     """The number that ends a page's path: the id of the document that the page shows."""
-    return F.regexp_extract(F.coalesce(url, F.lit("")), "/([0-9]{1,18})[./?#]*", 1).try_cast("long")
+    return F.regexp_extract(F.coalesce(url, F.lit("")), _NUMBER, 1).try_cast("long")
 
 
 def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -41,38 +53,56 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def _labels(host: Column) -> tuple[Column, Column]:
+    """(host without port, number of labels in its suffix)."""
+    name = F.regexp_replace(host, ":[0-9]*$", "")
+    return name, F.when(name.rlike(rf"(?:^|[.])(?:{'|'.join(SECOND)})[.][a-z]{{2}}$"), 2).otherwise(1)
+
+
 def domain_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+    """The registered domain: the suffix and one label more, as far as there is one."""
+    name, n = _labels(host)
+    return F.when(n == 2, F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
 
 
 def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    name, n = _labels(host)
+    return F.when(n == 2, F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
 
 
-def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """outcomes(host, bad 0/1) -> per host: n, bad, mean and lower bound of the posterior bad rate.
+def host_reputation(outcomes: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
+    """outcomes(host, bad 0/1) -> per host: n, bad, the posterior's mean and lower_bound, and base_rate (of all outcomes).
 
+    hosts(host) adds hosts without outcomes (n = 0), judged by their domain's or suffix's posterior, or the base rate.
     Null outcomes and hosts are left out; no outcomes give no rows.
     """
-    hosts = outcomes.where("bad is not null and host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("k"))
-    hosts = hosts.select("*", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk"))
+    counted = outcomes.where("bad is not null and host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("k"))
+    if hosts is not None:
+        counted = hosts.where("host is not null").select("host").distinct().join(counted, "host", "full").fillna(0, ["n", "k"])
+    # one row a host, written once: every level below reads it
+    counted = written(counted.select("*", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix")), "hosts")
+    domains = counted.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dk").alias("sk"))
-    s = _strength(suffixes, "sn", "sk", "ms").crossJoin(_strength(domains, "dn", "dk", "md").drop("p")).crossJoin(_strength(hosts, "n", "k", "mh").drop("p"))  # one row
+    s = _strength(suffixes, "sn", "sk", "ms").crossJoin(_strength(domains, "dn", "dk", "md").drop("p")).crossJoin(_strength(counted, "n", "k", "mh").drop("p"))  # one row
     level = suffixes.crossJoin(F.broadcast(s))
     level = level.withColumn("s_mean", (F.col("sk") + F.col("ms") * F.col("p")) / (F.col("sn") + F.col("ms")))
     level = domains.join(level, "suffix").withColumn("d_mean", (F.col("dk") + F.col("md") * F.col("s_mean")) / (F.col("dn") + F.col("md")))
-    level = hosts.join(level.drop("suffix"), "domain")
+    level = counted.join(level.drop("suffix"), "domain")
     a = F.col("k") + F.col("mh") * F.col("d_mean")
     b = F.col("n") - F.col("k") + F.col("mh") * (1 - F.col("d_mean"))
-    level = level.select("host", "n", F.col("k").alias("bad"), a.alias("a"), b.alias("b"))
-    mean = F.col("a") / (F.col("a") + F.col("b"))
-    sd = F.sqrt(F.col("a") * F.col("b") / ((F.col("a") + F.col("b")) * (F.col("a") + F.col("b")) * (F.col("a") + F.col("b") + 1)))
-    return level.select("host", "n", "bad", mean.alias("mean"), (mean - Z * sd).alias("lower_bound"))
+    level = level.select("host", "n", F.col("k").alias("bad"), a.alias("a"), b.alias("b"), F.col("p").alias("base_rate"))
+    return level.select("host", "n", "bad", (F.col("a") / (F.col("a") + F.col("b"))).alias("mean"), lower_bound(F.col("a"), F.col("b")).alias("lower_bound"), "base_rate")
+
+
+def lower_bound(a: Column, b: Column, z: float = Z) -> Column:
+    """z deviations below the middle of beta(a, b) on the log-odds scale, where it is nearly normal; 0 or 1 at the ends."""
+    odds = F.log(a) - F.log(b) - z * F.sqrt(1 / a + 1 / b)
+    return F.when(a <= 0, 0.0).when(b <= 0, 1.0).otherwise(1 / (1 + F.exp(-odds)))
 
 
 def _strength(groups: DataFrame, n: str, k: str, out: str) -> DataFrame:
-    """One row: overall rate p and the prior's strength, 1 / rho - 1 with 0.0001 <= rho <= 0.5."""
+    """One row: overall rate p and the prior's strength, 1 / rho - 1 within its bounds; groups without outcomes don't count."""
+    groups = groups.where(F.col(n) > 0)
     n_, k_ = F.col(n).cast("double"), F.col(k).cast("double")
     sums = groups.agg(F.count(F.lit(1)).alias("g"), F.sum(n_).alias("n1"), F.sum(n_ * n_).alias("n2"), F.sum(k_).alias("k1"), F.sum(k_ * k_ / n_).alias("kk"))
     # between and within mean squares, in sums over groups: sum n(k/n - p)^2 = kk - k1^2/n1
@@ -80,25 +110,27 @@ def _strength(groups: DataFrame, n: str, k: str, out: str) -> DataFrame:
     msw = (F.col("k1") - F.col("kk")) / (F.col("n1") - F.col("g"))
     n0 = (F.col("n1") - F.col("n2") / F.col("n1")) / (F.col("g") - 1)
     rho = F.when((F.col("g") > 1) & (F.col("n1") > F.col("g")), F.try_divide(msb - msw, msb + (n0 - 1) * msw))
-    rho = F.least(F.lit(0.5), F.greatest(F.lit(0.0001), F.coalesce(rho, F.lit(0.0001))))
-    return sums.where("n1 > 0").select((F.col("k1") / F.col("n1")).alias("p"), (1 / rho - 1).alias(out))
+    strength = F.when(rho > 0, 1 / rho - 1).otherwise(STRONGEST)
+    return sums.where("n1 > 0").select((F.col("k1") / F.col("n1")).alias("p"), F.least(F.lit(STRONGEST), F.greatest(F.lit(WEAKEST), strength)).alias(out))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, bad_rate: float = BAD_RATE) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, times: float = TIMES) -> DataFrame:
     """pages(url, ...) with host, path, rule and verdict; outcomes(host, bad) trains the reputation.
 
-    A null url, or one without ://, has empty host and path, which no rule fits.  A host without
-    outcomes, and the empty host, is allowed.  Repeated rows are judged alike; columns of the added
-    names are replaced; an empty table gives an empty table.
+    A null url, or one without ://, has empty host and path, which no rule fits and which is allowed, and so is
+    every host if there are no outcomes.  Repeated rows are judged alike; columns named host, path, rule and
+    verdict are replaced, all others kept; an empty table gives an empty table.
     """
-    pages = pages.select(*(c for c in pages.columns if c not in ("host", "path", "rule", "verdict")))
+    pages = pages.select(*(c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")))
+    key, bad = fresh(pages, "key", "bad")
     host, path = url_host(F.col("url")), url_path(F.col("url"))
-    judged = host_reputation(outcomes).where(F.col("host") != "").select(F.col("host").alias("__host"), (F.col("lower_bound") > bad_rate).alias("__bad"))
+    judged = host_reputation(outcomes, pages.select(host.alias("host"))).where(F.col("host") != "")
+    judged = judged.select(F.col("host").alias(key), (F.col("lower_bound") > times * F.col("base_rate")).alias(bad))
     base = pages.withColumns({"host": host, "path": path})
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    out = base.join(judged, F.col("host") == F.col("__host"), "left")
-    own = F.when(F.coalesce("__bad", F.lit(False)), "block").otherwise("allow")
-    return out.withColumns({"rule": rule, "verdict": F.coalesce(verdict, own)}).drop("__host", "__bad")
+    out = base.join(judged, F.col("host") == F.col(key), "left")
+    own = F.when(F.coalesce(F.col(bad), F.lit(False)), "block").otherwise("allow")
+    return out.withColumns({"rule": rule, "verdict": F.coalesce(verdict, own)}).drop(key, bad)
 
 
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -115,25 +147,29 @@ def digest(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _strength_sql(table: str, n: str, k: str, out: str) -> str:
-    return f"""(SELECT k1 / n1 AS p, 1 / least(0.5, greatest(0.0001, coalesce(CASE WHEN g > 1 AND n1 > g THEN (msb - msw) / nullif(msb + (n0 - 1) * msw, 0) END, 0.0001))) - 1 AS {out}
+    return f"""(SELECT k1 / n1 AS p, least({STRONGEST}, greatest({WEAKEST}, CASE WHEN rho > 0 THEN 1 / rho - 1 ELSE {STRONGEST} END)) AS {out}
+ FROM (SELECT *, CASE WHEN g > 1 AND n1 > g THEN (msb - msw) / nullif(msb + (n0 - 1) * msw, 0) END AS rho
  FROM (SELECT *, (kk - k1 * k1 / n1) / nullif(g - 1, 0) AS msb, (k1 - kk) / nullif(n1 - g, 0) AS msw, (n1 - n2 / n1) / nullif(g - 1, 0) AS n0
- FROM (SELECT count(*) AS g, sum({n}::DOUBLE) AS n1, sum({n}::DOUBLE * {n}) AS n2, sum({k}::DOUBLE) AS k1, sum({k}::DOUBLE * {k} / {n}) AS kk FROM {table})))"""
+ FROM (SELECT count(*) AS g, sum({n}::DOUBLE) AS n1, sum({n}::DOUBLE * {n}) AS n2, sum({k}::DOUBLE) AS k1, sum({k}::DOUBLE * {k} / {n}) AS kk FROM {table} WHERE {n} > 0))))"""
 
 
+_TWO = f"regexp_matches(nm, '(^|[.])({'|'.join(SECOND)})[.][a-z]{{2}}$')"
+_LABEL = "[^.]*([.][^.]*)"
 SQL = f"""
 WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
-  try_cast(regexp_extract(coalesce(url, ''), '/([0-9]{{1,18}})[./?#]*', 1) AS BIGINT) AS num FROM pages),
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, try_cast(regexp_extract(coalesce(url, ''), '{_NUMBER}', 1) AS BIGINT) AS num FROM pages),
 marks AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN 0 END) AS bad FROM labels GROUP BY doc_id),
-h AS (SELECT host, regexp_extract(host, '[^.]*(\\.[^.]*)?$') AS domain, regexp_extract(host, '[^.]*$') AS suffix, count(*) AS n, sum(bad) AS k
-  FROM p JOIN marks ON num = doc_id WHERE bad IS NOT NULL GROUP BY host),
+o AS (SELECT host, count(*) AS n, sum(bad) AS k FROM p JOIN marks ON num = doc_id WHERE bad IS NOT NULL GROUP BY host),
+nm0 AS (SELECT host, regexp_replace(host, ':[0-9]*$', '') AS nm, coalesce(n, 0) AS n, coalesce(k, 0) AS k FROM (SELECT DISTINCT host FROM p) LEFT JOIN o USING (host)),
+h AS (SELECT host, n, k, CASE WHEN {_TWO} THEN regexp_extract(nm, '{_LABEL}{{0,2}}$') ELSE regexp_extract(nm, '{_LABEL}?$') END AS domain,
+  CASE WHEN {_TWO} THEN regexp_extract(nm, '{_LABEL}$') ELSE regexp_extract(nm, '[^.]*$') END AS suffix FROM nm0),
 d AS (SELECT domain, suffix, sum(n) AS dn, sum(k) AS dk FROM h GROUP BY domain, suffix),
 s AS (SELECT suffix, sum(dn) AS sn, sum(dk) AS sk FROM d GROUP BY suffix),
-m AS (SELECT a.p, a.ms, b.md, c.mh FROM {_strength_sql("s", "sn", "sk", "ms")} a, {_strength_sql("d", "dn", "dk", "md")} b, {_strength_sql("h", "n", "k", "mh")} c),
-sm AS (SELECT suffix, (sk + ms * p) / (sn + ms) AS s_mean, md, mh FROM s, m),
-dm AS (SELECT domain, (dk + md * s_mean) / (dn + md) AS d_mean, mh FROM d JOIN sm USING (suffix)),
-ab AS (SELECT host, k + mh * d_mean AS a, n - k + mh * (1 - d_mean) AS b FROM h JOIN dm USING (domain)),
-judged AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.3 AS bad FROM ab WHERE host <> ''),
+m AS (SELECT a.p, a.ms, b.md, c.mh FROM {_strength_sql("s", "sn", "sk", "ms")} a, {_strength_sql("d", "dn", "dk", "md")} b, {_strength_sql("h", "n", "k", "mh")} c WHERE a.p IS NOT NULL),
+sm AS (SELECT suffix, (sk + ms * p) / (sn + ms) AS s_mean, md, mh, p FROM s, m),
+dm AS (SELECT domain, (dk + md * s_mean) / (dn + md) AS d_mean, mh, p FROM d JOIN sm USING (suffix)),
+ab AS (SELECT host, k + mh * d_mean AS a, n - k + mh * (1 - d_mean) AS b, p FROM h JOIN dm USING (domain)),
+judged AS (SELECT host, CASE WHEN a <= 0 THEN 0 WHEN b <= 0 THEN 1 ELSE 1 / (1 + exp(-(ln(a) - ln(b) - {Z} * sqrt(1 / a + 1 / b)))) END > {TIMES} * p AS bad FROM ab WHERE host <> ''),
 r AS (SELECT p.page_id, p.host, p.path, j.bad,
   CASE WHEN (p.host = 'example.net' OR p.host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
        WHEN (p.host = 'example.com' OR p.host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'

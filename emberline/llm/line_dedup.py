@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WHITE = "\\u0020\\u0009\\u000a\\u000b\\u000c\\u000d"
@@ -31,41 +31,43 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
     and its document isn't the smallest of them; within that document repeated lines stay.  Null and
     empty texts are one empty line and come back empty.  Rows of one doc_id are one document.  A null
     doc_id never counts as a holder: its shared lines go if min_docs others hold them.  An empty
-    table gives an empty table.  Other columns pass through.
+    table gives an empty table.  Other columns pass through, whatever their names.
     """
-    docs = docs.select(*(c for c in docs.columns if c not in ("n_lines", "n_dropped")))
+    docs = docs.select(*(c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")))
+    row, lines_, id_, row_, drop = fresh(docs, "row", "lines", "id", "row_of", "drop")
     text = F.coalesce("text", F.lit(""))
     split = F.split(text, "\n", -1)
-    lines = (
-        docs.select("doc_id", F.xxhash64(text).alias("__row"), F.posexplode(split).alias("__pos", "__line"))
-        .select("doc_id", "__row", "__pos", line_key(F.col("__line")).alias("__key"))
-        .where(F.length("__key") >= min_chars)
-        .select("doc_id", "__row", "__pos", F.xxhash64("__key").alias("__h1"), F.xxhash64(F.lit(1), "__key").alias("__h2"))
+    keyed = (
+        docs.select("doc_id", F.xxhash64(text).alias("row"), F.posexplode(split).alias("pos", "line"))
+        .select("doc_id", "row", "pos", line_key(F.col("line")).alias("key"))
+        .where(F.length("key") >= min_chars)
+        .select("doc_id", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     )
-    held = lines.where(F.col("doc_id").isNotNull()).groupBy("__h1", "__h2")
+    # two long hashes a line: written, so that lines are cut and hashed once
+    keyed = written(keyed, "line-hashes")
+    held = keyed.where(F.col("doc_id").isNotNull()).groupBy("h1", "h2")
     if min_docs == 2:
-        shared = held.agg(F.min("doc_id").alias("__keep"), F.max("doc_id").alias("__last")).where("__keep < __last")
+        shared = held.agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last")).where("keep < last")
     else:
-        shared = held.agg(F.min("doc_id").alias("__keep"), F.countDistinct("doc_id").alias("__n")).where(F.col("__n") >= min_docs)
+        shared = held.agg(F.min("doc_id").alias("keep"), F.countDistinct("doc_id").alias("n")).where(F.col("n") >= min_docs)
     # a table of its own: Spark splits a very common line's rows only where a join reads plain shuffles
-    shared = written(shared.select("__h1", "__h2", "__keep"), "shared-lines")
+    shared = written(shared.select("h1", "h2", "keep"), "shared-lines")
     drops = (
-        lines.join(shared, ["__h1", "__h2"])
-        .where(~F.col("doc_id").eqNullSafe(F.col("__keep")))
-        .groupBy(F.col("doc_id").alias("__id"), "__row")
-        .agg(F.collect_set("__pos").alias("__drop"))
-        .withColumnRenamed("__row", "__row2")
+        keyed.join(shared, ["h1", "h2"])
+        .where(~F.col("doc_id").eqNullSafe(F.col("keep")))
+        .groupBy(F.col("doc_id").alias(id_), F.col("row").alias(row_))
+        .agg(F.collect_set("pos").alias(drop))
     )
     # the split is made below the join, so that above it the lines are a plain array column
-    base = docs.withColumns({"__row": F.xxhash64(text), "__lines": split})
-    joined = base.join(drops, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__row2")), "left")
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.coalesce("__drop", F.array().cast("array<int>")))
-    kept = F.array_join(F.transform(stay, lambda p: F.get("__lines", p)), "\n")
-    columns = [kept.alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    base = docs.withColumns({row: F.xxhash64(text), lines_: split})
+    joined = base.join(drops, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(row) == F.col(row_)), "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines_) - 1), F.coalesce(drop, F.array().cast("array<int>")))
+    kept = F.array_join(F.transform(stay, lambda p: F.get(lines_, p)), "\n")
+    columns = [kept.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     return joined.select(
         *columns,
-        F.size("__lines").cast("long").alias("n_lines"),
-        F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop")).cast("long").alias("n_dropped"),
+        F.size(lines_).cast("long").alias("n_lines"),
+        F.when(F.col(drop).isNull(), 0).otherwise(F.size(drop)).cast("long").alias("n_dropped"),
     )
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, mix, ship, slices, written
+from .common import ALNUM, Words, fresh, mix, ship, slices, written
 
 SAMPLE, SAMPLE_BYTES = (1500, 3000), 32 << 20
 WINDOW, STRIDE = 32, 24
@@ -426,7 +426,8 @@ def held_out(doc_id: Column) -> Column:
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that score at least the threshold."""
     net = train(docs, labels, ~held_out(F.col("doc_id")))
-    return score(docs, net, "__toxic").where(F.col("__toxic") < threshold).select(*docs.columns)
+    (name,) = fresh(docs, "toxic_score")
+    return score(docs, net, name).where(F.col(name) < threshold).drop(name)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

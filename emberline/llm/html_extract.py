@@ -13,8 +13,10 @@ bad blocks of the article.  A box that holds the page's main part isn't dropped
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,11 +49,96 @@ _BOX = re.compile(
     r"header|masthead|footer|foot|copyright|legal|skip|hidden|toolbar|tags?|print)",
     re.I,
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_MARK = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_SPECIAL = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACE = re.compile(r"\s+")
 
 
+class _Tags:
+    """The tags of a page, each found in time that all of them share, however broken the page is."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.special = [m.start() for m in _SPECIAL.finditer(page)]
+        self.ends: dict[int, int] = {}
+        self.closed: dict[str, int] = {}
+
+    def end(self, at: int) -> int:
+        """Where the tag that is open at a place ends, quoted parts left aside; -1 if nowhere."""
+        path, i = [], bisect.bisect_left(self.special, at)
+        found = -1
+        while i < len(self.special):
+            s = self.special[i]
+            if s in self.ends:
+                found = self.ends[s]
+                break
+            path.append(s)
+            if self.page[s] == ">":
+                found = s
+                break
+            close = self.page.find(self.page[s], s + 1)
+            if close < 0:
+                break
+            i = bisect.bisect_left(self.special, close + 1, i)
+        for s in path:
+            self.ends[s] = found
+        return found
+
+    def after(self, name: str, at: int) -> int:
+        """Where the text of a raw element ends: behind its end tag, or the page's end."""
+        if self.closed.get(name, 0) < 0:
+            return len(self.page)
+        m = re.compile(rf"</{name}\s*>", re.I).search(self.page, at)
+        if m is None:
+            self.closed[name] = -1
+        return m.end() if m else len(self.page)
+
+    def __iter__(self):
+        """(start, end, closing, name, attributes); comments and the like have an empty name, and raw elements' texts too."""
+        page, at = self.page, 0
+        broken = False  # a comment or declaration that never ends: none after it does
+        while (lo := page.find("<", at)) >= 0:
+            if page.startswith(("<!", "<?"), lo):
+                m = None if broken else _MARK.match(page, lo)
+                broken = broken or m is None
+                at = m.end() if m else lo + 1
+                if m:
+                    yield lo, at, False, "", ""
+                continue
+            m = _NAME.match(page, lo)
+            hi = self.end(m.end()) if m else -1
+            if hi < 0:
+                at = lo + 1
+                continue
+            name = m[2].lower()
+            yield lo, hi + 1, bool(m[1]), name, page[m.end() : hi]
+            at = hi + 1
+            if name in RAW and not m[1]:
+                after = self.after(name, at)
+                if after > at:
+                    yield at, after, False, "", ""
+                at = after
+
+
+class _Open:
+    """The open elements, and how many of each name there are."""
+
+    def __init__(self):
+        self.stack: list[tuple] = []
+        self.count: Counter = Counter()
+
+    def push(self, name: str, *more) -> None:
+        self.stack.append((name, *more))
+        self.count[name] += 1
+
+    def pop(self) -> tuple:
+        top = self.stack.pop()
+        self.count[top[0]] -= 1
+        return top
+
+
 def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(raw)} if raw and not raw.isspace() else {}
 
@@ -74,86 +161,74 @@ def _boxed(name: str, own: dict[str, str]) -> bool:
 
 def _holders(page: str) -> frozenset[int]:
     """Where the elements begin that hold the page's first main element or, without one, its first article."""
-    stack: list[tuple[str, int]] = []
+    opened = _Open()
     held: frozenset[int] = frozenset()
-    at, articles = 0, 0
-    while m := _TOKEN.search(page, at):
-        at = m.end()
-        if m[2] is None:
+    articles = 0
+    for start, _, closing, name, _ in _Tags(page):
+        if not name or name in RAW:
             continue
-        name = m[2].lower()
-        if m[1]:
-            if any(x == name for x, _ in stack):
-                while stack.pop()[0] != name:
+        if closing:
+            if opened.count[name]:
+                while opened.pop()[0] != name:
                     pass
-        elif name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
         elif name in ("article", "main"):
             if name == "main" or not articles:
-                held = frozenset(x for _, x in stack)
+                held = frozenset(x for _, x in opened.stack)
             if name == "main":
                 break
             articles += 1
-            stack.append((name, m.start()))
-        elif name in BLOCK or name in ("span", "a"):
-            if name not in VOID:
-                stack.append((name, m.start()))
+            opened.push(name, start)
+        elif (name in BLOCK or name in ("span", "a")) and name not in VOID:
+            opened.push(name, start)
     return held
 
 
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+_INLINE = frozenset("b i em strong span a u small font".split())
+
+
 def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
     """(text, characters in links, heading, in an article) of the page's blocks outside dropped parts."""
     out: list[tuple[str, int, bool, bool]] = []
     parts: list[str] = []
-    heading = 0
-    stack: list[tuple[str, bool]] = []
-    dropped = anchors = articles = 0
-    linked = 0
+    opened = _Open()
+    count = opened.count
+    dropped = linked = at = 0
     holders: frozenset[int] | None = None
-    at, n = 0, len(page)
 
     def close() -> None:
         nonlocal parts, linked
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append((text, linked, heading > 0, articles > 0))
+                out.append((text, linked, any(count[h] for h in _HEADINGS), count["article"] + count["main"] > 0))
         parts, linked = [], 0
 
-    while at < n:
-        m = _TOKEN.search(page, at)
-        stop = m.start() if m else n
+    def read(stop: int) -> None:
+        nonlocal linked
         if stop > at and not dropped:
             parts.append(page[at:stop])
-            if anchors:
+            if count["a"]:
                 linked += len(html.unescape(page[at:stop]).strip())
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
+
+    for start, end, closing, name, raw in _Tags(page):
+        read(start)
+        at = end
+        if not name or (name in RAW and not closing):
             continue
-        name = m[2].lower()
-        if m[1]:
-            if not any(x == name for x, _ in stack):
+        if closing:
+            if not count[name]:
                 if name in BLOCK:
                     close()
                 continue
-            while stack:
-                x, was = stack.pop()
-                if x in BLOCK:
+            while True:
+                if opened.stack[-1][0] in BLOCK:
                     close()
+                x, was = opened.pop()
                 dropped -= was
-                anchors -= x == "a"
-                articles -= x in ("article", "main")
-                heading -= x in ("h1", "h2", "h3", "h4", "h5", "h6")
                 if x == name:
                     break
             continue
-        if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
-            continue
         if name == "br":
             if not dropped:
                 parts.append(" ")
@@ -162,26 +237,22 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
             close()
             # an open paragraph or item ends where the next one begins
             ends = {"p"} | ({"li"} if name == "li" else {"dd", "dt"} if name in ("dd", "dt") else {"td", "th"} if name in ("td", "th") else set())
-            while stack and stack[-1][0] in ends | {"b", "i", "em", "strong", "span", "a", "u", "small", "font"}:
-                if not any(x in ends for x, _ in stack[-8:]):
+            while opened.stack and (opened.stack[-1][0] in ends or opened.stack[-1][0] in _INLINE):
+                if not any(x in ends for x, _ in opened.stack[-8:]):
                     break
-                x, was = stack.pop()
-                dropped -= was
-                anchors -= x == "a"
-        if name in VOID or m[3].rstrip().endswith("/") and name not in BLOCK:
+                dropped -= opened.pop()[1]
+        if name in VOID or raw.rstrip().endswith("/") and name not in BLOCK:
             continue
-        inside = any(x in ("article", "main") for x, _ in stack)
-        own = _attributes(m[3])
+        inside = count["article"] + count["main"] > 0
+        own = _attributes(raw)
         gone = name in NEVER or _hidden(own)
         if not gone and not (name == "header" and inside) and (name in DROPPED or _boxed(name, own)):
             if holders is None and not dropped:
                 holders = _holders(page)
-            gone = bool(dropped) or m.start() not in holders
-        stack.append((name, gone))
+            gone = bool(dropped) or start not in holders
+        opened.push(name, gone)
         dropped += gone
-        anchors += name == "a"
-        articles += name in ("article", "main")
-        heading += name in ("h1", "h2", "h3", "h4", "h5", "h6")
+    read(len(page))
     close()
     return out
 

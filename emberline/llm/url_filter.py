@@ -2,7 +2,7 @@
 
 Labelled page outcomes (bad or not) are counted per host.  At each level of suffix, registered
 domain and host a beta prior is centred on the parent's posterior mean; its strength comes from the
-ANOVA estimate of the intraclass correlation at that level, bounded to 1 to 100 pages.  Every host of the
+nested ANOVA estimate of the intraclass correlation within parents, bounded to 1 to 100 pages.  Every host of the
 pages is judged, one without outcomes by its domain's prior.  A host is blocked if the lower bound of its
 posterior bad rate is over the rate of all outcomes: it is credibly worse than the crawl as a whole, so
 a few bad pages don't condemn a host, and the limit follows the base rate.
@@ -83,7 +83,7 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame | None = None) -> Data
     counted = written(counted.select("*", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix")), "hosts")
     domains = counted.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dk").alias("sk"))
-    s = _strength(suffixes, "sn", "sk", "ms").crossJoin(_strength(domains, "dn", "dk", "md").drop("p")).crossJoin(_strength(counted, "n", "k", "mh").drop("p"))  # one row
+    s = _strength(suffixes, "sn", "sk", None, "ms").crossJoin(_strength(domains, "dn", "dk", "suffix", "md").drop("p")).crossJoin(_strength(counted, "n", "k", "domain", "mh").drop("p"))  # one row
     level = suffixes.crossJoin(F.broadcast(s))
     level = level.withColumn("s_mean", (F.col("sk") + F.col("ms") * F.col("p")) / (F.col("sn") + F.col("ms")))
     level = domains.join(level, "suffix").withColumn("d_mean", (F.col("dk") + F.col("md") * F.col("s_mean")) / (F.col("dn") + F.col("md")))
@@ -95,21 +95,32 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame | None = None) -> Data
 
 
 def lower_bound(a: Column, b: Column, z: float = Z) -> Column:
-    """z deviations below the middle of beta(a, b) on the log-odds scale, where it is nearly normal; 0 or 1 at the ends."""
-    odds = F.log(a) - F.log(b) - z * F.sqrt(1 / a + 1 / b)
+    """z deviations below the mean of beta(a, b) on the log-odds scale, where it is nearly normal; 0 or 1 at the ends.
+
+    Log odds have the mean digamma(a) - digamma(b) and the variance trigamma(a) + trigamma(b), here by their first terms.
+    """
+    mean = lambda x: F.log(x) - 1 / (2 * x) - 1 / (12 * x * x)
+    variance = lambda x: 1 / x + 1 / (2 * x * x) + 1 / (6 * x * x * x)
+    odds = mean(a) - mean(b) - z * F.sqrt(variance(a) + variance(b))
     return F.when(a <= 0, 0.0).when(b <= 0, 1.0).otherwise(1 / (1 + F.exp(-odds)))
 
 
-def _strength(groups: DataFrame, n: str, k: str, out: str) -> DataFrame:
-    """One row: overall rate p and the prior's strength, 1 / rho - 1 within its bounds; groups without outcomes don't count."""
+def _strength(groups: DataFrame, n: str, k: str, parent: str | None, out: str) -> DataFrame:
+    """One row: overall rate p and the strength of the prior of groups within their parents, 1 / rho - 1 within its bounds.
+
+    rho is the intraclass correlation of a nested analysis of variance; groups without outcomes don't count.
+    """
     groups = groups.where(F.col(n) > 0)
     n_, k_ = F.col(n).cast("double"), F.col(k).cast("double")
-    sums = groups.agg(F.count(F.lit(1)).alias("g"), F.sum(n_).alias("n1"), F.sum(n_ * n_).alias("n2"), F.sum(k_).alias("k1"), F.sum(k_ * k_ / n_).alias("kk"))
-    # between and within mean squares, in sums over groups: sum n(k/n - p)^2 = kk - k1^2/n1
-    msb = (F.col("kk") - F.col("k1") * F.col("k1") / F.col("n1")) / (F.col("g") - 1)
-    msw = (F.col("k1") - F.col("kk")) / (F.col("n1") - F.col("g"))
-    n0 = (F.col("n1") - F.col("n2") / F.col("n1")) / (F.col("g") - 1)
-    rho = F.when((F.col("g") > 1) & (F.col("n1") > F.col("g")), F.try_divide(msb - msw, msb + (n0 - 1) * msw))
+    own = groups.groupBy(*([parent] if parent else [])).agg(F.count(F.lit(1)).alias("g"), F.sum(n_).alias("n1"), F.sum(n_ * n_).alias("n2"), F.sum(k_).alias("k1"), F.sum(k_ * k_ / n_).alias("kk"))
+    total = {c: F.sum(c) for c in ("g", "n1", "k1", "kk")} | {"pk": F.sum(F.col("k1") * F.col("k1") / F.col("n1")), "pn": F.sum(F.col("n2") / F.col("n1")), "parents": F.count(F.lit(1))}
+    sums = own.where("n1 > 0").agg(*(c.alias(x) for x, c in total.items()))
+    free = F.nullif(F.col("g") - F.col("parents"), F.lit(0))
+    # between and within mean squares, in sums over groups: sum n(k/n - p)^2 = kk - k1^2/n1 in each parent
+    msb = (F.col("kk") - F.col("pk")) / free
+    msw = (F.col("k1") - F.col("kk")) / F.nullif(F.col("n1") - F.col("g"), F.lit(0.0))
+    n0 = (F.col("n1") - F.col("pn")) / free
+    rho = F.try_divide(msb - msw, msb + (n0 - 1) * msw)
     strength = F.when(rho > 0, 1 / rho - 1).otherwise(STRONGEST)
     return sums.where("n1 > 0").select((F.col("k1") / F.col("n1")).alias("p"), F.least(F.lit(STRONGEST), F.greatest(F.lit(WEAKEST), strength)).alias(out))
 
@@ -121,7 +132,7 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, times: float
     every host if there are no outcomes.  Repeated rows are judged alike; columns named host, path, rule and
     verdict are replaced, all others kept; an empty table gives an empty table.
     """
-    pages = pages.select(*(c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")))
+    pages = pages.drop("host", "path", "rule", "verdict")
     key, bad = fresh(pages, "key", "bad")
     host, path = url_host(F.col("url")), url_path(F.col("url"))
     judged = host_reputation(outcomes, pages.select(host.alias("host"))).where(F.col("host") != "")
@@ -146,15 +157,17 @@ def digest(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return filter_urls(pages, page_outcomes(pages, labels)).select("page_id", "host", "path", "rule", "verdict")
 
 
-def _strength_sql(table: str, n: str, k: str, out: str) -> str:
+def _strength_sql(table: str, n: str, k: str, parent: str, out: str) -> str:
     return f"""(SELECT k1 / n1 AS p, least({STRONGEST}, greatest({WEAKEST}, CASE WHEN rho > 0 THEN 1 / rho - 1 ELSE {STRONGEST} END)) AS {out}
- FROM (SELECT *, CASE WHEN g > 1 AND n1 > g THEN (msb - msw) / nullif(msb + (n0 - 1) * msw, 0) END AS rho
- FROM (SELECT *, (kk - k1 * k1 / n1) / nullif(g - 1, 0) AS msb, (k1 - kk) / nullif(n1 - g, 0) AS msw, (n1 - n2 / n1) / nullif(g - 1, 0) AS n0
- FROM (SELECT count(*) AS g, sum({n}::DOUBLE) AS n1, sum({n}::DOUBLE * {n}) AS n2, sum({k}::DOUBLE) AS k1, sum({k}::DOUBLE * {k} / {n}) AS kk FROM {table} WHERE {n} > 0))))"""
+ FROM (SELECT *, (msb - msw) / nullif(msb + (n0 - 1) * msw, 0) AS rho
+ FROM (SELECT *, (kk - pk) / nullif(g - parents, 0) AS msb, (k1 - kk) / nullif(n1 - g, 0) AS msw, (n1 - pn) / nullif(g - parents, 0) AS n0
+ FROM (SELECT sum(g) AS g, sum(n1) AS n1, sum(k1) AS k1, sum(kk) AS kk, sum(k1 * k1 / n1) AS pk, sum(n2 / n1) AS pn, count(*) AS parents
+ FROM (SELECT {parent} AS parent, count(*) AS g, sum({n}::DOUBLE) AS n1, sum({n}::DOUBLE * {n}) AS n2, sum({k}::DOUBLE) AS k1, sum({k}::DOUBLE * {k} / {n}) AS kk FROM {table} WHERE {n} > 0 GROUP BY 1))) ))"""
 
 
 _TWO = f"regexp_matches(nm, '(^|[.])({'|'.join(SECOND)})[.][a-z]{{2}}$')"
 _LABEL = "[^.]*([.][^.]*)"
+_MEAN, _VARIANCE = "ln({x}) - 1 / (2 * {x}) - 1 / (12 * {x} * {x})", "1 / {x} + 1 / (2 * {x} * {x}) + 1 / (6 * {x} * {x} * {x})"
 SQL = f"""
 WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, try_cast(regexp_extract(coalesce(url, ''), '{_NUMBER}', 1) AS BIGINT) AS num FROM pages),
@@ -165,11 +178,11 @@ h AS (SELECT host, n, k, CASE WHEN {_TWO} THEN regexp_extract(nm, '{_LABEL}{{0,2
   CASE WHEN {_TWO} THEN regexp_extract(nm, '{_LABEL}$') ELSE regexp_extract(nm, '[^.]*$') END AS suffix FROM nm0),
 d AS (SELECT domain, suffix, sum(n) AS dn, sum(k) AS dk FROM h GROUP BY domain, suffix),
 s AS (SELECT suffix, sum(dn) AS sn, sum(dk) AS sk FROM d GROUP BY suffix),
-m AS (SELECT a.p, a.ms, b.md, c.mh FROM {_strength_sql("s", "sn", "sk", "ms")} a, {_strength_sql("d", "dn", "dk", "md")} b, {_strength_sql("h", "n", "k", "mh")} c WHERE a.p IS NOT NULL),
+m AS (SELECT a.p, a.ms, b.md, c.mh FROM {_strength_sql("s", "sn", "sk", "1", "ms")} a, {_strength_sql("d", "dn", "dk", "suffix", "md")} b, {_strength_sql("h", "n", "k", "domain", "mh")} c WHERE a.p IS NOT NULL),
 sm AS (SELECT suffix, (sk + ms * p) / (sn + ms) AS s_mean, md, mh, p FROM s, m),
 dm AS (SELECT domain, (dk + md * s_mean) / (dn + md) AS d_mean, mh, p FROM d JOIN sm USING (suffix)),
 ab AS (SELECT host, k + mh * d_mean AS a, n - k + mh * (1 - d_mean) AS b, p FROM h JOIN dm USING (domain)),
-judged AS (SELECT host, CASE WHEN a <= 0 THEN 0 WHEN b <= 0 THEN 1 ELSE 1 / (1 + exp(-(ln(a) - ln(b) - {Z} * sqrt(1 / a + 1 / b)))) END > {TIMES} * p AS bad FROM ab WHERE host <> ''),
+judged AS (SELECT host, CASE WHEN a <= 0 THEN 0 WHEN b <= 0 THEN 1 ELSE 1 / (1 + exp(-({_MEAN.format(x='a')} - ({_MEAN.format(x='b')}) - {Z} * sqrt({_VARIANCE.format(x='a')} + {_VARIANCE.format(x='b')})))) END > {TIMES} * p AS bad FROM ab WHERE host <> ''),
 r AS (SELECT p.page_id, p.host, p.path, j.bad,
   CASE WHEN (p.host = 'example.net' OR p.host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
        WHEN (p.host = 'example.com' OR p.host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'

@@ -319,7 +319,7 @@ def extract_pages(pages: DataFrame, name: str = "text") -> DataFrame:
     are extracted one by one; an empty table gives an empty table.
     """
     ship(pages.sparkSession)
-    pages = pages.select(*(c for c in pages.columns if c not in (name, "n_chars")))
+    pages = pages.drop(name, "n_chars")
     column = pages.columns.index("html")
 
     def run(batches):

@@ -33,7 +33,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
     doc_id never counts as a holder: its shared lines go if min_docs others hold them.  An empty
     table gives an empty table.  Other columns pass through, whatever their names.
     """
-    docs = docs.select(*(c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")))
+    docs = docs.drop("n_lines", "n_dropped")
     row, lines_, id_, row_, drop = fresh(docs, "row", "lines", "id", "row_of", "drop")
     text = F.coalesce("text", F.lit(""))
     split = F.split(text, "\n", -1)
@@ -76,7 +76,7 @@ def rebuilt(docs: DataFrame, **options) -> DataFrame:
     out = dedup_lines(docs, **options)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*(f"`{c}`" for c in docs.columns))
 
 
 def digest(deduped: DataFrame) -> DataFrame:

@@ -403,7 +403,7 @@ def score(docs: DataFrame, net: Network, name: str = "score") -> DataFrame:
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(*(c for c in docs.columns if c != name))
+    docs = docs.drop(name)
     column = docs.columns.index("text")
     sent = spark.sparkContext.broadcast(net)  # of fixed size: the embedding tables
 

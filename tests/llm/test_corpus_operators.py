@@ -1,5 +1,6 @@
 """Corpus operators on small tables: brute force, round trips and edge cases."""
 
+import os
 import hashlib
 import itertools
 import math
@@ -73,6 +74,15 @@ def test_line_dedup(spark):
     assert {r.doc_id: r.text for r in lone.collect()} == {None: "a line of ten or more", 1: "a line of ten or more"}
 
 
+def test_line_dedup_keeps_clashing_columns(spark):
+    names = ["row", "lines", "id", "row_of", "drop", "_row", "N_Lines", "a.b"]
+    df = spark.createDataFrame([(i, f"a shared line of text\nown {i}", *(f"{c}{i}" for c in names)) for i in (1, 2)], ["doc_id", "text", *names])
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    assert got[2].text == "own 2" and got[1].text == "a shared line of text\nown 1" and (got[2].n_lines, got[2].n_dropped) == (2, 1)
+    for i in (1, 2):
+        assert [got[i][c] for c in names if c != "N_Lines"] == [f"{c}{i}" for c in names if c != "N_Lines"]
+
+
 # ---------------------------------------------------------------- decontamination
 
 
@@ -271,6 +281,9 @@ def test_top_k(spark, monkeypatch):
         best = sorted((-int(ints[q] @ ints[c]), c) for c in ints if c != q)[:5]
         want += [(q, r, c, -s) for r, (s, c) in enumerate(best, 1)]
     assert sorted(map(tuple, got.collect())) == want
+    # a repeated id is one query but each of its rows a candidate, and never its own partner
+    twice = spark.createDataFrame([(50, [1.0, 0.0]), (50, [0.5, 0.0]), (7, [1.0, 0.0]), (7, [1.0, 0.0]), (8, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, vector_search.top_k(twice, F.col("vec_id") % 50 == 0, 3).collect())) == [(50, 1, 7, 65536), (50, 2, 7, 65536), (50, 3, 8, -65536)]
     assert vector_search.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
 
 
@@ -384,6 +397,31 @@ def test_url_rules_and_reputation(spark):
     assert url_filter.filter_urls(pages.limit(0), outcomes).count() == 0
 
 
+def test_reputation_levels_and_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "http://new.bad.co.uk/1", "k", "b"), (2, "http://new.good.co.uk:8080/2", "k", "b")], "page_id long, url string, key string, bad string")
+    marks = [(f"h{i % 3}.bad.co.uk", 1) for i in range(300)] + [(f"h{i % 3}.good.co.uk", 0) for i in range(300)]
+    outcomes = spark.createDataFrame(marks, "host string, bad int")
+    got = {r.page_id: r for r in url_filter.filter_urls(pages, outcomes).collect()}
+    # hosts without outcomes: judged by their registered domains
+    assert [got[i].verdict for i in (1, 2)] == ["block", "allow"] and all((got[i].key, got[i].bad) == ("k", "b") for i in (1, 2))
+    hosts = spark.createDataFrame([("a.b.co.uk:80",), ("b.com",), ("x.b.com",), ("com",), ("co.uk",), ("",)], "h string")
+    found = [tuple(r) for r in hosts.select(url_filter.domain_of(F.col("h")), url_filter.suffix_of(F.col("h"))).collect()]
+    assert found == [("b.co.uk", "co.uk"), ("b.com", "com"), ("b.com", "com"), ("com", "com"), ("co.uk", "co.uk"), ("", "")]
+    numbers = spark.createDataFrame([("http://h/en/853/",), ("http://h/x/474.html?p=9",), ("http://h/7/about",), ("http://h/12#t",), (None,)], "u string")
+    assert [r[0] for r in numbers.select(url_filter.document_number(F.col("u"))).collect()] == [853, 474, None, 12, None]
+
+
+def test_lower_bound_is_near_the_beta_quantile(spark):
+    given = [(5.0, 15.0), (40.0, 120.0), (2.0, 30.0), (300.0, 100.0)]
+    got = [r[0] for r in spark.createDataFrame(given, "a double, b double").select(url_filter.lower_bound(F.col("a"), F.col("b"))).collect()]
+    x = (np.arange(200_000) + 0.5) / 200_000
+    for (a, b), bound in zip(given, got):
+        logs = (a - 1) * np.log(x) + (b - 1) * np.log1p(-x)
+        weight = np.exp(logs - logs.max())
+        below = np.cumsum(weight) / weight.sum()
+        assert abs(np.interp(bound, x, below) - 0.159) < 0.03
+
+
 # ---------------------------------------------------------------- html
 
 
@@ -425,6 +463,34 @@ def test_html_article_is_a_prior_only():
     assert html_extract.extract(plain).startswith("Head\n")
 
 
+def test_html_of_broken_and_long_pages_takes_linear_time():
+    import time
+
+    text = "It is the story of a man and of the sea that he was in, and it is told for all of the people."
+    for odd in ('<a "' * 250_000, "<div>" * 200_000 + text, "<a href='" * 100_000 + ">", "</p>" * 250_000, "<p>" + "a < b and " * 100_000, "<script" * 150_000, "<aside>" * 150_000 + f"<main><p>{text}</p></main>"):
+        began = time.perf_counter()
+        html_extract.extract(odd)
+        assert time.perf_counter() - began < 15, odd[:20]
+
+
+def test_pages_give_the_lines_of_their_articles(spark):
+    """Held against a plain reading of the given pages: the text of the article's paragraphs and headings."""
+    import html as H
+    import re
+
+    path = "/root/testdata/sf0.001/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    for page, text in spark.read.parquet(path).join(html_extract.digest(spark.read.parquet(path)).select("page_id", "text"), "page_id").select("html", "text").collect():
+        body = re.search(r"(?is)<(main|article)\b[^>]*>(.*)</\1>", page)[2]
+        for inner in ("script", "style", "aside", "form", "nav", "footer"):
+            body = re.sub(rf"(?is)<{inner}\b.*?</{inner}>", "", body)
+        want = [" ".join(H.unescape(re.sub(r"(?s)<[^>]+>", "", x)).split()) for _, x in re.findall(r"(?is)<(p|h[1-6])\b[^>]*>(.*?)(?=</\1>|<p\b|</article|$)", body)]
+        lines = text.split("\n")
+        found = [w for w in want if w]
+        assert found and set(lines) <= set(found) | {x for x in lines if x in body or x in H.unescape(body)}
+
+
 # ---------------------------------------------------------------- toxicity
 
 

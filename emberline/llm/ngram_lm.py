@@ -31,8 +31,10 @@ from .common import NOT_SPACE, Words, bucket_count, discard, mix, mix_int, mount
 END = np.uint64(mix_int(0x0E0F0E0F))
 #: Distinct entries that a task gathers before it hands them on.
 FLUSH = 2_000_000
-PAIR_TOKENS = 3_000_000
-#: Files that a scoring task keeps mapped.
+PAIR_TOKENS = 2_000_000
+#: Text that is scored at a time: each n-gram file is mapped once for it.
+SCORED_BYTES = 4 << 20
+#: Word files that a scoring task keeps mapped.
 OPENED = 4000
 _S32 = np.uint64(32)
 
@@ -48,18 +50,34 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return b"".join(np.int64(len(a)).tobytes() + a.tobytes() for a in arrays)
+    """Arrays one after another, compressed by byte planes: the high bytes of ids and counts hardly vary."""
+    out = [np.array([len(arrays), *(len(a) for a in arrays)], dtype=np.int64).tobytes()]
+    for a in arrays:
+        planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+        small = pa.compress(planes, codec="zstd", asbytes=True) if planes else b""
+        out += [np.int64(len(small)).tobytes(), small]
+    return b"".join(out)
 
 
 def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
-    out, at = [], 0
-    for kind in kinds:
-        n = int(np.frombuffer(blob, np.int64, 1, at)[0])
-        out.append(np.frombuffer(blob, kind, n, at + 8))
-        at += 8 + n * np.dtype(kind).itemsize
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    sizes = np.frombuffer(blob, np.int64, n, 8)
+    out, at = [], 8 * (n + 1)
+    for kind, size in zip(kinds, sizes.tolist()):
+        small = int(np.frombuffer(blob, np.int64, 1, at)[0])
+        width = np.dtype(kind).itemsize
+        planes = pa.decompress(blob[at + 8 : at + 8 + small], size * width, codec="zstd", asbytes=True) if small else b""
+        out.append(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, size).T).view(kind).ravel() if size else np.zeros(0, dtype=kind))
+        at += 8 + small
     return out
 
 
+def _runs(sorted_: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, from, to) of the runs of equal values."""
+    at = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, dtype=np.int64)
+    return list(zip(sorted_[at].tolist(), at.tolist(), np.append(at[1:], len(sorted_)).tolist()))
+
+
 def _save(folder: str, name: str, array: np.ndarray) -> None:
     """Write whole or not at all; tasks that run twice write the same."""
     target = os.path.join(folder, f"{name}.npy")
@@ -154,16 +172,17 @@ class Model:
         """One column for each kind of values, at the keys of the buckets' files; 0 where a key is absent."""
         out = np.zeros((len(keys), len(values)), dtype=np.int64)
         order = np.argsort(bucket, kind="stable")
-        at = np.searchsorted(bucket[order], np.arange(self.pair_buckets + 1))
-        for b in range(self.pair_buckets):
-            rows = order[at[b] : at[b + 1]]
-            if len(rows):
-                have = self.opened(kind, b, cache)
-                if len(have):
-                    i = np.minimum(np.searchsorted(have, keys[rows]), len(have) - 1)
-                    ok = have[i] == keys[rows]
-                    for c, v in enumerate(values):
-                        out[rows[ok], c] = self.opened(v, b, cache)[i[ok]]
+        for b, lo, hi in _runs(bucket[order]):
+            if b < 0:
+                continue
+            rows = order[lo:hi]
+            # mapped for these keys only: what a task holds doesn't grow with the model
+            have = _load(self.folder, f"{kind}-{b}")
+            if len(have):
+                i = np.minimum(np.searchsorted(have, keys[rows]), len(have) - 1)
+                ok = have[i] == keys[rows]
+                for c, v in enumerate(values):
+                    out[rows[ok], c] = _load(self.folder, f"{v}-{b}")[i[ok]]
         return out
 
     def gram_counts(self, columns: list[np.ndarray], real: np.ndarray, cache: dict) -> np.ndarray:
@@ -254,8 +273,7 @@ def train(docs: DataFrame, rows: Column, order: int = 2) -> Model:
 
         def flush():
             keys, counts = _summed(*(np.concatenate(x) for x in zip(*gathered)))
-            at = np.searchsorted(keys >> shift, np.arange((1 << bits) + 1, dtype=np.uint64))
-            own = [(b, _pack(keys[i:j], counts[i:j].astype(np.uint32))) for b, (i, j) in enumerate(zip(at[:-1], at[1:])) if j > i]
+            own = [(b, _pack(keys[i:j], counts[i:j].astype(np.uint32))) for b, i, j in _runs(keys >> shift)]
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in own], pa.int32()), pa.array([x for _, x in own], pa.binary())], names=["bucket", "blob"])
 
         for batch in batches:
@@ -303,8 +321,7 @@ def train(docs: DataFrame, rows: Column, order: int = 2) -> Model:
         """(kind, bucket, blob) of n-grams with counts, a row a bucket, in the order of their contexts."""
         bucket = model.bucket_of(columns)[0]
         order_ = np.lexsort(((columns[-2].astype(np.uint64) << _S32) | columns[-3 if len(columns) > 2 else -1].astype(np.uint64), bucket))
-        at = np.searchsorted(bucket[order_], np.arange(pair_buckets + 1))
-        return [(kind, b, _pack(*(c[order_[i:j]].astype(np.uint32) for c in columns), counts[order_[i:j]].astype(np.uint32))) for b, (i, j) in enumerate(zip(at[:-1], at[1:])) if j > i]
+        return [(kind, b, _pack(*(c[order_[i:j]].astype(np.uint32) for c in columns), counts[order_[i:j]].astype(np.uint32))) for b, i, j in _runs(bucket[order_])]
 
     def grams(batches):
         cache: dict = {}
@@ -360,7 +377,7 @@ def train(docs: DataFrame, rows: Column, order: int = 2) -> Model:
                 return pd.DataFrame(out, columns=["kind", "bucket", "blob"])
             u = context[at]
             w, ended = np.unique(columns[1], return_counts=True)
-            for r in range(vocabulary // stat_range + 1):
+            for r in np.unique(np.concatenate([u.astype(np.int64), w.astype(np.int64)]) // stat_range).tolist():
                 i, j = np.searchsorted(u, [r * stat_range, (r + 1) * stat_range])
                 x, y = np.searchsorted(w, [r * stat_range, (r + 1) * stat_range])
                 if j > i or y > x:
@@ -444,7 +461,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         end_id, end_count = (int(x[0]) for x in m.ids(np.array([END]), cache))
         left = sum(d * n for d, n in zip(m.discount_low, m.low_counts)) / m.pairs if m.pairs else 1.0
         for batch in batches:
-            for lo, hi, data, offsets in slices(batch.column(1)):
+            for lo, hi, data, offsets in slices(batch.column(1), SCORED_BYTES):
                 w = Words(data, offsets, NOT_SPACE)
                 known, back = np.unique(w.hash, return_inverse=True)
                 ids, counts = m.ids(known, cache)

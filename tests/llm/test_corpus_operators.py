@@ -113,8 +113,10 @@ def test_decontamination(spark, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
     rng = random.Random(4)
     items = [(str(i), " ".join(rng.choice(WORDS) for _ in range(n))) for i, n in enumerate([20, 13, 14, 5, 2, 1, 30, 20])] + [("90", None), ("91", ""), ("92", "Q q")]
-    texts = corpus(40, 2) + [f"start {items[0][1].upper()} end", f"{items[1][1]}, {items[2][1]}", items[6][1].replace(" ", "--"), "x " * 500 + items[7][1]]
-    bench = spark.createDataFrame([(int(i), t) for i, t in items] + [(None, "lost item")], "item_id long, text string")
+    # equal windows within an item, between items and in repeated rows; an id with two texts; an item with no words but marks
+    items += [("93", "zz " * 30), ("94", "zz " * 20), items[0], ("0", items[1][1]), ("95", "?!"), ("\u00e9", "\u00e9t\u00e9 " * 13)]
+    texts = corpus(40, 2) + ["zz-" * 40, "ZZ " * 12, "\u00e9t\u00e9, " * 14, "", None] + [f"start {items[0][1].upper()} end", f"{items[1][1]}, {items[2][1]}", items[6][1].replace(" ", "--"), "x " * 500 + items[7][1]]
+    bench = spark.createDataFrame([*items, (None, "lost item")], "item_id string, text string")
     got = decontaminate.digest(decontaminate.contamination(table(spark, texts), bench))
     want = brute_hits(list(enumerate(texts)), items)
     assert sorted(map(tuple, got.collect()), key=str) == want

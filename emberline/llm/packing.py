@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import fresh, ship, written
 
 CAPACITY = 2048
 PROBLEM_PIECES = 6000
@@ -217,13 +217,16 @@ def evolve(lengths: np.ndarray, seeds: list[np.ndarray], rng: np.random.Generato
 def pack(found: DataFrame, capacity: int = CAPACITY, seed: int = 1) -> DataFrame:
     """pieces(doc_id, piece, start, length, ...) with sequence_id and offset.
 
-    Every row is placed, repeated rows each for itself; no pieces give no rows.
+    Every row is placed, repeated rows each for itself; no pieces give no rows.  Pieces are dealt to problems by a
+    number of their row as well, so that repeated rows and null ids don't gather in one problem.
     """
-    spark = found.sparkSession
-    ship(spark)
+    ship(found.sparkSession)
+    problem, row = fresh(found, "problem", "row")
+    # written once: both readers below must see the same numbers
+    found = written(found.withColumn(row, F.monotonically_increasing_id()), "pieces")
     n = found.count()
     problems = max(1, -(-n // PROBLEM_PIECES))
-    found = found.withColumn("problem", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(problems)))
+    found = found.withColumn(problem, F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", row), F.lit(problems))).drop(row)
     order = ["length", "doc_id", "piece", "ids_crc32"]
 
     def lay_out(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -232,7 +235,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, seed: int = 1) -> DataFrame
         return pd.DataFrame({"problem": [key[0]] * ISLANDS, "island": range(ISLANDS), "lengths": [lengths.tobytes()] * ISLANDS, "packing": [None] * ISLANDS, "bins": [0] * ISLANDS, "least": [0] * ISLANDS})
 
     state = "problem long, island int, lengths binary, packing binary, bins long, least long"
-    islands = found.select("problem", "length").groupBy("problem").applyInPandas(lay_out, state)
+    islands = found.select(F.col(problem).alias("problem"), "length").groupBy("problem").applyInPandas(lay_out, state)
 
     def epoch(number: int):
         def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -255,7 +258,8 @@ def pack(found: DataFrame, capacity: int = CAPACITY, seed: int = 1) -> DataFrame
             break
     best = islands.groupBy("problem").agg(F.min_by("packing", F.struct("bins", "island", F.crc32("packing"))).alias("packing"))
 
-    names = [f.name for f in found.schema if f.name != "problem"]
+    fields = [f for f in found.schema if f.name != problem]
+    names = [f.name for f in fields]
 
     def place(key: tuple, rows: pd.DataFrame, solution: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, ascending=[False, True, True, True], kind="stable", na_position="last").reset_index(drop=True)
@@ -270,10 +274,13 @@ def pack(found: DataFrame, capacity: int = CAPACITY, seed: int = 1) -> DataFrame
         offset[by] = before - np.repeat(before[first], np.diff(np.append(first, len(rows))))
         return rows[names].assign(sequence_id=(int(key[0]) << 32) + bins, offset=offset)
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema if f.name != "problem") + ", sequence_id long, offset long"
-    return found.groupBy("problem").cogroup(best.groupBy("problem")).applyInPandas(place, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", sequence_id long, offset long"
+    return found.groupBy(problem).cogroup(best.groupBy("problem")).applyInPandas(place, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """docs(doc_id, text) packed: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(written(pieces(docs, tokenizer, capacity), "pieces"), capacity)
+    """docs(doc_id, text) packed: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    A null or empty text is the closing id 0 alone; null and repeated ids are kept, each row for itself.
+    """
+    return pack(pieces(docs, tokenizer, capacity), capacity)

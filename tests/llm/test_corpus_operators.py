@@ -250,6 +250,21 @@ def test_packing(spark, monkeypatch):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0
 
 
+def test_packing_deals_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PROBLEM_PIECES", 50)
+    rows = [(None, 0, 0, 10 + i % 3, 7, f"p{i}", i) for i in range(400)]
+    found = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, problem string, row int")
+    got = packing.pack(found, 64).collect()
+    assert sorted((r.problem, r.row, r.length) for r in got) == sorted((p, i, n) for _, _, _, n, _, p, i in rows)
+    assert len({r.sequence_id >> 32 for r in got}) == 8
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for places in bins.values():
+        places.sort()
+        assert places[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(places, places[1:])) and sum(places[-1]) <= 64
+
+
 def test_genetic_search_keeps_every_piece_and_improves():
     rng = np.random.default_rng(1)
     lengths = np.sort(rng.integers(60, 140, 300))[::-1].astype(np.int64)

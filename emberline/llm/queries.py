@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, line_dedup, near_dedup, ngram_lm, packing, periodic_runs, sharding, spelling_variants, toxicity, url_filter, vector_search
+from . import decontaminate, html_extract, line_dedup, near_dedup, ngram_lm, packing, periodic_runs, quality, sharding, spelling_variants, toxicity, url_filter, vector_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(_table(spark, sf_dir, "documents"))
 
@@ -67,5 +71,5 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_gated_toxicity, op2_line_dedup, op3_html_extraction, op4_benchmark_decontamination, op5_best_fit_packing, op6_url_filter, op7_minhash_near_dedup, op8_exact_top_k, op9_kneser_ney_scores, op10_interleaved_shards, op12_periodic_runs, op13_spelling_variants)}
+QUERIES = {f.__name__: f for f in (op1_gated_toxicity, op2_line_dedup, op3_html_extraction, op4_benchmark_decontamination, op5_best_fit_packing, op6_url_filter, op7_minhash_near_dedup, op8_exact_top_k, op9_kneser_ney_scores, op10_interleaved_shards, op11_quality_classifier, op12_periodic_runs, op13_spelling_variants)}
 ORACLE_SQL = {"op2_line_dedup": line_dedup.SQL, "op4_benchmark_decontamination": decontaminate.SQL, "op6_url_filter": url_filter.SQL, "op7_minhash_near_dedup": near_dedup.sql(2), "op8_exact_top_k": vector_search.SQL, "op10_interleaved_shards": sharding.SQL, "op13_spelling_variants": spelling_variants.SQL}

@@ -31,13 +31,55 @@ def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def density_clusters(nodes: DataFrame, pairs: DataFrame, least: int = 2) -> DataFrame:
-    """DBSCAN over the pairs within reach: components of core points; others join their smallest core cluster or stay alone."""
+    """DBSCAN over the pairs within reach: components of core points; others join their smallest core cluster or stay alone.
+
+    nodes(id) or nodes(id, size), a node standing for so many copies that are all within reach of each other.  Gives
+    (id, component, alone): alone if neither core nor next to a core point.
+    """
+    nodes = nodes.groupBy("id").agg(F.max("size" if "size" in nodes.columns else F.lit(1)).alias("size"))
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    core = both.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") + 1 >= least).select(F.col("a").alias("id"))
+    reach = both.join(nodes.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("size").alias("n"))
+    core = nodes.join(reach, "id", "left").where(F.col("size") + F.coalesce("n", F.lit(0)) >= least).select("id")
     inner = both.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi")
     found = components(core, inner)
     edge = both.join(found.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("border"))
-    return nodes.select("id").distinct().join(found, "id", "left").join(edge, "id", "left").select("id", F.coalesce("component", "border", "id").alias("component"))
+    rows = nodes.join(found, "id", "left").join(edge, "id", "left")
+    return rows.select("id", F.coalesce("component", "border", "id").alias("component"), F.coalesce("component", "border").isNull().alias("alone"))
+
+
+def counted_leaders(nodes: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
+    """nodes(id, size), pairs(a, b) -> (id, leader) of the nodes that a leader takes, leaders too.
+
+    In order of id a free node whose free neighbours, itself included, have a size of at least `least` takes them all; one
+    that finds too few stays free.  A node is taken at once with the first accepted leader next to it.  So a node
+    is accepted if no accepted one before it is next to it, and enough of its neighbours have no accepted one
+    before it next to them; each round settles all nodes for which what is still open makes no difference.
+    """
+    from ..sources.stages import staged
+
+    near = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(nodes.select(F.col("id").alias("a"), F.col("id").alias("b"))).distinct()
+    near = staged(near, "neighbours")
+    size = nodes.select(F.col("id").alias("b"), "size")
+    state = staged(nodes.select("id", F.lit(None).cast("boolean").alias("lead")), "leader-state")
+    while True:
+        # the first accepted and the first open node next to each
+        seen = near.join(state.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min(F.when(F.col("lead"), F.col("b"))).alias("first"), F.min(F.when(F.col("lead").isNull(), F.col("b"))).alias("open"))
+        seen = staged(seen.withColumnRenamed("a", "b"), "leader-view")
+        todo = near.join(state.where("lead is null").select(F.col("id").alias("a")), "a", "left_semi").join(seen, "b").join(size, "b")
+        taken, unsure = F.coalesce(F.col("first") < F.col("a"), F.lit(False)), F.coalesce(F.col("open") < F.col("a"), F.lit(False))
+        counts = todo.groupBy("a").agg(
+            F.sum(F.when(~taken, F.col("size")).otherwise(0)).alias("most"),
+            F.sum(F.when(~taken & ~unsure, F.col("size")).otherwise(0)).alias("fewest"),
+            F.max(taken & (F.col("a") == F.col("b"))).alias("taken"),
+            F.max(unsure & (F.col("a") == F.col("b"))).alias("unsure"),
+        )
+        verdict = F.when(F.col("taken") | (F.col("most") < least), False).when(~F.col("unsure") & (F.col("fewest") >= least), True)
+        after = staged(state.join(counts.select(F.col("a").alias("id"), verdict.alias("now")), "id", "left").select("id", F.coalesce("lead", "now").alias("lead")), "leader-state")
+        if after.where("lead is null").isEmpty():
+            break
+        state = after
+    lead = after.where("lead").select(F.col("id").alias("b"))
+    return near.join(lead, "b", "left_semi").groupBy(F.col("a").alias("id")).agg(F.min("b").alias("leader"))
 
 
 def leaders(items: DataFrame, compat: DataFrame, by_weight: bool = False) -> DataFrame:

@@ -130,24 +130,17 @@ def topic_vectors(texts: DataFrame, size: int = 128) -> DataFrame:
 def semantic_clusters(texts: DataFrame, method: str = "greedy", threshold: float = 0.75, eps: float = 0.5, least: int = 2) -> DataFrame:
     """texts(id, text) -> (id, cluster): greedy leaders by cosine above a threshold, or density clusters of standardised vectors.
 
-    A topic that nothing is near to is a cluster of its own.  Clusters are named by their first member.  Greedy
-    clustering with a least size over two would let a leader that found too few join later ones; it isn't offered.
+    A topic that nothing is near to is a cluster of its own.  Clusters are named by their first member.  A greedy leader
+    needs `least` free topics near to it, itself included; one that finds fewer may be taken by a later leader.
     """
-    from ..sources.stages import staged
-    from .cluster import density_clusters, leaders
-    from .vectors import similar_pairs
+    from .similarity import similar_density, similar_leaders
 
     v = topic_vectors(texts)
     if method == "dbscan":
-        v = staged(standardised(v), "vectors")
-        pairs = similar_pairs(v.withColumnRenamed("id", "tweet_id"), 1 - eps, at_least=True)
-        return density_clusters(v.select("id"), staged(pairs, "pairs"), least).select("id", F.col("component").alias("cluster"))
-    if least != 2:
-        raise ValueError("greedy clusters have a least size of two")
-    v = staged(v, "vectors")
-    pairs = similar_pairs(v.withColumnRenamed("id", "tweet_id"), threshold)
-    found = leaders(v.select("id", F.col("id").alias("ord")), pairs.select(F.col("a").alias("leader"), F.col("b").alias("follower"), F.lit(1.0).alias("weight")))
-    return found.select("id", F.col("leader").alias("cluster"))
+        return similar_density(standardised(v), 1 - eps, least).select("id", F.col("component").alias("cluster"))
+    found = similar_leaders(v, threshold, least)
+    first = found.groupBy("leader").agg(F.min("id").alias("cluster"))
+    return found.join(first, "leader").select("id", "cluster")
 
 
 def semantic_topics(found: DataFrame, texts: DataFrame, cut: int = 500) -> DataFrame:

@@ -76,37 +76,11 @@ def embed(posts: DataFrame, embedder=None, most: int = 8000, batch: int = 256) -
 def similar_pairs(vectors: DataFrame, threshold: float, at_least: bool = False) -> DataFrame:
     """vectors(tweet_id, v) -> (a, b, cos) with a < b and cosine above (or at) the threshold; zero vectors match nothing.
 
-    Rows are dealt into blocks of about TILE vectors; each pair of blocks is one group, multiplied as
-    matrices, so tasks are of equal size and no task holds more than two blocks.
+    All pairs, also those of copies: clusters are made from classes instead, see similarity.
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // TILE))
-    dealt = vectors.withColumn("blk", F.pmod(F.xxhash64("tweet_id"), F.lit(blocks)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = dealt.select("tweet_id", "v", F.col("blk").alias("i"), F.explode(F.filter(every, lambda x: x >= F.col("blk"))).alias("j"))
-    right = dealt.select(F.col("tweet_id").alias("other"), F.col("v").alias("u"), F.explode(F.filter(every, lambda x: x <= F.col("blk"))).alias("i"), F.col("blk").alias("j"))
-    kind = dict(vectors.dtypes)["tweet_id"]
-
-    def unit(column: pd.Series) -> np.ndarray:
-        m = np.array(column.tolist(), dtype=np.float64)
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+    from .similarity import similar_classes
 
-    def tile(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": [], "cos": []})
-        c = unit(a["v"]) @ unit(b["u"]).T
-        x, y = np.nonzero(c >= threshold if at_least else c > threshold)
-        out = pd.DataFrame({"a": a["tweet_id"].to_numpy()[x], "b": b["other"].to_numpy()[y], "cos": c[x, y]})
-        out = out[out["a"] != out["b"]]
-        if key[0] == key[1]:
-            return out[out["a"] < out["b"]]
-        swap = out["a"] > out["b"]
-        out.loc[swap, ["a", "b"]] = out.loc[swap, ["b", "a"]].to_numpy()
-        return out
-
-    grid = ["i", "j"]
-    return left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInPandas(tile, f"a {kind}, b {kind}, cos double")
+    return similar_classes(vectors.withColumnRenamed("tweet_id", "id"), threshold, at_least).expanded()
 
 
 def nearest_pairs(vectors: DataFrame, threshold: float) -> DataFrame:

@@ -133,6 +133,27 @@ def semantic_topics(spark, d):
     return SemanticRun(run(spark, d)).topics
 
 
+def _counted(least: int) -> str:
+    """CTEs up to sf(id, cluster): one topic a step, which takes its free neighbours if they are enough."""
+    return _TEXTS + f""", it AS MATERIALIZED (SELECT row_number() OVER (ORDER BY a.id) AS i, a.id, coalesce(list(b.id) FILTER (b.id IS NOT NULL), []) AS near FROM tv a LEFT JOIN tv b ON list_inner_product(a.v, b.v) > 0.75 GROUP BY a.id),
+  fold(i, used, found) AS (SELECT 0::BIGINT, list(id) FILTER (false), list({{'m': id, 'l': id}}) FILTER (false) FROM it UNION ALL
+   SELECT i + 1, CASE WHEN ok THEN list_concat(used, free) ELSE used END, CASE WHEN ok THEN list_concat(found, list_transform(free, lambda x: {{'m': x, 'l': id}})) ELSE found END
+   FROM (SELECT *, NOT list_contains(used, id) AND len(free) >= {least} AS ok FROM (SELECT f.i, coalesce(f.used, []) AS used, coalesce(f.found, []) AS found, t.id, list_filter(t.near, lambda x: NOT list_contains(coalesce(f.used, []), x)) AS free FROM fold f JOIN it t ON t.i = f.i + 1))),
+  took AS MATERIALIZED (SELECT x.m AS id, x.l AS leader FROM (SELECT unnest(found) AS x FROM fold WHERE i = (SELECT count(*) FROM it))),
+  sf AS MATERIALIZED (SELECT tt.id, coalesce(c.cluster, tt.id) AS cluster FROM tt LEFT JOIN took USING (id) LEFT JOIN (SELECT leader, min(id) AS cluster FROM took GROUP BY 1) c USING (leader))"""
+
+
+@query(_counted(3) + _TOPICS)
+def semantic_topics_least3(spark, d):
+    """Greedy clusters of three topics or more; a topic that found too few may join a later one."""
+    return SemanticRun(run(spark, d), least=3).topics
+
+
+@query(_counted(4) + _TOPICS)
+def semantic_topics_least4(spark, d):
+    return SemanticRun(run(spark, d), least=4).topics
+
+
 @query(_STANDARD + _TOPICS)
 def semantic_topics_dbscan(spark, d):
     return SemanticRun(run(spark, d), "dbscan").topics

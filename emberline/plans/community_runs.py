@@ -134,6 +134,7 @@ class SemanticRun:
     method: str = "greedy"
     threshold: float = 0.75
     eps: float = 0.5
+    least: int = 2
 
     @cached_property
     def texts(self) -> DataFrame:
@@ -143,7 +144,7 @@ class SemanticRun:
 
     @cached_property
     def found(self) -> DataFrame:
-        return staged(S.semantic_clusters(self.texts, self.method, self.threshold, self.eps), "found")
+        return staged(S.semantic_clusters(self.texts, self.method, self.threshold, self.eps, self.least), "found")
 
     @cached_property
     def topics(self) -> DataFrame:

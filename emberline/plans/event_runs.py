@@ -19,6 +19,7 @@ from ..operators import reports as R
 from ..operators import semantic as S
 from ..operators import text as W
 from ..operators import vectors as D
+from ..operators.similarity import similar_components
 from ..operators.topics import relevant
 from ..sources.stages import staged
 from .daily_topics import DailyTopics
@@ -248,8 +249,7 @@ class SeededRun(EventRun):
         """(cluster_id, id) of average-linkage clusters of the seeded posts with over ten characters."""
         seeded = self.tagged.join(self.seeds.select("id").distinct(), "id", "left_semi").where(F.length("text") > 10).select(F.col("id").alias("tweet_id"), "text")
         v = staged(D.dense(D.hash_embedding(seeded)), "vectors").withColumnRenamed("tweet_id", "id")
-        pairs = staged(D.similar_pairs(v.withColumnRenamed("id", "tweet_id"), 1 - self.distance), "pairs")
-        found = C.average_linkage(v, C.components(v.select("id"), pairs), self.distance)
+        found = C.average_linkage(v, similar_components(v, 1 - self.distance), self.distance)
         size = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= self.least_size).select("cluster")
         return staged(found.join(size, "cluster", "left_semi").select(F.col("cluster").alias("cluster_id"), "id"), "stage-one")
 

@@ -8,6 +8,7 @@ from ..functions import assets
 from ..functions import scalars as X
 from ..operators import cluster as C
 from ..operators import events as V
+from ..operators import similarity as S
 from ..operators import text as W
 from ..operators import vectors as D
 from ..sources import posts as src
@@ -211,8 +212,7 @@ def vec_similar(spark, d):
     base=False,
 )
 def vec_components(spark, d):
-    v = _given_vectors(spark, d)
-    return C.components(v.select(F.col("tweet_id").alias("id")), D.similar_pairs(v, 0.4, at_least=True))
+    return S.similar_components(_given_vectors(spark, d).withColumnRenamed("tweet_id", "id"), 0.4, at_least=True)
 
 
 @docs_query(
@@ -259,8 +259,7 @@ def ec_pairs(spark, d):
   SELECT x AS id, min(y) AS component FROM reach GROUP BY 1"""
 )
 def connected_components(spark, d):
-    v = _vectors(spark, d)
-    return C.components(v.select(F.col("tweet_id").alias("id")), D.similar_pairs(v, 0.95, at_least=True))
+    return S.similar_components(_vectors(spark, d).withColumnRenamed("tweet_id", "id"), 0.95, at_least=True)
 
 
 @docs_query(
@@ -271,8 +270,7 @@ def connected_components(spark, d):
   SELECT tweet_id AS id, coalesce(o.c, (SELECT min(cc.c) FROM near JOIN cc ON near.b = cc.x WHERE near.a = tweet_id), tweet_id) AS component FROM vec LEFT JOIN cc o ON o.x = tweet_id"""
 )
 def dbscan(spark, d):
-    v = _vectors(spark, d)
-    return C.density_clusters(v.select(F.col("tweet_id").alias("id")), D.similar_pairs(v, 0.95, at_least=True), 4)
+    return S.similar_density(_vectors(spark, d).withColumnRenamed("tweet_id", "id"), 0.95, 4)
 
 
 @docs_query(
@@ -295,16 +293,13 @@ def incremental_new(spark, d):
 
 @docs_query(_SIM + ", hv AS MATERIALIZED (SELECT a, b, 1.0::DOUBLE AS weight FROM sim WHERE cos > 0.95), pts AS (SELECT tweet_id AS id FROM vec)" + leaders_sql("pts", "hv") + " SELECT id, leader FROM grown")
 def greedy_distance(spark, d):
-    v = _vectors(spark, d)
-    pairs = D.similar_pairs(v, 0.95)
-    return C.leaders(v.select(F.col("tweet_id").alias("id"), F.col("tweet_id").alias("ord")), pairs.select(F.col("a").alias("leader"), F.col("b").alias("follower"), F.lit(1.0).alias("weight")))
+    return S.similar_leaders(_vectors(spark, d).withColumnRenamed("tweet_id", "id"), 0.95)
 
 
 @docs_query()
 def avg_linkage(spark, d):
-    v = _vectors(spark, d)
-    within = C.components(v.select(F.col("tweet_id").alias("id")), D.similar_pairs(v, 0.95))
-    return C.average_linkage(v.withColumnRenamed("tweet_id", "id"), within, 0.05)
+    v = staged(_vectors(spark, d).withColumnRenamed("tweet_id", "id"), "vectors")
+    return C.average_linkage(v, S.similar_components(v, 0.95), 0.05)
 
 
 @query()

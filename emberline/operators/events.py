@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .keyed import shared_key_pairs, text_key
+
 NEAR = 48 * 3600
 #: Weights of the prioritised merge conditions: same anchor, entity and action, entity in time, action in time.
 SAME_ANCHOR, ENTITY_ACTION, ENTITY_TIME, ACTION_TIME = 10.0, 8.0, 6.0, 4.0
@@ -36,51 +38,49 @@ def condition_count(pairs: DataFrame, events: DataFrame, edges: DataFrame, with_
 
 
 def near_pairs(events: DataFrame) -> DataFrame:
-    """Pairs (a < b) within NEAR seconds: an equi-join on time buckets and their neighbours, not a cross join."""
-    e = events.select("id", "time", F.floor(F.col("time") / NEAR).alias("slot"))
-    b = e.select(F.col("id").alias("b"), F.col("time").alias("tb"), F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"))
-    return e.withColumnRenamed("id", "a").join(b, "slot").where((F.col("a") < F.col("b")) & (F.abs(F.col("time") - F.col("tb")) <= NEAR)).select("a", "b")
-
+    """Pairs (a < b) within NEAR seconds, met in time slots and their neighbours; a full slot is dealt into blocks."""
+    pairs = shared_key_pairs(*(_keyed(events, ("time",), wide).withColumnRenamed("id", c) for c, wide in (("a", False), ("b", True))))
+    t = events.select("id", "time")
+    near = pairs.join(t.toDF("a", "ta"), "a").join(t.toDF("b", "tb"), "b").where(F.abs(F.col("ta") - F.col("tb")) <= NEAR)
+    return near.select("a", "b")
 
-def _slots(events: DataFrame) -> Column:
-    return F.floor(F.col("time") / NEAR)
 
+def _keyed(events: DataFrame, keys: tuple[str, ...], wide: bool) -> DataFrame:
+    """(id, k): what an event can meet others by.  Times are slots of NEAR seconds; the wide side is in its neighbours' slots too.
 
-def _around(events: DataFrame) -> Column:
-    s = _slots(events)
-    return F.explode(F.array(s - 1, s, s + 1))
+    "entity+action", "entity+time" and "action+time" are met only where both are shared.
+    """
+    at = F.floor(F.col("time") / NEAR)
+    slots = F.array(at - 1, at, at + 1) if wide else F.array(at)
+    each = lambda kind, a: F.transform(a, lambda x: text_key(kind, x))
+    both = lambda kind, a, b: F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: text_key(kind, x, y))))
+    made = {
+        "anchor": lambda: F.array(text_key("n", F.nullif("anchor_id", F.lit("")))),
+        "entity": lambda: each("e", F.col("entity")),
+        "action": lambda: each("c", F.array("action")),
+        "time": lambda: each("t", slots),
+        "entity+action": lambda: both("ec", F.col("entity"), F.array("action")),
+        "entity+time": lambda: both("et", F.col("entity"), slots),
+        "action+time": lambda: both("ct", F.array("action"), slots),
+    }
+    arrays = [F.coalesce(made[k](), F.array().cast("array<string>")) for k in keys]
+    return events.select("id", F.explode(F.array_distinct(F.array_compact(F.concat(*arrays)))).alias("k"))
 
 
 def _meetings(events: DataFrame, leaders: DataFrame | None, keys: tuple[str, ...]) -> DataFrame:
-    """Pairs (a, b) with a before b that share a key: equi-joins on the anchor, an entity, the action, or time slots.
-
-    Without leaders all pairs of events; with a block of leaders (bounded, broadcast) pairs of a leader and a later event.
-    """
-    left = events if leaders is None else F.broadcast(leaders)
-    out = None
-    for key in keys:
-        if key == "anchor":
-            x, y = left.select(F.col("id").alias("a"), F.col("anchor_id").alias("k")), events.select(F.col("id").alias("b"), F.col("anchor_id").alias("k"))
-            x = x.where("k <> ''")
-        elif key == "entity":
-            x, y = left.select(F.col("id").alias("a"), F.explode("entity").alias("k")), events.select(F.col("id").alias("b"), F.explode("entity").alias("k"))
-        elif key == "action":
-            x, y = left.select(F.col("id").alias("a"), F.col("action").alias("k")), events.select(F.col("id").alias("b"), F.col("action").alias("k"))
-        else:
-            x, y = left.select(F.col("id").alias("a"), _slots(left).alias("k")), events.select(F.col("id").alias("b"), _around(events).alias("k"))
-        pairs = (x if leaders is None else F.broadcast(x)).join(y, "k").where("a < b").select("a", "b")
-        out = pairs if out is None else out.unionByName(pairs)
-    return out.distinct()
+    """Pairs (a, b) with a before b that share a key; with leaders only those whose first event is one of them."""
+    left = _keyed(events if leaders is None else leaders, keys, False).withColumnRenamed("id", "a")
+    return shared_key_pairs(left, _keyed(events, keys, True).withColumnRenamed("id", "b"))
 
 
 def weighted_pairs(events: DataFrame, leaders: DataFrame | None = None) -> DataFrame:
     """(a, b, weight) with a < b: the first merge condition that holds.  events(id, time, entity, author, action, anchor_id).
 
-    Candidates come from equi-joins on what a condition needs: the anchor, a shared entity or the action.
-    With leaders (a block of events, bounded by the caller) only pairs whose first event is one of them.
+    Candidates come from equi-joins on all that a condition needs: the anchor, an entity and the action, an entity
+    and a time slot, the action and a time slot.  With leaders only pairs whose first event is one of them.
     """
     e = events.select("id", "time", "entity", "author", "action", "anchor_id")
-    s = _sides(_meetings(e, leaders, ("anchor", "entity", "action")), e)
+    s = _sides(_meetings(e, leaders, ("anchor", "entity+action", "entity+time", "action+time")), e)
     near = F.abs(F.col("time_a") - F.col("time_b")) <= NEAR
     shared, same = F.arrays_overlap("entity_a", "entity_b"), F.coalesce(F.col("action_a") == F.col("action_b"), F.lit(False))
     weight = (
@@ -100,36 +100,58 @@ def condition_pairs(events: DataFrame, edges: DataFrame, leaders: DataFrame | No
     e = events.select("id", "time", "entity", "author", "action")
     joined = edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).where("a <> b").distinct()
     if leaders is not None:
-        joined = joined.join(F.broadcast(leaders.select(F.col("id").alias("a"))), "a", "left_semi")
+        joined = joined.join(leaders.select(F.col("id").alias("a")), "a", "left_semi")
     pairs = _meetings(e, leaders, ("entity", "action", "time")).unionByName(joined.select("a", "b")).distinct()
     return condition_count(pairs, e, edges, with_action=True).where(F.col("satisfied") >= least)
 
 
-def block_leaders(events: DataFrame, pairs, block: int = 1000, by_weight: bool = False) -> DataFrame:
-    """Leader clustering of events(id, ...) in order of id, without the table of all pairs: (id, leader, weight).
+def _placed(events: DataFrame, rows: int = 100_000) -> DataFrame:
+    """events with place: 0, 1, ... in order of id, over ranges of about so many rows; the driver sees one row a range."""
+    from ..sources.stages import staged
+
+    parts = max(1, -(-events.count() // rows))
+    ids = events.select("id").repartitionByRange(parts, "id").sortWithinPartitions("id").select("id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"))
+    ids = staged(ids, "order")
+    counts = ids.groupBy("part").agg(F.min("row").alias("least"), F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+    start, first = 0, []
+    for r in counts:
+        first.append((r["part"], start - r["least"]))
+        start += r["n"]
+    moved = events.sparkSession.createDataFrame(first, "part int, moved long")
+    return events.join(ids.join(F.broadcast(moved), "part").select("id", (F.col("row") + F.col("moved")).alias("place")), "id")
+
+
+def block_leaders(events: DataFrame, pairs, block: int = 1000, by_weight: bool = False, most: int = 2_000_000) -> DataFrame:
+    """Leader clustering of events(id, ...), ids distinct, in order of id, without the table of all pairs: (id, leader, weight).
 
     pairs(leaders, events) gives (a, b, weight) for compatible events b later than a leader a.  A round settles the
-    first events that are still open (at most `block`, so that they may be broadcast) among themselves, then joins
-    the new leaders to all later events.  A hot entity or time slot costs its events times the leaders in it, not
-    its events squared.  Followers join the earliest leader, or (by_weight) the heaviest; a leader has weight 0.
+    open events of the next `block` places among themselves, then joins the new leaders to the later events.  The block
+    doubles as long as its inner pairs are few, and halves beyond `most` of them, so n events that seldom meet take
+    about log n rounds.  Settled events leave the table of open ones.  A hot entity or time slot costs its events times
+    the leaders in it, not its events squared.  Followers join the earliest leader, or (by_weight) the heaviest; a leader has weight 0.
     """
     from ..sources.stages import staged
     from .cluster import leaders as settle
 
-    opened = staged(events.select("id"), "open")
-    found, led = None, None
-    while True:
-        head = events.join(F.broadcast(opened.orderBy("id").limit(block)), "id", "left_semi")
-        head = staged(head, "block")
-        if head.isEmpty():
-            break
+    opened = staged(_placed(events), "open")
+    all_ = opened if by_weight else None  # the heaviest leader may be one of a later block
+    found, led, at, least = None, None, 0, block
+    while not opened.isEmpty():
+        head = staged(opened.where((F.col("place") >= at) & (F.col("place") < at + block)), "block")
+        at += block
         inner = staged(pairs(head, head), "meetings")
-        fixed = settle(head.select("id", F.col("id").alias("ord")), inner.select(F.col("a").alias("leader"), F.col("b").alias("follower"), "weight"))
-        new = staged(head.join(fixed.where("id = leader").select("id"), "id", "left_semi"), "leaders")
-        hits = staged(pairs(new, events), "hits")
+        n = inner.count()
+        if n:
+            fixed = settle(head.select("id", F.col("id").alias("ord")), inner.select(F.col("a").alias("leader"), F.col("b").alias("follower"), "weight"))
+            new = staged(head.join(fixed.where("id = leader").select("id"), "id", "left_semi"), "leaders")
+        else:
+            new = head
+        rest = opened if all_ is None else all_.where(F.col("place") >= at - block)
+        hits = staged(pairs(new, rest), "hits")
         led = new.select("id") if led is None else led.unionByName(new.select("id"))
         found = hits if found is None else found.unionByName(hits)
-        opened = staged(opened.join(new.select("id"), "id", "left_anti").join(hits.select(F.col("b").alias("id")), "id", "left_anti"), "open")
+        opened = staged(opened.where(F.col("place") >= at).join(hits.select(F.col("b").alias("id")), "id", "left_anti"), "open")
+        block = 2 * block if 4 * n <= most else max(least, block // 2) if n > most else block
     if led is None:
         return events.select("id", F.col("id").alias("leader"), F.lit(0.0).alias("weight"))
     # struct minimum: the heaviest, then the earliest leader
@@ -247,13 +269,20 @@ def merge_events(members: DataFrame, entities: DataFrame, phrases: DataFrame, mo
     """
     from pyspark.sql import Window
 
-    from .cluster import leaders
+    from ..sources.stages import staged
 
     place = F.row_number().over(Window.partitionBy("cluster_id").orderBy("phrase"))
     key = phrases.distinct().withColumn("p", place).where(F.col("p") <= most_phrases).select("cluster_id", F.concat(F.lit("phrase:"), "phrase").alias("k"), F.lit(1).alias("w"))
     names = entities.where(F.col("kind").isin("tickers", "companies")).select("cluster_id", F.concat_ws(":", "kind", "name").alias("k"), F.lit(2).alias("w"))
-    keys = key.unionByName(names)
-    pairs = keys.select(F.col("cluster_id").alias("leader"), "k", "w").join(keys.select(F.col("cluster_id").alias("follower"), "k"), "k").where("leader < follower")
-    compat = pairs.groupBy("leader", "follower").agg(F.sum("w").alias("w")).where("w >= 2").select("leader", "follower", F.lit(1.0).alias("weight"))
-    found = leaders(members.select(F.col("cluster_id").alias("id"), F.col("cluster_id").alias("ord")).distinct(), compat)
+    keys = staged(key.unionByName(names).distinct(), "merge-keys")
+    ids = members.select(F.col("cluster_id").alias("id")).distinct()
+
+    def meet(leaders: DataFrame, clusters: DataFrame) -> DataFrame:
+        a = keys.join(leaders.select(F.col("id").alias("cluster_id")), "cluster_id", "left_semi").select(F.col("cluster_id").alias("a"), "k", "w")
+        b = keys.join(clusters.select(F.col("id").alias("cluster_id")), "cluster_id", "left_semi").select(F.col("cluster_id").alias("b"), "k")
+        met = shared_key_pairs(a.select("a", "k"), b)
+        w = met.join(a, "a").join(b, ["b", "k"]).groupBy("a", "b").agg(F.sum("w").alias("w"))
+        return w.where("w >= 2").select("a", "b", F.lit(1.0).alias("weight"))
+
+    found = block_leaders(ids, meet)
     return members.join(found.select(F.col("id").alias("cluster_id"), "leader"), "cluster_id").select(F.col("leader").alias("cluster_id"), "id").distinct()

@@ -23,10 +23,11 @@ def relevant(text: Column, tags: Column | None = None, cashtags: Column | None =
     return out
 
 
-def candidates(posts: DataFrame, edges: DataFrame, filtered: bool = True) -> DataFrame:
+def candidates(posts: DataFrame, edges: DataFrame, filtered: bool = True, content_keywords: bool = False) -> DataFrame:
     """Hashtag, cashtag, domain and centre-post topics as (topic_type, topic_key, tweet_id, author_username, created_at, local_date).
 
-    A centre post outside the table stays, with empty fields, whatever the filter.
+    A centre post outside the table stays, with empty fields, whatever the filter.  content_keywords adds the keywords
+    of two posts or more, each with its first post only and no author or time, so that they count one post and no voice.
     """
     base = [F.col("tweet_id"), F.col("author").alias("author_username"), F.col("created_at"), F.col("local_date")]
 
@@ -44,7 +45,14 @@ def candidates(posts: DataFrame, edges: DataFrame, filtered: bool = True) -> Dat
     centre = targets.join(known, "target_tweet_id", "left").where(F.coalesce("keep", F.lit(True)))
     empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
     centre = centre.select(F.lit("center_tweet").alias("topic_type"), F.col("target_tweet_id").alias("topic_key"), F.col("target_tweet_id").alias("tweet_id"), empty("author_username"), empty("created_at"), empty("local_date"))
-    return tags.unionByName(cash).unionByName(domains).unionByName(centre)
+    out = tags.unionByName(cash).unionByName(domains).unionByName(centre)
+    if not content_keywords:
+        return out
+    from .text import keyword_topics
+
+    none = F.lit("")
+    words = keyword_topics(posts.select("tweet_id", F.coalesce("clean_text", "text").alias("text")), filtered=filtered)
+    return out.unionByName(words.select(F.lit("content_keyword").alias("topic_type"), "topic_key", "tweet_id", none.alias("author_username"), none.alias("created_at"), none.alias("local_date")))
 
 
 def aggregate(found: DataFrame, posts: DataFrame, edges: DataFrame) -> DataFrame:

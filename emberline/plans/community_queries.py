@@ -9,7 +9,7 @@ from ..operators import cluster as C
 from ..operators import semantic as S
 from .community_runs import CommunityRun, SemanticRun
 from .event_queries import _GIVEN, _RELEVANT, TECH_C, kinds_sql, news, news_query, vectors_sql  # noqa: F401
-from .queries import leaders_sql, query, run, words_sql
+from .queries import KEYWORD_BASE, keyword_run, leaders_sql, query, run, words_sql
 from .text_queries import _docs, _emb, docs_query
 
 _KIND_COLUMNS = {**_GIVEN, "companies": "companies", "products": "products", "technologies": "technologies"}
@@ -108,7 +108,7 @@ def news_communities(spark, d):
 
 _TEXTS = """, tx0 AS (SELECT tweet_id, left(tag || ' by ' || CASE WHEN k % 3 = 0 THEN 'tech' ELSE 'none' END || ' ' || k || ' <URL>', 200) AS t FROM day),
   ex AS (SELECT topic_type, topic_key, tweet_id, t, row_number() OVER (PARTITION BY topic_type, topic_key ORDER BY tweet_id) AS p FROM (SELECT DISTINCT topic_type, topic_key, tweet_id FROM cand) JOIN tx0 USING (tweet_id) WHERE length(t) > 10),
-  tt AS MATERIALIZED (SELECT topic_type || ':' || topic_key AS id, topic_type, topic_key, coalesce(string_agg(t, ' ' ORDER BY p), '') AS text FROM (SELECT DISTINCT topic_type, topic_key FROM cand) LEFT JOIN (SELECT * FROM ex WHERE p <= 5) USING (topic_type, topic_key) GROUP BY 2, 3),
+  tt AS MATERIALIZED (SELECT topic_type || ':' || topic_key AS id, topic_type, topic_key, CASE WHEN topic_type = 'content_keyword' THEN '' ELSE coalesce(string_agg(t, ' ' ORDER BY p), '') END AS text FROM (SELECT DISTINCT topic_type, topic_key FROM cand) LEFT JOIN (SELECT * FROM ex WHERE p <= 5) USING (topic_type, topic_key) GROUP BY 2, 3),
   tw AS (SELECT id, t[i] AS word, i AS pos FROM (SELECT id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS t FROM tt))),
   ws AS (SELECT id, ln(1 + count(*)) AS w, row_number() OVER (PARTITION BY id ORDER BY min(pos)) - 1 AS dim FROM tw WHERE length(word) > 2 GROUP BY id, word),
   tv AS MATERIALIZED (SELECT id, list(coalesce(w, 0)::DOUBLE ORDER BY dim) AS v FROM (SELECT id, dim FROM tt, (SELECT unnest(range(128)) AS dim)) LEFT JOIN (SELECT id, dim, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM ws WHERE dim < 128) USING (id, dim) GROUP BY 1)"""
@@ -176,12 +176,27 @@ def semantic_score(spark, d):
     return SemanticRun(run(spark, d)).top.select("rank", "semantic_id", "cluster_size", "symbols", "tweet_cnt", "unique_author_cnt", F.round("hot_score", 6).alias("hot_score"))
 
 
-@query(_GREEDY + ROLLED + """, fm AS (SELECT semantic_id, min(topic_type || chr(1) || topic_key) AS k FROM mem GROUP BY 1)
+_REPORT = _GREEDY + ROLLED + """, fm AS (SELECT semantic_id, min(topic_type || chr(1) || topic_key) AS k FROM mem GROUP BY 1)
   SELECT st.rank::INTEGER AS rank, semantic_id, round_even(hot_score, 2) AS hot_score, tweet_cnt, unique_author_cnt, trend_label, coalesce(today_value, 0)::BIGINT AS today_value, coalesce(round_even(avg_7d, 2), 0)::DOUBLE AS avg_7d, prediction, confidence
   FROM st JOIN fm USING (semantic_id) LEFT JOIN (SELECT * FROM trends WHERE trend_label IS NOT NULL) t ON t.topic_type = split_part(k, chr(1), 1) AND t.topic_key = split_part(k, chr(1), 2)
-   LEFT JOIN growth g ON g.topic_type = split_part(k, chr(1), 1) AND g.topic_key = split_part(k, chr(1), 2)""")
+   LEFT JOIN growth g ON g.topic_type = split_part(k, chr(1), 1) AND g.topic_key = split_part(k, chr(1), 2)"""
+_REPORT_COLUMNS = "rank", "semantic_id", "hot_score", "tweet_cnt", "unique_author_cnt", "trend_label", "today_value", "avg_7d", "prediction", "confidence"
+
+
+@query(_REPORT)
 def semantic_report(spark, d):
-    return SemanticRun(run(spark, d)).report().select("rank", "semantic_id", "hot_score", "tweet_cnt", "unique_author_cnt", "trend_label", "today_value", "avg_7d", "prediction", "confidence")
+    return SemanticRun(run(spark, d)).report().select(*_REPORT_COLUMNS)
+
+
+@query(_REPORT, base=KEYWORD_BASE)
+def semantic_report_keywords(spark, d):
+    """The report with keyword topics, which have no text and so stay alone."""
+    return SemanticRun(keyword_run(spark, d)).report().select(*_REPORT_COLUMNS)
+
+
+@query(_GREEDY + _TOPICS, base=KEYWORD_BASE)
+def semantic_topics_keywords(spark, d):
+    return SemanticRun(keyword_run(spark, d)).topics
 
 
 _KINDS = " UNION ALL ".join(

@@ -26,6 +26,7 @@ class DailyTopics:
     short: int = 24 * 3600
     long: int = 14 * 24 * 3600
     filtered: bool = True
+    content_keywords: bool = False
 
     @cached_property
     def clean(self) -> DataFrame:
@@ -50,7 +51,7 @@ class DailyTopics:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return T.candidates(self.day, self.day_edges, self.filtered)
+        return T.candidates(self.day, self.day_edges, self.filtered, self.content_keywords)
 
     @cached_property
     def topics(self) -> DataFrame:

@@ -116,13 +116,28 @@ def leaders_sql(items: str, pairs: str, by_weight: bool = False) -> str:
   grown AS MATERIALIZED (SELECT id, id AS leader, 0.0::DOUBLE AS weight FROM ld UNION ALL SELECT id, leader, weight FROM (SELECT w.b AS id, w.a AS leader, w.weight, row_number() OVER (PARTITION BY w.b ORDER BY {best}) AS n FROM {pairs} w WHERE w.a IN (SELECT id FROM ld) AND w.b NOT IN (SELECT id FROM ld)) WHERE n = 1)"""
 
 
-def query(sql: str | None = None, base: bool = True):
-    """Register a query under its function's name, with the SQL that gives its rows."""
+_STOP = ", ".join(repr(s) for s in assets.KEYWORD_STOPS)
+#: BASE with the day's content keywords among the candidates.
+KEYWORD_BASE = BASE.replace(
+    "),\nrefs AS (",
+    rf"""
+  UNION ALL SELECT 'content_keyword', word, min(tweet_id), '', '', '' FROM (
+    SELECT tweet_id, word, row_number() OVER (PARTITION BY tweet_id ORDER BY count(*) DESC, min(pos)) AS place FROM (
+      SELECT tweet_id, unnest(t) AS word, unnest(range(len(t))) AS pos FROM (
+        SELECT tweet_id, regexp_extract_all(lower(tag || ' by ' || CASE WHEN k % 3 = 0 THEN 'tech' ELSE 'none' END || ' ' || k || ' <URL>'), '[\p{{L}}\p{{N}}_]+') AS t FROM day))
+    WHERE length(word) > 3 AND word NOT IN ({_STOP}) GROUP BY 1, 2) WHERE place <= 10 AND len(list_filter({_KW}, lambda w: contains(word, w))) > 0 GROUP BY word HAVING count(*) >= 2),
+refs AS (""",
+    1,
+)
+
+
+def query(sql: str | None = None, base: bool | str = True):
+    """Register a query under its function's name, with the SQL that gives its rows, after BASE or another base."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLE_SQL[f.__name__] = (BASE if base else "") + sql
+            ORACLE_SQL[f.__name__] = (base if isinstance(base, str) else BASE if base else "") + sql
         return f
 
     return add
@@ -215,6 +230,25 @@ def topic_candidates(spark, d):
     return run(spark, d).candidates
 
 
+def keyword_run(spark: SparkSession, d: str) -> DailyTopics:
+    return DailyTopics(src.raw_posts(spark, d), src.roster(spark, d), content_keywords=True)
+
+
+@query("SELECT topic_type, topic_key, tweet_id, author AS author_username, created_at, local_date FROM cand", base=KEYWORD_BASE)
+def topic_candidates_keywords(spark, d):
+    return keyword_run(spark, d).candidates
+
+
+@query("SELECT * FROM topics", base=KEYWORD_BASE)
+def topic_aggregate_keywords(spark, d):
+    return keyword_run(spark, d).topics
+
+
+@query("SELECT topic_type, topic_key, round(avg_followers, 6) AS avg_followers, round(hot_score, 6) AS hot_score FROM scored", base=KEYWORD_BASE)
+def hot_score_keywords(spark, d):
+    return keyword_run(spark, d).scored.select("topic_type", "topic_key", F.round("avg_followers", 6).alias("avg_followers"), F.round("hot_score", 6).alias("hot_score"))
+
+
 @query("SELECT * FROM topics")
 def topic_aggregate(spark, d):
     return run(spark, d).topics

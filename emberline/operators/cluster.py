@@ -114,12 +114,17 @@ def leaders(items: DataFrame, compat: DataFrame, by_weight: bool = False) -> Dat
 LINKAGE_ROWS, SWEEP_EDGES = 2_000, 200_000
 
 
+#: Places of a mean cosine that count: pairs closer to each other than that are tied, and the smaller ids merge first.
+LINKAGE_PLACES = 10
+
+
 def average_linkage(vectors: DataFrame, within: DataFrame, distance: float = 0.3, most: int = LINKAGE_ROWS) -> DataFrame:
     """vectors(id, v), within(id, component) -> (id, cluster): agglomerative average linkage by cosine distance.
 
-    A merge needs a pair nearer than the distance, so every cluster lies inside one component of that
-    graph.  Equal vectors merge first, so each distinct one stands for its copies.  Components of up to `most`
-    distinct vectors are clustered in one task each; larger ones by rounds of joins (see _merge_rounds).
+    The nearest pair merges first, ties by the clusters' smallest ids.  A merge needs a pair nearer than the distance,
+    so every cluster lies inside one component of that graph.  Equal vectors merge first, so each distinct one
+    stands for its copies.  Components of up to `most` distinct vectors are clustered in one task each; larger
+    ones by rounds of joins (see _merge_rounds), with the same clusters.  A zero vector stays alone.
     """
     kind = dict(vectors.dtypes)["id"]
     direction = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
@@ -135,11 +140,11 @@ def average_linkage(vectors: DataFrame, within: DataFrame, distance: float = 0.3
         ids, count = rows["first"], rows["size"].to_numpy(dtype=np.float64)
         mean = np.array(rows["u"].tolist(), dtype=np.float64)
         groups = {i: [i] for i in range(len(rows))}
-        near = mean @ mean.T
+        near = np.round(mean @ mean.T, LINKAGE_PLACES)
         np.fill_diagonal(near, -np.inf)
         while len(groups) > 1:
-            i, j = divmod(int(np.argmax(near)), len(rows))
-            if not 1 - near[i, j] < distance:
+            i, j = divmod(int(np.argmax(near)), len(rows))  # the first in order of ids
+            if not near[i, j] > 1 - distance:
                 break
             a, b = min(i, j), max(i, j)
             mean[a] = (mean[a] * count[a] + mean[b] * count[b]) / (count[a] + count[b])
@@ -147,7 +152,7 @@ def average_linkage(vectors: DataFrame, within: DataFrame, distance: float = 0.3
             groups[a] += groups.pop(b)
             near[b, :] = near[:, b] = -np.inf
             alive = np.fromiter(groups, dtype=np.int64)
-            near[a, alive] = near[alive, a] = mean[alive] @ mean[a]
+            near[a, alive] = near[alive, a] = np.round(mean[alive] @ mean[a], LINKAGE_PLACES)
             near[a, a] = -np.inf
         return pd.DataFrame([(ids[m], ids[min(g)]) for g in groups.values() for m in g], columns=["first", "cluster"])
 
@@ -162,19 +167,26 @@ def average_linkage(vectors: DataFrame, within: DataFrame, distance: float = 0.3
 def _merge_rounds(stand: DataFrame, distance: float) -> DataFrame:
     """Average linkage of stand(first, u, size) by rounds: clusters that are each other's nearest merge, all at once.
 
-    The mean cosine between two clusters is the inner product of their mean unit vectors, and average linkage is
-    reducible, so merging reciprocal neighbours gives the clusters of merging the nearest pair first (up to ties).
+    The mean cosine of two clusters is the inner product of their mean unit vectors.  That of a merged cluster with
+    another is between those of its two parts, so only a cluster that was near to a part can be near to the whole:
+    the near pairs are found once, by the similarity join, and each round maps their ends and recomputes only those
+    with a merged end.  For the same reason each other's nearest (ties by id) merge in any order with the same end.
     """
-    from .vectors import nearest_pairs
+    from .similarity import similar_classes
 
+    shared_folder(stand.sparkSession)
+    least = 1 - distance
     place = stand.select("first", F.col("first").alias("cluster")).checkpoint()
     state = stand.select(F.col("first").alias("cluster"), F.col("u").alias("mean"), "size").checkpoint()
+    dots = lambda p, q: F.round(F.aggregate(F.zip_with(p, q, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), LINKAGE_PLACES)
+    near = similar_classes(stand.select(F.col("first").alias("id"), F.col("u").alias("v")), least).expanded()
+    near = near.select("a", "b", F.round("cos", LINKAGE_PLACES).alias("dot")).where(F.col("dot") > least).checkpoint()
     while True:
-        best = nearest_pairs(state.select(F.col("cluster").alias("tweet_id"), F.col("mean").alias("v")), 1 - distance).checkpoint()
-        both = best.join(best.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_semi").where("a < b").select("a", "b").checkpoint()
-        if both.isEmpty():
+        both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "dot"))
+        best = both.groupBy("a").agg(F.min(F.struct((-F.col("dot")).alias("o"), "b")).alias("m")).select("a", "m.b").checkpoint()
+        into = best.join(best.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_semi").where("a < b").select(F.col("b").alias("cluster"), F.col("a").alias("to")).checkpoint()
+        if into.isEmpty():
             return place
-        into = both.select(F.col("b").alias("cluster"), F.col("a").alias("to"))
         moved = state.join(into, "cluster", "left").withColumn("to", F.coalesce("to", "cluster"))
         pairs = moved.groupBy("to").agg(F.collect_list(F.struct("mean", "size")).alias("m"))  # one or two
         total = F.aggregate("m", F.lit(0).cast("long"), lambda s, x: s + x["size"])
@@ -183,6 +195,13 @@ def _merge_rounds(stand: DataFrame, distance: float) -> DataFrame:
         )
         state = pairs.select(F.col("to").alias("cluster"), mean.alias("mean"), total.alias("size")).checkpoint()
         place = place.join(into, "cluster", "left").select("first", F.coalesce("to", "cluster").alias("cluster")).checkpoint()
+        merged = into.select(F.col("to").alias("c")).withColumn("new", F.lit(True))
+        ends = near.join(into.toDF("a", "ta"), "a", "left").join(into.toDF("b", "tb"), "b", "left")
+        ends = ends.select(F.coalesce("ta", "a").alias("x"), F.coalesce("tb", "b").alias("y"), "dot").where("x <> y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("dot").alias("dot"))
+        ends = ends.join(merged.withColumnRenamed("c", "a"), "a", "left").join(merged.toDF("b", "new_b"), "b", "left").select("a", "b", "dot", F.coalesce("new", "new_b", F.lit(False)).alias("new")).checkpoint()
+        mean = state.select("cluster", "mean")
+        again = ends.where("new").select("a", "b").join(mean.toDF("a", "p"), "a").join(mean.toDF("b", "q"), "b").select("a", "b", dots(F.col("p"), F.col("q")).alias("dot"))
+        near = ends.where("not new").select("a", "b", "dot").unionByName(again.where(F.col("dot") > least)).checkpoint()
 
 
 def communities(edges: DataFrame, within: DataFrame, gain: float = 0.001, sweeps: int = 10, most: int = SWEEP_EDGES) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,9 +9,6 @@ from pyspark.sql import functions as F
 from ..functions import assets
 from .text import word_counts
 
-#: Vectors on each side of a tile of the similarity join.
-TILE = 2048
-
 
 def hash_embedding(posts: DataFrame, least: int = 3, stops: tuple[str, ...] = assets.EMBEDDING_STOPS, top: int | None = 256) -> DataFrame:
     """posts(tweet_id, text) -> (tweet_id, dim, w): unit vectors of 256 hashed dimensions, as long rows.
@@ -83,34 +79,6 @@ def similar_pairs(vectors: DataFrame, threshold: float, at_least: bool = False)
     return similar_classes(vectors.withColumnRenamed("tweet_id", "id"), threshold, at_least).expanded()
 
 
-def nearest_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """vectors(tweet_id, v) -> (a, b, dot): for each a the other vector of the greatest inner product above the threshold, ties to the smaller id.
-
-    Tiles as in similar_pairs; a tile keeps one partner a row, so its output is no larger than its input.
-    """
-    n = vectors.count()
-    blocks = max(1, -(-n // TILE))
-    dealt = vectors.withColumn("blk", F.pmod(F.xxhash64("tweet_id"), F.lit(blocks)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = dealt.select("tweet_id", "v", F.col("blk").alias("i"), F.explode(every).alias("j"))
-    right = dealt.select(F.col("tweet_id").alias("other"), F.col("v").alias("u"), F.explode(every).alias("i"), F.col("blk").alias("j"))
-    kind = dict(vectors.dtypes)["tweet_id"]
-
-    def tile(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": [], "dot": []})
-        b = b.sort_values("other").reset_index(drop=True)
-        c = np.array(a["v"].tolist()) @ np.array(b["u"].tolist()).T
-        c[a["tweet_id"].to_numpy()[:, None] == b["other"].to_numpy()[None, :]] = -np.inf
-        best = c.argmax(axis=1)
-        value = c[np.arange(len(a)), best]
-        keep = value > threshold
-        return pd.DataFrame({"a": a["tweet_id"].to_numpy()[keep], "b": b["other"].to_numpy()[best[keep]], "dot": value[keep]})
-
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(tile, f"a {kind}, b {kind}, dot double")
-    return found.groupBy("a").agg(F.min(F.struct((-F.col("dot")).alias("o"), "b")).alias("m")).select("a", "m.b", (-F.col("m.o")).alias("dot"))
-
-
 def coherence(members: DataFrame, vectors: DataFrame, most: int = 10) -> DataFrame:
     """members(cluster_id, tweet_id) -> mean cosine over pairs of a cluster's first posts (by id); 0 for one post."""
     place = F.row_number().over(Window.partitionBy("cluster_id").orderBy("tweet_id"))

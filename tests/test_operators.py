@@ -202,7 +202,9 @@ def test_communities_of_two_cliques(spark):
 def test_similar_pairs_against_numpy(spark, monkeypatch):
     import numpy as np
 
-    monkeypatch.setattr(D, "TILE", 10)
+    from emberline.operators import similarity
+
+    monkeypatch.setattr(similarity, "TILE", 10)
     rng = np.random.default_rng(1)
     v = rng.normal(size=(45, 6))
     v[3] = 0

@@ -19,6 +19,8 @@ from .common import fresh, written
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: How many deviations (on the log-odds scale) the bound lies below the middle, and how many times the base rate it must exceed.
 Z, TIMES = 1.0, 1.0
+#: Steps of the recurrences of digamma and trigamma.
+STEPS = 6
 #: Bounds of a prior's strength, in pages.
 WEAKEST, STRONGEST = 1.0, 100.0
 #: Second-level labels that belong to the suffix of a two-letter domain, as in co.uk.
@@ -97,10 +99,18 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame | None = None) -> Data
 def lower_bound(a: Column, b: Column, z: float = Z) -> Column:
     """z deviations below the mean of beta(a, b) on the log-odds scale, where it is nearly normal; 0 or 1 at the ends.
 
-    Log odds have the mean digamma(a) - digamma(b) and the variance trigamma(a) + trigamma(b), here by their first terms.
+    Log odds have the mean digamma(a) - digamma(b) and the variance trigamma(a) + trigamma(b).  Both are taken by their first
+    terms at x + STEPS, where these are near, and brought back to x by their recurrences, so that small parameters are right too.
     """
-    mean = lambda x: F.log(x) - 1 / (2 * x) - 1 / (12 * x * x)
-    variance = lambda x: 1 / x + 1 / (2 * x * x) + 1 / (6 * x * x * x)
+
+    def mean(x: Column) -> Column:
+        y = x + STEPS
+        return F.log(y) - 1 / (2 * y) - 1 / (12 * y * y) - sum((1 / (x + i) for i in range(1, STEPS)), 1 / x)
+
+    def variance(x: Column) -> Column:
+        y = x + STEPS
+        return 1 / y + 1 / (2 * y * y) + 1 / (6 * y * y * y) + sum((1 / ((x + i) * (x + i)) for i in range(1, STEPS)), 1 / (x * x))
+
     odds = mean(a) - mean(b) - z * F.sqrt(variance(a) + variance(b))
     return F.when(a <= 0, 0.0).when(b <= 0, 1.0).otherwise(1 / (1 + F.exp(-odds)))
 
@@ -167,7 +177,8 @@ def _strength_sql(table: str, n: str, k: str, parent: str, out: str) -> str:
 
 _TWO = f"regexp_matches(nm, '(^|[.])({'|'.join(SECOND)})[.][a-z]{{2}}$')"
 _LABEL = "[^.]*([.][^.]*)"
-_MEAN, _VARIANCE = "ln({x}) - 1 / (2 * {x}) - 1 / (12 * {x} * {x})", "1 / {x} + 1 / (2 * {x} * {x}) + 1 / (6 * {x} * {x} * {x})"
+_MEAN = f"ln({{x}} + {STEPS}) - 1 / (2 * ({{x}} + {STEPS})) - 1 / (12 * ({{x}} + {STEPS}) ** 2) - (" + " + ".join(f"1 / ({{x}} + {i})" for i in range(STEPS)) + ")"
+_VARIANCE = f"1 / ({{x}} + {STEPS}) + 1 / (2 * ({{x}} + {STEPS}) ** 2) + 1 / (6 * ({{x}} + {STEPS}) ** 3) + " + " + ".join(f"1 / (({{x}} + {i}) ** 2)" for i in range(STEPS))
 SQL = f"""
 WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, try_cast(regexp_extract(coalesce(url, ''), '{_NUMBER}', 1) AS BIGINT) AS num FROM pages),

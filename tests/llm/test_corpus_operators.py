@@ -439,6 +439,23 @@ def test_lower_bound_is_near_the_beta_quantile(spark):
         assert abs(np.interp(bound, x, below) - 0.159) < 0.03
 
 
+def test_lower_bound_has_the_exact_moments_of_the_log_odds(spark):
+    given = [(2.1, 0.05), (0.3, 0.7), (5.02, 0.1), (0.01, 0.02), (1.0, 1.0), (300.0, 4.0)]
+    got = [r[0] for r in spark.createDataFrame(given, "a double, b double").select(url_filter.lower_bound(F.col("a"), F.col("b"))).collect()]
+
+    def moments(x):
+        """Digamma and trigamma by differences of the logarithm of gamma."""
+        h = 1e-3 * x
+        g = [math.lgamma(x + i * h) for i in (-2, -1, 0, 1, 2)]
+        return (g[0] - 8 * g[1] + 8 * g[3] - g[4]) / (12 * h), (-g[0] + 16 * g[1] - 30 * g[2] + 16 * g[3] - g[4]) / (12 * h * h)
+
+    for (a, b), bound in zip(given, got):
+        (ma, va), (mb, vb) = moments(a), moments(b)
+        assert bound == pytest.approx(1 / (1 + math.exp(-(ma - mb - url_filter.Z * math.sqrt(va + vb)))), rel=1e-3)
+    ends = spark.createDataFrame([(0.0, 1.0), (1.0, 0.0)], "a double, b double").select(url_filter.lower_bound(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in ends] == [0.0, 1.0]
+
+
 # ---------------------------------------------------------------- html
 
 

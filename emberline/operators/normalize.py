@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import norm_username, parsed_time, strip, url_domain
@@ -56,11 +56,15 @@ def with_clean_entities(posts: DataFrame) -> DataFrame:
 
 
 def latest(posts: DataFrame, by_length: bool = True) -> DataFrame:
-    """One row a tweet_id: the latest, then (by_length) the longest record, then the smallest record; empty ids go."""
+    """One row a tweet_id: the latest, then (by_length) the longest record, then the smallest record; empty ids go.
+
+    A partial aggregate keeps one record of each id a task before the shuffle, so that an id with very many records
+    costs a row a task.  A null time is earlier than any other.
+    """
     record = F.to_json(F.struct(*(F.col(c) for c in sorted(posts.columns))))
-    order = [F.desc("created_ts"), *([F.desc(F.length(record))] if by_length else []), record]
-    rank = F.row_number().over(Window.partitionBy("tweet_id").orderBy(*order))
-    return posts.where("tweet_id <> ''").withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    order = F.struct(F.col("created_ts").isNull().alias("none"), (-F.col("created_ts")).alias("ts"), (-F.length(record) if by_length else F.lit(0)).alias("size"), record.alias("record"))
+    best = posts.where("tweet_id <> ''").groupBy("tweet_id").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in posts.columns)), order).alias("best"))
+    return best.select("best.*")
 
 
 def clean(posts: DataFrame, roster: DataFrame | None = None, offset_hours: int = 8, by_length: bool = True) -> DataFrame:

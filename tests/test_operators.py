@@ -150,6 +150,30 @@ def test_leaders_of_a_long_chain(spark):
         C.leaders(items, circle)
 
 
+def test_latest_without_lengths_and_by_partitions(spark):
+    given = [("a", 5, "short"), ("a", 5, "a longer text"), ("a", 4, "the longest text of all"), ("b", None, "no time"), ("b", -3, "early"), ("", 9, "no id"), (None, 9, "no id"), ("c", None, "x"), ("c", None, "yy")]
+    schema = "tweet_id string, created_ts long, text string"
+    want = {True: [("a", 5, "a longer text"), ("b", -3, "early"), ("c", None, "yy")], False: [("a", 5, "a longer text"), ("b", -3, "early"), ("c", None, "x")]}
+    for parts in (1, 5):
+        for order in (given, given[::-1]):
+            for by_length, rows_ in want.items():  # without lengths the smallest record, as JSON, is kept
+                assert rows(N.latest(spark.createDataFrame(order, schema).repartition(parts), by_length)) == sorted(rows_, key=str)
+    hot = spark.range(30_000).selectExpr("'hot' tweet_id", "id % 500 created_ts", "cast(id as string) text")
+    assert rows(N.latest(hot)) == [("hot", 499, "10499")]
+
+
+def test_clean_by_time_only(spark):
+    entities = "struct<hashtags:array<string>,cashtags:array<string>,mentions:array<string>,urls:array<struct<url:string,expanded_url:string>>>"
+    posts = [("1", "@Ann", "2024-05-01T10:00:00Z", "see  https://t.co/x\nnow", (["AI"], [], ["@Bob"], [("https://t.co/x", "https://www.a.com/p")])), ("1", "ann", "2024-05-01T10:00:00Z", "b", ([], [], [], [])), ("2", "zed", "2024-05-01T10:00:00Z", "c", ([], [], [], []))]
+    df = spark.createDataFrame(posts, f"tweet_id string, author_username string, created_at string, text string, entities {entities}")
+    roster = spark.createDataFrame([("ANN",)], "username string")
+    by_length, by_time = N.clean(df, roster).collect(), N.clean(df, roster, by_length=False).collect()
+    assert [r.tweet_id for r in by_length] == [r.tweet_id for r in by_time] == ["1"]
+    assert (by_length[0].clean_text, by_length[0].entities.hashtags, by_length[0].entities.mentions, by_length[0].author) == ("see <URL> now", ["ai"], ["bob"], "ann")
+    # of two records of one time the smaller one as JSON: its author comes before "ann"
+    assert by_time[0].author_username == "@Ann" and by_time[0].local_date == "2024-05-01"
+
+
 def test_components_and_leaders_against_loops(spark):
     rng = random.Random(5)
     for trial in range(2):

@@ -62,20 +62,24 @@ class Similar:
         return out
 
 
-def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and values of a list column."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return column.offsets.to_numpy() - column.offsets[0].as_py(), column.flatten().to_numpy(zero_copy_only=False)
+def _reader():
+    """A function that tasks get by value, so that workers need not have this package: offsets and values of a list column."""
+
+    def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        return column.offsets.to_numpy() - column.offsets[0].as_py(), column.flatten().to_numpy(zero_copy_only=False)
+
+    return lists
 
 
 def unit_rows(vectors: DataFrame) -> DataFrame:
     """vectors(id, v) -> (id, dims, w): the places and values, over the norm and rounded to 12 places, that are not 0; null and zero vectors have none."""
-    kind = dict(vectors.dtypes)["id"]
+    kind, lists = dict(vectors.dtypes)["id"], _reader()
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, x = _lists(batch.column(1).cast(pa.list_(pa.float64())))
+            at, x = lists(batch.column(1).cast(pa.list_(pa.float64())))
             row = np.repeat(np.arange(batch.num_rows), np.diff(at))
             x = np.nan_to_num(x.astype(np.float64), nan=0.0, posinf=0.0, neginf=0.0)
             norm = np.sqrt(np.bincount(row, weights=x * x, minlength=batch.num_rows))
@@ -90,14 +94,14 @@ def unit_rows(vectors: DataFrame) -> DataFrame:
 
 def postings(classes: DataFrame, threshold: float, order: dict[int, int]) -> DataFrame:
     """classes(id, dims, w) with posted: the dimensions of each prefix.  order: a dimension's place, rarest first."""
-    kind = dict(classes.dtypes)["id"]
+    kind, lists = dict(classes.dtypes)["id"], _reader()
     rank = np.zeros(max(order, default=0) + 1, dtype=np.int64)
     rank[list(order)] = list(order.values())
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, dims = _lists(batch.column(1))
-            w = _lists(batch.column(2))[1]
+            at, dims = lists(batch.column(1))
+            w = lists(batch.column(2))[1]
             row = np.repeat(np.arange(batch.num_rows), np.diff(at))
             by = np.lexsort((-rank[dims], row))  # commonest first: what follows a dimension comes before it here
             square = np.cumsum(w[by] ** 2)
@@ -114,7 +118,7 @@ def postings(classes: DataFrame, threshold: float, order: dict[int, int]) -> Dat
 def _tiles(posted: DataFrame, sizes: dict[int, int], threshold: float, at_least: bool, width: int) -> DataFrame:
     """(a, b, cos) of the vectors that meet under a dimension; a pair may meet several times.  width: dimensions, over all vectors."""
     spark = posted.sparkSession
-    kind = dict(posted.dtypes)["id"]
+    kind, lists = dict(posted.dtypes)["id"], _reader()
     blocks = spark.createDataFrame([(d, max(1, -(-n // TILE))) for d, n in sizes.items()], "dim int, blocks int")  # a row a dimension
     p = posted.select("id", "dims", "w", F.explode("posted").alias("dim")).join(F.broadcast(blocks), "dim")
     p = p.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -124,8 +128,8 @@ def _tiles(posted: DataFrame, sizes: dict[int, int], threshold: float, at_least:
     def dense(table: pa.Table) -> np.ndarray:
         out = np.zeros((len(table), width))
         if len(table):
-            at, dims = _lists(table.column("dims"))
-            out[np.repeat(np.arange(len(table)), np.diff(at)), dims] = _lists(table.column("w"))[1]
+            at, dims = lists(table.column("dims"))
+            out[np.repeat(np.arange(len(table)), np.diff(at)), dims] = lists(table.column("w"))[1]
         return out
 
     def tile(key: tuple, table: pa.Table) -> pa.Table:

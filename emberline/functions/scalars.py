@@ -77,18 +77,3 @@ def any_within(text: Column, words: tuple[str, ...]) -> Column:
 def let(value: Column, use) -> Column:
     """use(value) with the value computed once a row, however often it is used."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def among(words: tuple[str, ...], test) -> Column:
-    """The words for which test(word) holds, in the order given."""
-    return F.array_compact(F.array(*(F.when(test(w), F.lit(w)) for w in words)))
-
-
-def found_within(text: Column, words: tuple[str, ...]) -> Column:
-    """The words that are substrings, in the order given."""
-    return let(text, lambda t: among(words, lambda w: F.contains(t, F.lit(w))))
-
-
-def found_whatever_case(text: Column, words: tuple[str, ...]) -> Column:
-    """The words whose upper-cased form is within the upper-cased text, in the order given."""
-    return let(F.upper(text), lambda up: among(words, lambda w: F.contains(up, F.lit(w.upper()))))

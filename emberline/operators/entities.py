@@ -1,4 +1,7 @@
-"""Entities of posts (text, entities, url_domains): typed lists by variant, and their flat forms."""
+"""Entities of posts (text, entities, url_domains): typed lists by variant, and their flat forms.
+
+Known names are substrings of a text; with match="token" they are whole tokens of it, so that AGI isn't found in imaging.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import assets
-from ..functions.scalars import found_whatever_case, let
+from ..functions.dictionary import found_upper
+from ..functions.scalars import let
 from .text import companies, products
 
 #: Capitalised words and words all in capitals, whole ones in any script.
@@ -27,9 +31,9 @@ def _struct(parts: dict[str, Column]) -> Column:
     return F.struct(*(c.alias(k) for k, c in parts.items()))
 
 
-def first_entities(text: Column, entities: Column, domains: Column) -> Column:
+def first_entities(text: Column, entities: Column, domains: Column, match: str = "substring") -> Column:
     """Tickers, hashtags, domains, mentions and companies."""
-    return _struct({**given(entities, domains), "companies": companies(text, assets.COMPANIES)})
+    return _struct({**given(entities, domains), "companies": companies(text, assets.COMPANIES, match)})
 
 
 def _any(words: tuple[str, ...], test) -> Column:
@@ -39,7 +43,7 @@ def _any(words: tuple[str, ...], test) -> Column:
     return out
 
 
-def improved_keywords(text: Column, least: int = 4, most: int = 10) -> Column:
+def improved_keywords(text: Column, least: int = 4, most: int = 10, match: str = "substring") -> Column:
     """Known products, and capitalised words that aren't stop words; a word all in capitals needs a technical term in it.  Sorted, cut."""
 
     def fits(w: Column) -> Column:
@@ -47,16 +51,26 @@ def improved_keywords(text: Column, least: int = 4, most: int = 10) -> Column:
         return (F.length(w) >= least) & ~w.isin(*assets.IMPROVED_STOPS) & (term | w.rlike("^[A-Z][a-z]+$"))
 
     words = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(_CAPITALISED), F.lit(0))), fits)
-    return F.slice(F.array_sort(F.array_union(found_whatever_case(text, assets.IMPROVED_PRODUCTS), words)), 1, most)
+    return F.slice(F.array_sort(F.array_union(found_upper(text, assets.IMPROVED_PRODUCTS, match), words)), 1, most)
+
 
+def _named(text: Column, keywords: Column, match: str) -> Column:
+    """Keywords and companies side by side: dictionaries are searched outside of the functions over lists."""
+    return F.struct(keywords.alias("keywords"), companies(text, assets.GRAPH_COMPANIES, match).alias("companies"))
 
-def improved_entities(text: Column, entities: Column, domains: Column) -> Column:
+
+def improved_entities(text: Column, entities: Column, domains: Column, match: str = "substring") -> Column:
     """As first_entities with more companies, and keywords as technologies (a term within the upper-cased word) or products."""
     tech = lambda w: _any(assets.IMPROVED_TECH, lambda t: F.contains(F.upper(w), F.lit(t)))
     return let(
-        improved_keywords(text),
-        lambda k: _struct(
-            {**given(entities, domains), "companies": companies(text, assets.GRAPH_COMPANIES), "products": F.filter(k, lambda w: ~tech(w)), "technologies": F.filter(k, tech)}
+        _named(text, improved_keywords(text, match=match), match),
+        lambda n: _struct(
+            {
+                **given(entities, domains),
+                "companies": n["companies"],
+                "products": F.filter(n["keywords"], lambda w: ~tech(w)),
+                "technologies": F.filter(n["keywords"], tech),
+            }
         ),
     )
 
@@ -69,7 +83,7 @@ def _listed(upper: Column) -> Column:
 _ORDINARY = assets.FINAL_PLACES + assets.FINAL_NAMES + assets.FINAL_WORDS
 
 
-def final_keywords(text: Column, least: int = 4, most: int = 10) -> Column:
+def final_keywords(text: Column, least: int = 4, most: int = 10, match: str = "substring") -> Column:
     """Whitelisted names, and capitalised words that are neither stop words, places, names nor ordinary and touch a technical term.  Sorted, cut."""
 
     def fits(w: Column) -> Column:
@@ -77,23 +91,25 @@ def final_keywords(text: Column, least: int = 4, most: int = 10) -> Column:
         return (F.length(w) >= least) & ~w.isin(*assets.FINAL_STOPS, *_ORDINARY) & (_any(assets.FINAL_TERMS, lambda t: F.contains(up, F.lit(t))) | _listed(up))
 
     words = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(_CAPITALISED), F.lit(0))), fits)
-    return F.slice(F.array_sort(F.array_union(found_whatever_case(text, assets.FINAL_WHITELIST), words)), 1, most)
+    return F.slice(F.array_sort(F.array_union(found_upper(text, assets.FINAL_WHITELIST, match), words)), 1, most)
 
 
-def final_entities(text: Column, entities: Column, domains: Column) -> Column:
+def final_entities(text: Column, entities: Column, domains: Column, match: str = "substring") -> Column:
     """As improved_entities by the whitelist; what is left is a product only if of 4 to 20 characters and not ordinary."""
     tech = lambda w: _listed(F.upper(w)) | _any(assets.FINAL_INDICATORS, lambda t: F.contains(F.upper(w), F.lit(t)))
     product = lambda w: ~tech(w) & F.length(w).between(4, 20) & ~w.isin(*_ORDINARY)
     return let(
-        final_keywords(text),
-        lambda k: _struct({**given(entities, domains), "companies": companies(text, assets.GRAPH_COMPANIES), "products": F.filter(k, product), "technologies": F.filter(k, tech)}),
+        _named(text, final_keywords(text, match=match), match),
+        lambda n: _struct(
+            {**given(entities, domains), "companies": n["companies"], "products": F.filter(n["keywords"], product), "technologies": F.filter(n["keywords"], tech)}
+        ),
     )
 
 
-def rule_entities(text: Column, entities: Column, domains: Column) -> Column:
+def rule_entities(text: Column, entities: Column, domains: Column, match: str = "substring") -> Column:
     """Tickers, companies, products, people, hashtags and domains."""
     g = given(entities, domains)
-    found = {"companies": companies(text, assets.RULE_COMPANIES), "products": F.array_sort(products(text, assets.RULE_PRODUCTS))}
+    found = {"companies": companies(text, assets.RULE_COMPANIES, match), "products": F.array_sort(products(text, assets.RULE_PRODUCTS, match))}
     return _struct({"tickers": g["tickers"], **found, "people": g["mentions"], "hashtags": g["hashtags"], "domains": g["domains"]})
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.assets import EVENT_KINDS, TOPIC_NAMES, TOPIC_NOT_NAMES
+from ..functions.dictionary import found_lower
 from ..functions.scalars import let, preview, strip
-from .text import kind_hits
+from .text import kind_hits, kind_words
 from .topics import KEYS
 
 SYMBOLS = ("hashtag", "domain", "cashtag")
@@ -177,13 +178,13 @@ def topic_extract(posts: DataFrame, most: int = 10) -> DataFrame:
     """
     p = posts.where(F.col("place") <= most).select("topic_id", "place", F.coalesce("text", F.lit("")).alias("text"))
 
-    def hits(low: Column) -> Column:
-        return F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(i).alias("o"), kind_hits(low, ws).alias("n")) for i, (k, ws) in enumerate(EVENT_KINDS.items())))
+    def hits(words: Column) -> Column:
+        return F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(i).alias("o"), kind_hits(words, ws).alias("n")) for i, (k, ws) in enumerate(EVENT_KINDS.items())))
 
-    scored = p.select("topic_id", "place", F.explode(let(F.lower("text"), hits)).alias("x")).where("x.n > 0")
+    scored = p.select("topic_id", "place", F.explode(let(kind_words(F.col("text"), EVENT_KINDS), hits)).alias("x")).where("x.n > 0")
     kinds = scored.groupBy("topic_id", "x.kind").agg(F.sum("x.n").alias("n"), F.min(F.struct("place", "x.o")).alias("first"))
     kind = kinds.groupBy("topic_id").agg(F.min(F.struct((-F.col("n")).alias("o"), "first", "kind")).alias("m")).select("topic_id", F.col("m.kind").alias("event_type"))
-    known = F.array_compact(F.array(*(F.when(F.contains(F.lower("text"), F.lit(n.lower())), F.lit(n)) for n in TOPIC_NAMES)))
+    known = found_lower(F.col("text"), TOPIC_NAMES)
     capital = F.filter(F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{N}_])[A-Z][a-z]+(?![\p{L}\p{N}_])"), F.lit(0)), lambda w: (F.length(w) > 2) & ~w.isin(*TOPIC_NOT_NAMES))
     names = p.select("topic_id", F.explode(F.array_union(known, capital)).alias("name")).distinct()
     place = F.row_number().over(Window.partitionBy("topic_id").orderBy("name"))

@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import assets
-from ..functions.scalars import among, any_within, found_whatever_case, found_within, let, tokens, word_list
+from ..functions.dictionary import found_either_case, found_lower, found_upper, found_within
+from ..functions.scalars import any_within, let, tokens, word_list
 from .topics import relevant
 
+#: Longest dictionary entry, in tokens, of token_hits().
+LONGEST_ENTRY = 8
+
 
 def ngrams(text: Column, n: int, least: int = 3) -> Column:
     """Runs of n neighbouring tokens, each of at least so many characters, joined by blanks."""
@@ -47,25 +51,24 @@ def keyword_topics(posts: DataFrame, least_posts: int = 2, filtered: bool = True
     return k.groupBy(F.col("word").alias("topic_key")).agg(F.count(F.lit(1)).alias("posts"), F.min("tweet_id").alias("tweet_id")).where(F.col("posts") >= least_posts)
 
 
-def companies(text: Column, names: tuple[str, ...]) -> Column:
-    return F.transform(found_within(F.lower(text), names), F.initcap)
+def companies(text: Column, names: tuple[str, ...], match: str = "substring") -> Column:
+    """Names (lower case) within the lower-cased text, with a capital; match="token": as whole tokens."""
+    return F.transform(found_lower(text, names, match), F.initcap)
 
 
-def products(text: Column, names: tuple[str, ...]) -> Column:
-    """Names whose upper-cased form is within the upper-cased text."""
-    return found_whatever_case(text, names)
+def products(text: Column, names: tuple[str, ...], match: str = "substring") -> Column:
+    """Names whose upper-cased form is within the upper-cased text; match="token": as whole tokens."""
+    return found_upper(text, names, match)
 
 
-def gated_entities(text: Column) -> Column:
-    """Dictionary entries within the text whatever the case, sorted."""
-    names = tuple(sorted(set(assets.GATE_COMPANIES + assets.GATE_PRODUCTS + assets.GATE_CONCEPTS)))
-    both = F.struct(F.upper(text).alias("up"), F.lower(text).alias("low"))
-    return let(both, lambda t: among(names, lambda n: F.contains(t["up"], F.lit(n.upper())) | F.contains(t["low"], F.lit(n.lower()))))
+def gated_entities(text: Column, match: str = "substring") -> Column:
+    """Dictionary entries within the text whatever the case, sorted; match="token": as whole tokens."""
+    return found_either_case(text, tuple(sorted(set(assets.GATE_COMPANIES + assets.GATE_PRODUCTS + assets.GATE_CONCEPTS))), match)
 
 
-def actions(text: Column, verbs: tuple[str, ...]) -> Column:
-    """Verbs within the text, sorted."""
-    return let(F.lower(text), lambda low: among(tuple(sorted(set(verbs))), lambda v: F.contains(low, F.lit(v.lower()))))
+def actions(text: Column, verbs: tuple[str, ...], match: str = "substring") -> Column:
+    """Verbs within the text, sorted; match="token": as whole tokens."""
+    return found_lower(text, tuple(sorted(set(verbs))), match)
 
 
 GATE_VERBS = tuple(v for group in assets.GATE_VERBS.values() for v in group)
@@ -78,7 +81,9 @@ def _only_urls(text: Column) -> Column:
 
 
 def _only(text: Column, words: tuple[str, ...]) -> Column:
-    return let(tokens(text), lambda own: (F.size(own) > 0) & (F.size(F.array_except(own, word_list(words))) == 0))
+    """Tokens, all of them among the words; most texts are settled by their first token."""
+    first = r"^[^\p{L}\p{N}_]*+(?:" + "|".join(f"\\Q{w}\\E" for w in words) + r")(?![\p{L}\p{N}_])"
+    return F.lower(text).rlike(first) & let(tokens(text), lambda own: (F.size(own) > 0) & (F.size(F.array_except(own, word_list(words))) == 0))
 
 
 def rule_reason(text: Column, domains: Column, n_entities: Column, n_verbs: Column) -> Column:
@@ -111,9 +116,40 @@ def gated_reason(text: Column) -> Column:
     )
 
 
-def gate(posts: DataFrame) -> DataFrame:
+def token_hits(posts: DataFrame, dictionary: DataFrame, longest: int = LONGEST_ENTRY) -> DataFrame:
+    """posts(tweet_id, text), dictionary(entry) of any size -> (tweet_id, entry, n): entries whose tokens are neighbouring tokens of a text, and how often.
+
+    Runs of neighbouring tokens are joined to the entries' tokens, so no task holds the dictionary unless its size lets
+    Spark broadcast it, and only matches are counted; a hot run meets the few entries that it stands for, and its rows
+    are split between tasks.  Only run lengths that entries have are made.  Entries that differ by case or punctuation
+    alone are all found; those without tokens, null or empty find nothing, repeated ones count once, and one of more than
+    `longest` tokens is an error.  Null and empty texts and empty tables give no rows.
+    """
+    own = tokens(F.col("entry"))
+    listed = dictionary.where("entry is not null").select("entry").distinct().select("entry", F.size(own).alias("size"), F.array_join(own, " ").alias("run")).where("size > 0")
+    sizes = [r.size for r in listed.select("size").distinct().orderBy("size").limit(longest + 1).collect()]  # at most longest + 1 numbers
+    if sizes and sizes[-1] > longest:
+        raise ValueError(f"an entry has {sizes[-1]} tokens, more than {longest}")
+    words = posts.select("tweet_id", tokens(F.col("text")).alias("t"))
+    runs = [words.select("tweet_id", F.explode(_token_runs("t", n)).alias("run")) for n in sizes]
+    if not runs:
+        return words.select("tweet_id", F.lit("").alias("entry"), F.lit(0).cast("long").alias("n")).where("1 = 0")
+    every = runs[0]
+    for r in runs[1:]:
+        every = every.unionByName(r)
+    return every.join(listed.select("entry", "run"), "run").groupBy("tweet_id", "entry").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _token_runs(words: str, n: int) -> Column:
+    """All runs of n neighbouring words as texts."""
+    starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
+    return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " ")))
+
+
+def gate(posts: DataFrame, match: str = "substring") -> DataFrame:
     """posts with entity, action (first in order) and gate_reason (null if both are there)."""
-    p = posts.withColumn("entity", gated_entities(F.col("text"))).withColumn("action", F.get(actions(F.col("text"), GATE_VERBS), F.lit(0)))
+    text = F.col("text")
+    p = posts.withColumns({"entity": gated_entities(text, match), "action": F.get(actions(text, GATE_VERBS, match), F.lit(0))})
     reason = F.when(F.size("entity") == 0, "no_entity").when(F.col("action").isNull(), "no_action")
     return p.withColumn("gate_reason", reason)
 
@@ -121,7 +157,7 @@ def gate(posts: DataFrame) -> DataFrame:
 def event_seeds(posts: DataFrame) -> DataFrame:
     """Posts by company and by relevant two-word phrase: (seed_type, seed_key, tweet_id)."""
     a = posts.select(F.lit("company").alias("seed_type"), F.explode(companies(F.col("text"), assets.COMPANIES)).alias("seed_key"), "tweet_id")
-    phrases = posts.select(F.lit("phrase").alias("seed_type"), F.explode(ngrams(F.col("text"), 2)).alias("seed_key"), "tweet_id").where(any_within(F.col("seed_key"), assets.TOPIC_KEYWORDS))
+    phrases = posts.select(F.lit("phrase").alias("seed_type"), F.explode(F.array_distinct(ngrams(F.col("text"), 2))).alias("seed_key"), "tweet_id").where(F.size(found_within(F.col("seed_key"), assets.TOPIC_KEYWORDS)) > 0)
     return a.unionByName(phrases).distinct()
 
 
@@ -142,13 +178,18 @@ def co_occurrence(entities: DataFrame) -> DataFrame:
 
 def event_kind(posts: DataFrame) -> DataFrame:
     """tweet_id, kind and hits: the kind with most of its keywords within the text, ties to the first; none: no row."""
-    def scores(low: Column) -> Column:
-        return F.array(*(F.struct(kind_hits(low, ws).alias("hits"), F.lit(-i).alias("o"), F.lit(k).alias("kind")) for i, (k, ws) in enumerate(assets.EVENT_KINDS.items())))
+    def scores(hits: Column) -> Column:
+        return F.array(*(F.struct(kind_hits(hits, ws).alias("hits"), F.lit(-i).alias("o"), F.lit(k).alias("kind")) for i, (k, ws) in enumerate(assets.EVENT_KINDS.items())))
 
-    best = posts.select("tweet_id", F.array_max(let(F.lower(F.col("text")), scores)).alias("x"))
+    best = posts.select("tweet_id", F.array_max(let(kind_words(F.col("text"), assets.EVENT_KINDS), scores)).alias("x"))
     return best.select("tweet_id", "x.kind", "x.hits").where("hits > 0")
 
 
-def kind_hits(low: Column, words: tuple[str, ...]) -> Column:
-    """How many of the words are within lower-cased text."""
-    return sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0))
+def kind_words(text: Column, kinds: dict[str, tuple[str, ...]]) -> Column:
+    """The words of all kinds that are within the lower-cased text."""
+    return found_within(F.lower(text), tuple(dict.fromkeys(w for words in kinds.values() for w in words)))
+
+
+def kind_hits(hits: Column, words: tuple[str, ...]) -> Column:
+    """How many of the words are among those found by kind_words."""
+    return F.size(F.filter(word_list(words), lambda w: F.array_contains(hits, w)))

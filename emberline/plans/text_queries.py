@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import assets
 from ..functions import scalars as X
+from ..functions.dictionary import token_key
 from ..operators import cluster as C
 from ..operators import events as V
 from ..operators import similarity as S
@@ -95,6 +96,50 @@ _RULE = f"""CASE WHEN {_URLLESS} THEN 'only_url' WHEN starts_with(trim(text), 'R
   WHEN len(c) + len(p) = 0 AND len(v) = 0 THEN 'no_entity_no_action' WHEN {_GENERIC.format(tok=_TOK, words=words_sql(assets.RULE_GENERIC))} THEN 'generic' END"""
 
 
+def _by_tokens_sql(words) -> str:
+    """Entries whose tokens stand side by side in `padded`, in the order given."""
+    pairs = ", ".join(f"{{'w': '{w}', 'k': '{token_key(w)}'}}" for w in words)
+    return f"list_transform(list_filter([{pairs}], lambda x: contains(padded, x.k)), lambda x: x.w)"
+
+
+_PADDED = f", pad AS (SELECT tweet_id, ' ' || array_to_string({_TOK}, ' ') || ' ' AS padded FROM docs)"
+
+
+@docs_query(
+    f"""{_PADDED} SELECT tweet_id, array_to_string({_by_tokens_sql(assets.RULE_COMPANIES)}, ',') AS companies, array_to_string({_by_tokens_sql(assets.RULE_PRODUCTS)}, ',') AS products,
+  array_to_string({_by_tokens_sql(sorted(set(assets.RULE_VERBS)))}, ',') AS actions FROM pad"""
+)
+def entities_token(spark, d):
+    """Companies, products and actions by whole tokens instead of substrings."""
+    t = F.col("text")
+    found = F.array_join(F.transform(W.companies(t, assets.RULE_COMPANIES, "token"), F.lower), ",")
+    more = {"products": W.products(t, assets.RULE_PRODUCTS, "token"), "actions": W.actions(t, assets.RULE_VERBS, "token")}
+    return _docs(spark, d).select("tweet_id", found.alias("companies"), *(F.array_join(c, ",").alias(k) for k, c in more.items()))
+
+
+@docs_query(
+    f"""{_PADDED}, g AS (SELECT tweet_id, {_by_tokens_sql(sorted(set(assets.GATE_COMPANIES + assets.GATE_PRODUCTS + assets.GATE_CONCEPTS)))} AS entity,
+   {_by_tokens_sql(sorted(set(W.GATE_VERBS)))}[1] AS action FROM pad)
+  SELECT tweet_id, array_to_string(entity, ',') AS entity, action, CASE WHEN len(entity) = 0 THEN 'no_entity' WHEN action IS NULL THEN 'no_action' END AS gate_reason FROM g"""
+)
+def dictionary_gate_token(spark, d):
+    return W.gate(_docs(spark, d), match="token").select("tweet_id", F.array_join("entity", ",").alias("entity"), "action", "gate_reason")
+
+
+@docs_query(
+    rf""", dict AS (SELECT DISTINCT title AS entry, regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}_]+') AS own FROM (SELECT trim(regexp_extract(text, '^\s*(\S+\s+\S+\s+\S+)', 1)) AS title FROM docs) WHERE title <> ''),
+  entry AS (SELECT entry, len(own) AS size, array_to_string(own, ' ') AS run FROM dict WHERE len(own) BETWEEN 1 AND 8),
+  grams AS (SELECT tweet_id, size, array_to_string(t[i:i + size - 1], ' ') AS run FROM (SELECT tweet_id, {_TOK} AS t FROM docs), (SELECT DISTINCT size FROM entry), unnest(range(1, len(t) - size + 2)) AS u(i) WHERE len(t) >= size)
+  SELECT tweet_id, entry, count(*) AS n FROM grams JOIN entry USING (size, run) WHERE run IN (SELECT run FROM entry GROUP BY run) GROUP BY 1, 2"""
+)
+def token_dictionary(spark, d):
+    """Which texts' first three words come, as whole tokens, in which texts: a dictionary that grows with the table."""
+    docs = _docs(spark, d)
+    head = F.trim(F.regexp_extract("text", r"^\s*(\S+\s+\S+\s+\S+)", 1))
+    dictionary = docs.select(head.alias("entry")).where((F.col("entry") != "") & F.size(X.tokens(F.col("entry"))).between(1, W.LONGEST_ENTRY))
+    return W.token_hits(docs, dictionary)
+
+
 def _reasons(spark, d):
     t = F.col("text")
     n = F.size(W.companies(t, assets.RULE_COMPANIES)) + F.size(W.products(t, assets.RULE_PRODUCTS))

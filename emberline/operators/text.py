@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from .topics import relevant
 
 #: Longest dictionary entry, in tokens, of token_hits().
 LONGEST_ENTRY = 8
+#: The bitmap of a dictionary in token_hits() has at most 2 ** FILTER_BITS bits (8 MiB).
+FILTER_BITS = 26
 
 
 def ngrams(text: Column, n: int, least: int = 3) -> Column:
@@ -119,31 +124,63 @@ def gated_reason(text: Column) -> Column:
 def token_hits(posts: DataFrame, dictionary: DataFrame, longest: int = LONGEST_ENTRY) -> DataFrame:
     """posts(tweet_id, text), dictionary(entry) of any size -> (tweet_id, entry, n): entries whose tokens are neighbouring tokens of a text, and how often.
 
-    Runs of neighbouring tokens are joined to the entries' tokens, so no task holds the dictionary unless its size lets
-    Spark broadcast it, and only matches are counted; a hot run meets the few entries that it stands for, and its rows
-    are split between tasks.  Only run lengths that entries have are made.  Entries that differ by case or punctuation
-    alone are all found; those without tokens, null or empty find nothing, repeated ones count once, and one of more than
-    `longest` tokens is an error.  Null and empty texts and empty tables give no rows.
+    Runs of neighbouring tokens are joined to the entries' tokens.  Before that, each run is tested by a hash against a bitmap
+    of the dictionary (at most 2 ** FILTER_BITS bits, sent to all tasks), so that hardly any but true matches are shuffled.
+    Only run lengths that entries have are tested.  Entries that differ by case or punctuation alone are all found; those
+    without tokens, null or empty find nothing, repeated ones count once, and one of more than `longest` tokens is an
+    error.  Null and empty texts and empty tables give no rows.
     """
-    own = tokens(F.col("entry"))
-    listed = dictionary.where("entry is not null").select("entry").distinct().select("entry", F.size(own).alias("size"), F.array_join(own, " ").alias("run")).where("size > 0")
-    sizes = [r.size for r in listed.select("size").distinct().orderBy("size").limit(longest + 1).collect()]  # at most longest + 1 numbers
-    if sizes and sizes[-1] > longest:
-        raise ValueError(f"an entry has {sizes[-1]} tokens, more than {longest}")
-    words = posts.select("tweet_id", tokens(F.col("text")).alias("t"))
-    runs = [words.select("tweet_id", F.explode(_token_runs("t", n)).alias("run")) for n in sizes]
-    if not runs:
-        return words.select("tweet_id", F.lit("").alias("entry"), F.lit(0).cast("long").alias("n")).where("1 = 0")
-    every = runs[0]
-    for r in runs[1:]:
-        every = every.unionByName(r)
-    return every.join(listed.select("entry", "run"), "run").groupBy("tweet_id", "entry").agg(F.count(F.lit(1)).alias("n"))
-
-
-def _token_runs(words: str, n: int) -> Column:
-    """All runs of n neighbouring words as texts."""
-    starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
-    return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " ")))
+    spark = posts.sparkSession
+    listed = dictionary.where("entry is not null").select("entry").distinct().select("entry", tokens(F.col("entry")).alias("t")).where(F.size("t") > 0)
+    size = listed.groupBy(F.size("t").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy("size").limit(longest + 1).collect()  # at most longest + 1 rows
+    if size and size[-1].size > longest:
+        raise ValueError(f"an entry has {size[-1].size} tokens, more than {longest}")
+    sizes = tuple(r.size for r in size)
+    bits = min(FILTER_BITS, max(6, (16 * sum(r.n for r in size)).bit_length()))
+    slots = _run_slots(bits)
+
+    def of_entries(batches):
+        for batch in batches:
+            found = [int(slots(t, len(t))[0]) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["slot"])
+
+    marked = listed.select("t").mapInArrow(of_entries, "slot long")
+    groups = marked.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(slot & 63))")).alias("bits")).toPandas()  # at most 2 ** (bits - 6) rows
+    bitmap = np.zeros(1 << (bits - 6), np.int64)
+    bitmap[groups["at"].to_numpy(np.int64)] = groups["bits"].to_numpy(np.int64)
+    sent = spark.sparkContext.broadcast(bitmap)
+
+    def of_texts(batches):
+        marks = sent.value
+        for batch in batches:
+            ids, runs = [], []
+            for i in range(batch.num_rows):
+                t = batch.column(1)[i].as_py()
+                for n in sizes:
+                    if len(t) >= n:
+                        at = slots(t, n)
+                        for k in ((marks[at >> 6] >> (at & 63)) & 1).nonzero()[0].tolist():
+                            ids.append(i)
+                            runs.append(" ".join(t[k : k + n]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(runs, pa.string())], ["tweet_id", "run"])
+
+    kind = posts.select("tweet_id").schema["tweet_id"].dataType.simpleString()
+    runs = posts.select("tweet_id", tokens(F.col("text")).alias("t")).mapInArrow(of_texts, f"tweet_id {kind}, run string")
+    return runs.join(listed.select("entry", F.array_join("t", " ").alias("run")), "run").groupBy("tweet_id", "entry").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _run_slots(bits: int):
+    """A function of a list of tokens and n to one number below 2 ** bits for each run of n neighbouring ones."""
+
+    def slots(words: list, n: int):
+        h = pd.util.hash_array(np.array(words, dtype=object), categorize=False)
+        end = len(words) - n + 1
+        out = h[:end].copy()
+        for k in range(1, n):
+            out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[k : end + k]
+        return ((out * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)).astype(np.int64)
+
+    return slots
 
 
 def gate(posts: DataFrame, match: str = "substring") -> DataFrame:

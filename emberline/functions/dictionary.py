@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import tokens
+from .scalars import let, tokens
 
 #: How entries are matched: as substrings, or only as whole neighbouring tokens.
 MATCHES = ("substring", "token")
@@ -106,3 +106,10 @@ def found_either_case(text: Column, words: tuple[str, ...], match: str = "substr
 def found_tokens(text: Column, words: tuple[str, ...]) -> Column:
     """The words whose tokens are neighbouring tokens of the text, in the order given: AGI isn't in imaging, GPT-4 is in gpt 4."""
     return found(token_text(text), tuple((w, (token_key(w),)) for w in words))
+
+
+def found_upper_inline(text: Column, words: tuple[str, ...], match: str = "substring") -> Column:
+    """As found_upper; substrings are searched without Python, so that it may stand within functions over lists."""
+    if _by_tokens(match):
+        return found_tokens(text, words)
+    return let(F.upper(text), lambda up: F.array_compact(F.array(*(F.when(F.contains(up, F.lit(w.upper())), F.lit(w)) for w in words))))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import assets
-from ..functions.dictionary import found_upper
+from ..functions.dictionary import found_upper_inline
 from ..functions.scalars import let
 from .text import companies, products
 
@@ -51,7 +51,7 @@ def improved_keywords(text: Column, least: int = 4, most: int = 10, match: str =
         return (F.length(w) >= least) & ~w.isin(*assets.IMPROVED_STOPS) & (term | w.rlike("^[A-Z][a-z]+$"))
 
     words = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(_CAPITALISED), F.lit(0))), fits)
-    return F.slice(F.array_sort(F.array_union(found_upper(text, assets.IMPROVED_PRODUCTS, match), words)), 1, most)
+    return F.slice(F.array_sort(F.array_union(found_upper_inline(text, assets.IMPROVED_PRODUCTS, match), words)), 1, most)
 
 
 def _named(text: Column, keywords: Column, match: str) -> Column:
@@ -91,7 +91,7 @@ def final_keywords(text: Column, least: int = 4, most: int = 10, match: str = "s
         return (F.length(w) >= least) & ~w.isin(*assets.FINAL_STOPS, *_ORDINARY) & (_any(assets.FINAL_TERMS, lambda t: F.contains(up, F.lit(t))) | _listed(up))
 
     words = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(_CAPITALISED), F.lit(0))), fits)
-    return F.slice(F.array_sort(F.array_union(found_upper(text, assets.FINAL_WHITELIST, match), words)), 1, most)
+    return F.slice(F.array_sort(F.array_union(found_upper_inline(text, assets.FINAL_WHITELIST, match), words)), 1, most)
 
 
 def final_entities(text: Column, entities: Column, domains: Column, match: str = "substring") -> Column:

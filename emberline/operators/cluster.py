@@ -112,6 +112,8 @@ def leaders(items: DataFrame, compat: DataFrame, by_weight: bool = False) -> Dat
 
 #: Distinct vectors, or edges, of a component that one task may hold; larger components are worked on by joins.
 LINKAGE_ROWS, SWEEP_EDGES = 2_000, 200_000
+#: Places to which sums of a node's edges are rounded, so that the order of adding can't decide a move.
+SWEEP_PLACES = 12
 
 
 #: Places of a mean cosine that count: pairs closer to each other than that are tied, and the smaller ids merge first.
@@ -235,6 +237,7 @@ def communities(edges: DataFrame, within: DataFrame, gain: float = 0.001, sweeps
                 sums: dict = {}
                 for y, w in near[x]:
                     sums[own[y]] = sums.get(own[y], 0.0) + w
+                sums = {c: round(v, SWEEP_PLACES) for c, v in sums.items()}
                 here = sums.get(own[x], 0.0)
                 best = max(sums, key=lambda c: (sums[c], -place[c]))
                 if best != own[x] and sums[best] - here > gain:
@@ -253,26 +256,36 @@ def communities(edges: DataFrame, within: DataFrame, gain: float = 0.001, sweeps
 
 
 def _sweep_rounds(scored: DataFrame, gain: float, sweeps: int) -> DataFrame:
-    """The same sweeps over scored(a, b, s) as joins: a round moves every node that no smaller neighbour still precedes."""
+    """The same sweeps over scored(a, b, s), as joins.
+
+    A node's choice in a sweep depends on the new communities of its smaller neighbours and the old ones of its larger
+    neighbours.  At first every node is taken to stay, then all choices whose inputs differ from what they were made with are
+    made again until none turns.  Each round settles at least the smallest node that was still wrong, so the end is that of
+    the sweep in id order, but rounds follow the longest chain of choices that turn each other instead of the longest
+    chain of ids, and a round shuffles only the edges of the nodes that choose again.  A later sweep starts from the nodes
+    that moved and their smaller neighbours: all others would choose as before.
+    """
     near = scored.unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")).checkpoint()
-    own = near.select(F.col("a").alias("id"), F.col("a").alias("own")).distinct().checkpoint()
+    place = near.select(F.col("a").alias("id"), F.col("a").alias("old"), F.col("a").alias("new")).distinct().checkpoint()
+    again = place.select("id")
     for _ in range(sweeps):
-        moved = False
-        pending = own.select("id").checkpoint()
-        while not pending.isEmpty():
-            waits = near.where("b < a").join(pending.select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("id")).distinct()
-            ready = pending.join(waits, "id", "left_anti").checkpoint()
-            sums = near.join(ready.select(F.col("id").alias("a")), "a", "left_semi").join(own.select(F.col("id").alias("b"), F.col("own").alias("c")), "b")
-            sums = sums.groupBy("a", "c").agg(F.sum("s").alias("s"))
-            best = sums.join(own.select(F.col("id").alias("a"), "own"), "a").groupBy("a").agg(
-                F.min(F.struct((-F.col("s")).alias("o"), "c")).alias("m"), F.coalesce(F.max(F.when(F.col("c") == F.col("own"), F.col("s"))), F.lit(0.0)).alias("here"), F.first("own").alias("was")
+        while True:
+            seen = place.select(F.col("id").alias("b"), F.col("old").alias("seen_old"), F.col("new").alias("seen_new"))
+            sums = near.join(again.select(F.col("id").alias("a")), "a", "left_semi").join(seen, "b")
+            sums = sums.groupBy("a", F.when(F.col("b") < F.col("a"), F.col("seen_new")).otherwise(F.col("seen_old")).alias("c")).agg(F.round(F.sum("s"), SWEEP_PLACES).alias("s"))
+            best = sums.join(place.withColumnRenamed("id", "a"), "a").groupBy("a", "old", "new").agg(
+                F.min(F.struct((-F.col("s")).alias("o"), "c")).alias("m"), F.coalesce(F.max(F.when(F.col("c") == F.col("old"), F.col("s"))), F.lit(0.0)).alias("here")
             )
-            moves = best.where((F.col("m.c") != F.col("was")) & (-F.col("m.o") - F.col("here") > gain)).select(F.col("a").alias("id"), F.col("m.c").alias("to")).checkpoint()
-            if not moves.isEmpty():
-                moved = True
-                own = own.join(moves, "id", "left").select("id", F.coalesce("to", "own").alias("own")).checkpoint()
-            pending = pending.join(ready, "id", "left_anti").checkpoint()
-        if not moved:
+            to = F.when(-F.col("m.o") - F.col("here") > gain, F.col("m.c")).otherwise(F.col("old"))
+            turned = best.select(F.col("a").alias("id"), "new", to.alias("to")).where("to <> new").select("id", "to").checkpoint()
+            if turned.isEmpty():
+                break
+            place = place.join(turned, "id", "left").select("id", "old", F.coalesce("to", "new").alias("new")).checkpoint()
+            again = near.where("b < a").join(turned.select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("id")).distinct()
+        movers = place.where("old <> new").select("id").checkpoint()
+        if movers.isEmpty():
             break
-    least = own.groupBy("own").agg(F.min("id").alias("community"))
-    return own.join(least, "own").select("id", "community")
+        place = place.select("id", F.col("new").alias("old"), "new")
+        again = near.where("b > a").join(movers.select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("id")).unionByName(movers).distinct()
+    least = place.groupBy("new").agg(F.min("id").alias("community"))
+    return place.join(least, "new").select("id", "community")

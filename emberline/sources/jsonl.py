@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import norm_username
+from .records import json_records, pieces
 
 _S, _L = T.StringType(), T.LongType()
 METRICS = T.StructType([T.StructField(c, _L) for c in ("like_count", "repost_count", "reply_count", "quote_count")])
@@ -56,28 +57,26 @@ def read_posts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
-    """A candidate pool: a JSON array, an object whose values are records, or JSONL (read line by line, in parts)."""
-    lines = spark.read.text(path)
-    first = lines.where(F.trim("value") != "").limit(1).select(F.trim("value").alias("v"), F.from_json("value", CANDIDATE)["username"].isNotNull().alias("record")).first()
+    """A candidate pool: a JSON array, an object whose values are records, or JSONL; each is read in parts."""
+    first = pieces(spark, path).where(F.trim("value", F.lit(" \t\r\n")) != "").limit(1)
+    first = first.select(F.substring(F.trim("value", F.lit(" \t\r\n")), 1, 1).alias("v"), F.from_json(F.concat("value", F.lit("}")), CANDIDATE)["username"].isNotNull().alias("record")).first()
     if first is None:
         return spark.createDataFrame([], CANDIDATE)
-    if first.v.startswith("["):
-        return spark.read.schema(CANDIDATE).option("multiLine", True).json(path)
-    if first.v.startswith("{") and not first.record:
-        # one object for the whole file: a small, hand-kept document
-        values = spark.read.text(path, wholetext=True).select(F.explode_outer(F.map_values(F.from_json("value", T.MapType(_S, CANDIDATE)))).alias("x")).select("x.*").where("username is not null")
+    if first.v == "[":
+        return json_records(spark, path, keyed=False).where("record like '{%'").select(F.from_json("record", CANDIDATE).alias("x")).select("x.*")
+    if first.v == "{" and not first.record:
+        values = json_records(spark, path, keyed=True).select(F.from_json("record", CANDIDATE).alias("x")).where("x.username is not null").select("x.*")
         if not values.isEmpty():
             return values
-    return lines.select(F.from_json("value", CANDIDATE).alias("x")).where("x.username is not null").select("x.*")
+    return spark.read.text(path).select(F.from_json("value", CANDIDATE).alias("x")).where("x.username is not null").select("x.*")
 
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
-    """Profiles kept as one object {username: {...}}: username (normalised) and followers_count; a missing file is empty."""
+    """Profiles kept as one object {username: {...}}, read in parts: username (normalised) and followers_count; a missing file is empty."""
     if not _exists(spark, path):
         return spark.createDataFrame([], "username string, followers_count long")
-    kind = T.MapType(_S, T.StructType([T.StructField("followers_count", _L)]))
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)).alias("name", "p"))
-    return rows.groupBy(norm_username(F.col("name")).alias("username")).agg(F.max_by("p.followers_count", "name").alias("followers_count"))
+    rows = json_records(spark, path, keyed=True).where("key is not null").select(F.col("key").alias("name"), F.from_json("record", "followers_count long")["followers_count"].alias("n"))
+    return rows.groupBy(norm_username(F.col("name")).alias("username")).agg(F.max_by("n", "name").alias("followers_count"))
 
 
 def read_roster(spark: SparkSession, path: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.assets import NOISY_BIO
 from ..functions.scalars import norm_username
+from ..sources.stages import staged
 
 
 def seed_scores(pool: DataFrame, least_followers: int = 200) -> DataFrame:
@@ -20,10 +21,15 @@ def seed_scores(pool: DataFrame, least_followers: int = 200) -> DataFrame:
 
 
 def select_seeds(pool: DataFrame, n: int = 100, exact: bool = True) -> DataFrame:
-    """The n best accounts, ties by name; fewer than n are an error unless exact is off."""
+    """The n best accounts, ties by name; fewer than n are an error unless exact is off.
+
+    With exact the accounts found are written (n rows), so that counting and reading them takes one run of the plan.
+    """
     best = seed_scores(pool).orderBy(F.desc("seedscore"), "username").limit(n)
-    if exact and best.count() != n:
-        raise ValueError(f"the pool has fewer than {n} accounts that qualify")
+    if exact:
+        best = staged(best, "seeds")
+        if best.count() != n:
+            raise ValueError(f"the pool has fewer than {n} accounts that qualify")
     return best
 
 

@@ -42,14 +42,15 @@ def dense(long: DataFrame, size: int = 256) -> DataFrame:
     return filled.select("tweet_id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("v"))
 
 
-def embed(posts: DataFrame, embedder=None, most: int = 8000, batch: int = 256) -> DataFrame:
-    """posts(tweet_id, text) -> (tweet_id, v): vectors by an embedder, a function from a list of texts to a list of vectors.
+def embed(posts: DataFrame, embedder=None, most: int = 8000, batch: int = 256, strict: bool = False) -> DataFrame:
+    """posts(tweet_id, text) -> (tweet_id, v, hashed): vectors by an embedder, a function from a list of texts to a list of vectors.
 
     Texts are cut to `most` characters and sent in batches from the tasks; a batch that fails, or no embedder at all,
-    gets hashed vectors instead.  A text without words has no hashed vector and no row.
+    gets hashed vectors instead, marked as hashed: they may be of another length, so that sides must not be compared; with
+    strict it fails instead.  A text without words has no hashed vector and no row.
     """
     if embedder is None:
-        return dense(hash_embedding(posts))
+        return dense(hash_embedding(posts)).withColumn("hashed", F.lit(True))
     kind = dict(posts.dtypes)["tweet_id"]
 
     def run(frames):
@@ -59,6 +60,8 @@ def embed(posts: DataFrame, embedder=None, most: int = 8000, batch: int = 256) -
                 try:
                     v = [list(map(float, x)) for x in embedder([(t or "")[:most] for t in part["text"]])]
                 except Exception:  # whatever the service raised: these rows fall back
+                    if strict:
+                        raise
                     v = [None] * len(part)
                 yield pd.DataFrame({"tweet_id": part["tweet_id"], "v": v})
 
@@ -66,7 +69,7 @@ def embed(posts: DataFrame, embedder=None, most: int = 8000, batch: int = 256) -
 
     found = staged(posts.select("tweet_id", "text").mapInPandas(run, f"tweet_id {kind}, v array<double>"), "embedded")
     rest = posts.join(found.where("v is null").select("tweet_id"), "tweet_id", "left_semi")
-    return found.where("v is not null").unionByName(dense(hash_embedding(rest)))
+    return found.where("v is not null").withColumn("hashed", F.lit(False)).unionByName(dense(hash_embedding(rest)).withColumn("hashed", F.lit(True)))
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, at_least: bool = False) -> DataFrame:

@@ -35,7 +35,8 @@ class DailyTopics:
 
     @cached_property
     def day(self) -> DataFrame:
-        return N.recent(self.clean, self.short)
+        """Written, as candidates, topics, followers and reports all read it."""
+        return staged(N.recent(self.clean, self.short), "day")
 
     @cached_property
     def weeks(self) -> DataFrame:
@@ -51,7 +52,7 @@ class DailyTopics:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return T.candidates(self.day, self.day_edges, self.filtered, self.content_keywords)
+        return staged(T.candidates(self.day, self.day_edges, self.filtered, self.content_keywords), "candidates")
 
     @cached_property
     def topics(self) -> DataFrame:

@@ -376,7 +376,11 @@ def test_embedder_and_fallback(spark):
 
     got = {r.tweet_id: r.v for r in D.embed(posts, embedder, most=5, batch=1).collect()}
     assert got[1] == [5.0, 1.0] and got[3] == [5.0, 1.0] and len(got[2]) == 256
-    assert D.embed(posts).count() == 3
+    assert D.embed(posts).where("hashed").count() == 3
+    marks = {r.tweet_id: r.hashed for r in D.embed(posts, embedder, most=5, batch=1).collect()}
+    assert set(marks.values()) == {False, True} and all(len(got[i]) == 2 for i, hashed in marks.items() if not hashed)
+    with pytest.raises(Exception, match="ValueError"):
+        D.embed(posts, embedder, most=5, batch=1, strict=True).collect()
 
 
 def test_display_helpers(spark):

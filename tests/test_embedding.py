@@ -25,7 +25,7 @@ def tables(tmp_path_factory):
     return con, str(where)
 
 
-@pytest.mark.parametrize("name", ["hash_embedding", "hash_embedding_rule", "content_keywords", "keyword_topics", "embedding_v1"])
+@pytest.mark.parametrize("name", ["hash_embedding", "hash_embedding_rule", "content_keywords", "keyword_topics", "embedding_v1", "ngrams"])
 def test_words_as_in_sql(spark, tables, name):
     con, where = tables
     got = QUERIES[name](spark, where)
@@ -52,3 +52,8 @@ def test_texts_of_a_repeated_id_count_together(spark):
     posts = spark.createDataFrame([("1", "zeta alpha alpha"), ("1", "beta zeta"), ("2", "beta"), (None, "delta"), (None, "delta")], schema)
     got = {(r.tweet_id, r.word): (r.n, r.pos) for r in W.word_counts(posts, 3, ()).collect()}
     assert got == {("1", "zeta"): (2, 0), ("1", "alpha"): (2, 1), ("1", "beta"): (1, 0), ("2", "beta"): (1, 0), (None, "delta"): (2, 0)}
+
+
+def test_phrases_are_counted_in_one_shuffle(spark, tables):
+    plan = QUERIES["ngrams"](spark, tables[1])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

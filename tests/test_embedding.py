@@ -57,3 +57,12 @@ def test_texts_of_a_repeated_id_count_together(spark):
 def test_phrases_are_counted_in_one_shuffle(spark, tables):
     plan = QUERIES["ngrams"](spark, tables[1])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_coherence_embeds_only_the_posts_it_compares(spark, tables, monkeypatch):
+    con, where = tables
+    plain, seen = D.hash_vectors, []
+    monkeypatch.setattr(D, "hash_vectors", lambda posts, *a: seen.append(posts.count()) or plain(posts, *a))
+    got = QUERIES["coherence"](spark, where)
+    want = con.execute(f"SELECT cluster_id, coherence FROM ({ORACLE_SQL['coherence']})").fetchall()
+    assert sorted(map(tuple, got.select("cluster_id", "coherence").collect())) == sorted(want) and seen == [30]

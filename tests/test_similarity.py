@@ -122,3 +122,23 @@ def test_empty_tables(spark):
     assert D.similar_pairs(none.withColumnRenamed("id", "tweet_id"), 0.5).count() == 0
     assert S.similar_components(none, 0.5).count() == 0 and S.similar_leaders(none, 0.5, 3).count() == 0
     assert S.similar_components(frame(spark, [None, []]), 0.5).count() == 2
+
+
+def test_sums_over_pairs_equal_those_of_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    v = [*rng.random((6, 4)), *[x for x in rng.random((4, 4)) for _ in range(3)], np.zeros(4)]
+    for threshold, at_least in ((0.8, False), (1.0, False), (1.0, True)):
+        s = S.similar_classes(frame(spark, v), threshold, at_least)
+        pairs = s.expanded().collect()
+        want = {}
+        for r in pairs:
+            want[r.a], want[r.b] = want.get(r.a, 0.0) + r.cos, want.get(r.b, 0.0) + r.cos
+        assert {r.id: r.weight for r in s.weights().collect()} == pytest.approx(want)
+        assert tuple(s.counted().first()) == (len(pairs), pytest.approx(sum(r.cos for r in pairs)))
+
+
+def test_communities_by_similarity_make_no_pairs(spark, monkeypatch):
+    from emberline.plans import QUERIES
+
+    monkeypatch.setattr(S.Similar, "expanded", lambda self: pytest.fail("all pairs made"))
+    assert QUERIES["community_center_v2"](spark, "/root/testdata/sf0.001").count() > 0

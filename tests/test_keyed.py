@@ -106,3 +106,19 @@ def test_a_hot_ticker_costs_its_clusters(spark, monkeypatch):
     got = V.merge_events(members, entities, none)
     assert {(r.cluster_id, r.n) for r in got.groupBy("cluster_id").agg(F.count("*").alias("n")).collect()} == {("00000", 1000), ("00001", 2000)}
     assert V.merge_events(members.where("false"), entities, none).count() == 0
+
+
+def test_a_chain_within_a_block_takes_no_rounds(spark, monkeypatch):
+    from emberline.operators import cluster as C
+
+    monkeypatch.setattr(C, "leaders", lambda *a, **k: pytest.fail("settled by rounds"))
+    events = spark.range(300).selectExpr("cast(id as string) id", "id n")
+
+    def pairs(leaders, events):  # each meets the next in order of its name
+        names = sorted(str(i) for i in range(300))
+        chain = spark.createDataFrame(list(zip(names, names[1:])), "a string, b string")
+        return chain.join(leaders.selectExpr("id a"), "a", "left_semi").join(events.selectExpr("id b"), "b", "left_semi").select("a", "b", F.lit(1.0).alias("weight"))
+
+    names = sorted(str(i) for i in range(300))
+    want = {x: names[i - i % 2] for i, x in enumerate(names)}
+    assert {r.id: r.leader for r in V.block_leaders(events, pairs, 300).collect()} == want

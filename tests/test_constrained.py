@@ -48,3 +48,13 @@ def test_a_text_posted_often_costs_its_posts(spark):
     got = Z.near_clusters(similar, events, edges).checkpoint()
     assert [tuple(r) for r in got.groupBy("cluster_id").count().collect()] == [("00000", n)]
     assert Z.near_coherence(similar, got, edges).first().coherence == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("seed, met", [(1, 1024), (2, 3)])
+def test_conditions_are_counted_where_pairs_are_made(spark, monkeypatch, seed, met):
+    similar, events, edges = given(spark, seed)
+    want = V.condition_count(similar.expanded(), events, edges).where("satisfied >= 2").select("a", "b", "cos", "satisfied")
+    want = sorted(map(tuple, want.collect()))
+    monkeypatch.setattr(S, "MET", met)
+    similar.expanded = lambda: pytest.fail("all pairs are made before they are tested")
+    assert sorted(map(tuple, Z.similar_conditions(similar, events, edges).collect())) == want

@@ -33,3 +33,14 @@ def test_vectors_are_not_sent_to_every_pair_of_blocks(spark, monkeypatch):
     monkeypatch.setattr(S, "_tiles", lambda *a: pytest.fail("dealt to pairs of blocks"))
     v, df = made(spark)
     assert {(r.a, r.b) for r in S.similar_classes(df, 0.9, True).pairs.collect()} == near(v, 0.9)
+
+
+def test_vectors_are_not_written_again_with_their_postings(spark, monkeypatch):
+    from emberline.sources import stages
+
+    monkeypatch.setattr(S, "TILE", 10)
+    names, was = [], stages.staged
+    monkeypatch.setattr(stages, "staged", lambda df, name: names.append(name if {"dims", "w"} <= set(df.columns) else "") or was(df, name))
+    v, df = made(spark)
+    assert {(r.a, r.b) for r in S.similar_classes(df, 0.9, True).pairs.collect()} == near(v, 0.9)
+    assert sorted(filter(None, names)) == ["unit-vectors", "vector-classes"]

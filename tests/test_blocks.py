@@ -44,3 +44,22 @@ def test_vectors_are_not_written_again_with_their_postings(spark, monkeypatch):
     v, df = made(spark)
     assert {(r.a, r.b) for r in S.similar_classes(df, 0.9, True).pairs.collect()} == near(v, 0.9)
     assert sorted(filter(None, names)) == ["unit-vectors", "vector-classes"]
+
+
+@pytest.mark.parametrize("threshold", [0.9, 0.3])
+def test_components_come_from_a_forest_of_the_pairs(spark, monkeypatch, threshold):
+    from emberline.operators.cluster import components
+
+    v, df = made(spark)
+    want = near(v, threshold)
+    got = [(r.a, r.b) for r in B.block_pairs(S.unit_rows(df), threshold, True, len(v), v.shape[1], side=25, forest=True).collect()]
+    assert set(got) <= want and len(got) < 5 * len(v) and (threshold > 0.8 or len(want) > 20 * len(v))  # a vector is in five pairs of blocks
+    label = {f"d{i}": f"d{i}" for i in range(len(v))}
+    for _ in label:
+        for a, b in want:
+            label[a] = label[b] = min(label[a], label[b])
+    frame = spark.createDataFrame(got, "a string, b string")
+    assert dict(components(df.select("id"), frame).collect()) == label
+    monkeypatch.setattr(S, "TILE", 10)
+    monkeypatch.setattr(S, "_tiles", lambda *a: pytest.fail("dealt to pairs of blocks"))
+    assert dict(S.similar_components(df, threshold, True).collect()) == label

@@ -122,3 +122,12 @@ def test_a_chain_within_a_block_takes_no_rounds(spark, monkeypatch):
     names = sorted(str(i) for i in range(300))
     want = {x: names[i - i % 2] for i, x in enumerate(names)}
     assert {r.id: r.leader for r in V.block_leaders(events, pairs, 300).collect()} == want
+
+
+def test_pairs_are_tested_where_they_are_made(spark, monkeypatch, sizes):
+    monkeypatch.setattr(V, "shared_key_pairs", lambda a, b: pytest.fail("pairs made before they are tested"))
+    events = given(random.Random(7), 50)
+    got = V.weighted_pairs(spark.createDataFrame(events, SCHEMA))
+    assert sorted(map(tuple, got.collect())) == [(x[0], y[0], weight(x, y)) for i, x in enumerate(events) for y in events[i + 1 :] if weight(x, y)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("Join")[0]  # pairs aren't grouped after they meet

@@ -66,3 +66,15 @@ def test_coherence_embeds_only_the_posts_it_compares(spark, tables, monkeypatch)
     got = QUERIES["coherence"](spark, where)
     want = con.execute(f"SELECT cluster_id, coherence FROM ({ORACLE_SQL['coherence']})").fetchall()
     assert sorted(map(tuple, got.select("cluster_id", "coherence").collect())) == sorted(want) and seen == [30]
+
+
+def test_phrases_of_two_and_of_three_words(spark):
+    posts = spark.createDataFrame([("1", "Alpha beta gamma alpha beta gamma of delta"), ("1", "beta gamma"), ("2", "alpha beta"), ("3", "beta gamma alpha"), ("4", ""), ("5", None), ("6", "zeta")], "tweet_id string, text string")
+    got = {}
+    for r in W.phrase_counts(posts).collect():
+        got.setdefault(r.phrase, []).append(r.n)
+    two = {"alpha beta": [1, 2], "beta gamma": [1, 3], "gamma alpha": [1, 1]}
+    three = {"alpha beta gamma": [2], "beta gamma alpha": [1, 1], "gamma alpha beta": [1]}
+    assert {k: sorted(v) for k, v in got.items()} == two | three
+    assert {r.phrase for r in W.phrase_counts(posts, sizes=(2,)).collect()} == set(two)
+    assert W.phrase_counts(posts.where("tweet_id > '3'")).count() == 0

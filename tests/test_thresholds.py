@@ -42,3 +42,8 @@ def rows(spark, tables, name):
 def test_average_linkage_merges_up_to_a_distance_of_three_tenths(spark, tables):
     # 10, 11 merge at 0.9, 12 joins them at 0.76; 13 is at 0.63 on average
     assert {r["id"]: r["cluster"] for r in rows(spark, tables, "avg_linkage")} == {"10": "10", "11": "10", "12": "10", "13": "13", "14": "14", "15": "15"}
+
+
+def test_pairs_under_conditions_reach_down_to_065(spark, tables):
+    # two posts are of unlike authors and near in time; 15 is at 0.5 of the first
+    assert {(r["a"], r["b"]) for r in rows(spark, tables, "constrained_pairs") if r["a"] == "10"} == {("10", b) for b in ("11", "12", "13")}

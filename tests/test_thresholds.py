@@ -52,3 +52,8 @@ def test_pairs_under_conditions_reach_down_to_065(spark, tables):
 def test_density_clusters_reach_down_to_06_and_need_two_posts(spark, tables):
     # 13 is at 0.7 of the first; 15 is at 0.5 of it, at less of the others
     assert {r["id"]: r["component"] for r in rows(spark, tables, "dbscan")} == {**{str(i): "10" for i in range(10, 14)}, "15": "15"}
+
+
+def test_greedy_leaders_take_posts_over_075(spark, tables):
+    # 13 is at 0.7 of the first, at less of the others
+    assert {r["id"]: r["leader"] for r in rows(spark, tables, "greedy_distance")} == {"10": "10", "11": "10", "12": "10", "13": "13", "15": "15"}

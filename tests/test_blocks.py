@@ -63,3 +63,33 @@ def test_components_come_from_a_forest_of_the_pairs(spark, monkeypatch, threshol
     monkeypatch.setattr(S, "TILE", 10)
     monkeypatch.setattr(S, "_tiles", lambda *a: pytest.fail("dealt to pairs of blocks"))
     assert dict(S.similar_components(df, threshold, True).collect()) == label
+
+
+def test_pairs_that_are_joined_already_are_not_computed_again(spark, monkeypatch):
+    v, df = made(spark, 240)
+    for rows, columns in ((7, 9), (256, 1024)):
+        monkeypatch.setattr(B, "ROWS", rows)
+        monkeypatch.setattr(B, "COLUMNS", columns)
+        for threshold in (0.9, 0.3):
+            assert {(r.a, r.b) for r in B.block_pairs(S.unit_rows(df), threshold, True, len(v), v.shape[1], side=60).collect()} == near(v, threshold)
+            got = [(r.a, r.b) for r in B.block_pairs(S.unit_rows(df), threshold, True, len(v), v.shape[1], side=240, forest=True).collect()]
+            assert set(got) <= near(v, threshold) and len(got) < len(v)  # one block: a forest of it
+
+
+def test_sketches_are_as_long_as_the_sample_asks_for(spark):
+    rng = np.random.default_rng(2)
+    v = np.abs(rng.normal(size=(400, 128)))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    rows = S.unit_rows(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>"))
+    few, many = (B._basis(rows, len(v), 128, t).shape for t in (0.97, 0.7))
+    assert few[0] == many[0] == 128 and few[1] < 96 < many[1]
+
+
+def test_density_clusters_of_two_make_no_pairs(spark, monkeypatch):
+    v, df = made(spark)
+    plain, asked = S.block_pairs, []
+    monkeypatch.setattr(S, "TILE", 10)
+    monkeypatch.setattr(S, "block_pairs", lambda *a, **k: asked.append(k["forest"]) or plain(*a, **k))
+    for least in (2, 3):
+        S.similar_density(df, 0.9, least).count()
+    assert asked == [True, False]
